@@ -67,9 +67,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 13, id_col:
     longest = F.array_position("words", F.reduce("words", F.lit(""), lambda a, b: F.when(F.length(b) > F.length(a), b).otherwise(a)))
     short = F.col("n") < span
     prints = F.when(short, F.array(F.get("one", longest.cast("int") - 1))).otherwise(F.array_distinct("least"))
-    # where each fingerprint stands in its item
-    stands = lambda h: F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (short & (F.get("one", i) == h)) | (~short & (F.get("four", i) == h)))
-    items = items.select("item", "key", F.col("words").alias("iw"), F.transform(prints, lambda h: F.struct(h.alias("h"), stands(h).alias("at"))).alias("prints"), short.alias("short"))
+    items = items.select("item", "key", F.col("words").alias("iw"), once(["n", "one", "four", short.alias("short"), prints.alias("prints")], _standing).alias("prints"), short.alias("short"))
     sides = items.select("key", "short", F.explode("prints.h").alias("h"))
     size = sides.agg(F.count("*").alias("n"), F.coalesce(F.max(F.col("short").cast("int")), F.lit(0)).alias("short")).first()
 
@@ -84,13 +82,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 13, id_col:
     hits = hits.join(items, "key").groupBy("id", "th").agg(F.collect_list(F.struct("item", "iw", "prints")).alias("hits")).withColumnsRenamed({"id": "hid", "th": "hth"})
 
     both = own.join(hits, F.col("id").eqNullSafe(F.col("hid")) & F.col("th").eqNullSafe(F.col("hth"))).select("id", "th", words_of(F.col("text")).alias("words"), "hits")
-    both = with_grams(both.dropDuplicates(["id", "th"])).withColumn("places", F.transform("hits", lambda hit: _places(hit, span))).select("id", "th", "hits", "places")
+    both = with_grams(both).select("id", "th", "hits", once(["words", "one", "four", "n", "hits"], lambda row: F.transform(row["hits"], lambda hit: _places(row, hit, span))).alias("places"))
     judged = both.select(
         F.col("id").alias("hid"),
         F.col("th").alias("hth"),
         F.size(F.array_distinct(F.flatten("places"))).cast("bigint").alias("n_hit"),
         F.array_sort(F.array_distinct(F.filter(F.transform(F.arrays_zip("hits", "places"), lambda x: F.when(F.size(x["places"]) > 0, x["hits"]["item"])), lambda i: i.isNotNull()))).alias("items"),
-    )
+    ).distinct()
     counted = own.select("id", "th", F.size(words_of(F.col("text"))).cast("bigint").alias("n_words"))
     out = counted.join(judged, F.col("id").eqNullSafe(F.col("hid")) & F.col("th").eqNullSafe(F.col("hth")), "left")
     n_hit, n_items = F.coalesce("n_hit", F.lit(0).cast("bigint")), F.coalesce(F.size("items"), F.lit(0)).cast("bigint")
@@ -98,20 +96,33 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 13, id_col:
     return out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.greatest(n_items, F.lit(0)).cast("bigint").alias("n_items"), digest.alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
-def _places(hit: Column, span: int) -> Column:
-    """The places in words that an item's windows cover. Each pair of equal fingerprints gives the offset at which to compare."""
-    words, one, four, n = F.col("words"), F.col("one"), F.col("four"), F.col("n")
-    size = F.size(hit["iw"])
-    short = size < span
-    window = F.least(size, F.lit(span))
+def once(values: list, then) -> Column:
+    """then(struct of values), with the values computed once: the optimizer would put them in each place where then uses one."""
+    return F.get(F.transform(F.array(F.struct(*values)), then), F.lit(0))
+
+
+def _same(row: Column, i: Column, h: Column, short: Column) -> Column:
+    return F.when(short, F.get(row["one"], i) == h).otherwise(F.coalesce(F.get(row["four"], i) == h, F.lit(False)))
+
+
+def _standing(row: Column) -> Column:
+    """An item's fingerprints and where each stands in it."""
+    places = F.sequence(F.lit(0), row["n"] - 1)
+    return F.transform(row["prints"], lambda h: F.struct(h.alias("h"), F.filter(places, lambda i: _same(row, i, h, row["short"])).alias("at")))
+
+
+def _places(row: Column, hit: Column, span: int) -> Column:
+    """The places in a document's words that an item's windows cover. Each pair of equal fingerprints gives the offset at which to compare."""
+    words, n, size = row["words"], row["n"], F.size(hit["iw"])
+    short, window = size < span, F.least(size, F.lit(span))
 
     def offsets(p: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.when(short, F.get(one, i) == p["h"]).otherwise(F.coalesce(F.get(four, i) == p["h"], F.lit(False))))
+        at = F.filter(F.sequence(F.lit(0), n - 1), lambda i: _same(row, i, p["h"], short))
         return F.flatten(F.transform(at, lambda i: F.transform(p["at"], lambda q: i - q)))
 
     def covered(d: Column) -> Column:
         same = F.transform(hit["iw"], lambda w, t: F.coalesce((d + t >= 0) & (F.get(words, d + t) == w), F.lit(False)))
-        starts = F.filter(F.sequence(F.lit(0), size - window), lambda s: F.forall(F.slice(same, s + 1, window), lambda x: x))
-        return F.flatten(F.transform(starts, lambda s: F.sequence(d + s, d + s + window - 1)))
+        starts = lambda same: F.filter(F.sequence(F.lit(0), size - window), lambda s: F.forall(F.slice(same, s + 1, window), lambda x: x))
+        return once([same.alias("same")], lambda x: F.flatten(F.transform(starts(x["same"]), lambda s: F.sequence(d + s, d + s + window - 1))))
 
     return F.flatten(F.transform(F.array_distinct(F.flatten(F.transform(hit["prints"], offsets))), covered))
