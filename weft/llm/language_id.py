@@ -9,7 +9,7 @@ expectation maximisation on the same lattice: forward times backward gives each
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -23,8 +23,8 @@ from weft.llm.common import text_chunks
 #: Runs of letters.
 LETTERS = re.compile(r"[^\W\d_]+").findall
 START, UNKNOWN = "▁", 0
-#: Words whose log probabilities a worker keeps; beyond that it starts anew, which changes no result.
-KNOWN = 200_000
+#: Words whose log probabilities a worker keeps, the first that it meets; those of others are computed for each batch.
+KNOWN = 300_000
 #: Characters of a word that one lattice holds; at more, probabilities would underflow, so the parts multiply.
 LONGEST = 48
 
@@ -36,7 +36,8 @@ def words_of(text: str | None) -> list[str]:
 class Lattice:
     """All segmentations of a set of words: an edge for each piece at each place."""
 
-    def __init__(self, words: list[str], pieces: dict[str, int], longest: int):
+    def __init__(self, words: list[str], pieces: dict[str, int]):
+        """pieces: from piece to number; the beginnings of pieces have number -1 where they are none."""
         word, start, end, piece = [], [], [], []
         self.sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
         get = pieces.get
@@ -45,8 +46,10 @@ class Lattice:
             n = len(w)
             for i in range(n):
                 single = False
-                for j in range(i + 1, min(n, i + longest) + 1):
-                    if (p := get(w[i:j])) is not None:
+                for j in range(i + 1, n + 1):
+                    if (p := get(w[i:j])) is None:
+                        break
+                    if p >= 0:
                         single |= j == i + 1
                         word.append(k)
                         start.append(i)
@@ -110,34 +113,38 @@ class Model:
     languages: list[str]
     pieces: dict[str, int]
     p: np.ndarray
-    longest: int = 0
-    known: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
+    known: dict[str, int] = field(default_factory=dict, repr=False)
+    rows: np.ndarray | None = field(default=None, repr=False)
 
-    def __post_init__(self) -> None:
-        self.longest = max(map(len, self.pieces), default=1)
+    def log_p(self, words: list[str]) -> np.ndarray:
+        """Per word and language: the log of the sum over all segmentations."""
+        out = np.zeros((len(words), len(self.languages)))
+        for at in range(0, len(words), 4096):
+            some = [parts(w) for w in words[at : at + 4096]]
+            ends = np.cumsum([len(w) for w in some])
+            out[at : at + 4096] = np.add.reduceat(Lattice([x for w in some for x in w], self.pieces).log_p(self.p), np.r_[0, ends[:-1]])
+        return out
 
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The language of each text and its posterior probability, all languages alike beforehand."""
         counts = [Counter(words_of(t)) for t in texts]
         if not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts))
-        new = set().union(*counts).difference(self.known)
-        if len(self.known) + len(new) > KNOWN and self.known:
-            self.known.clear()
-            new = set().union(*counts)
-        new = list(new)
-        for at in range(0, len(new), 4096):
-            some = [parts(w) for w in new[at : at + 4096]]
-            flat = [x for w in some for x in w]
-            log_p = Lattice(flat, self.pieces, self.longest).log_p(self.p)
-            ends = np.cumsum([len(w) for w in some])
-            self.known.update(zip(new[at : at + 4096], np.add.reduceat(log_p, np.r_[0, ends[:-1]]), strict=True))
+        if self.rows is None:
+            self.rows = np.zeros((KNOWN, len(self.languages)))
+        new = list(set().union(*counts).difference(self.known))
+        log_p, room = self.log_p(new), KNOWN - len(self.known)
+        self.rows[len(self.known) : len(self.known) + len(new[:room])] = log_p[:room]
+        self.known.update(zip(new[:room], range(len(self.known), KNOWN), strict=False))
+        place = dict(zip(new[room:], range(KNOWN, KNOWN + len(new)), strict=False))
+        table = np.concatenate([self.rows, log_p[room:]]) if place else self.rows
+        get = ChainMap(self.known, place).__getitem__ if place else self.known.__getitem__
         names, scores = [], np.zeros(len(texts))
         for i, (text, c) in enumerate(zip(texts, counts, strict=True)):
             if not c or not any(map(str.isalpha, text)):
                 names.append("und")
                 continue
-            total = np.fromiter(c.values(), float, len(c)) @ np.stack([self.known[w] for w in c])
+            total = np.fromiter(c.values(), float, len(c)) @ table[np.fromiter(map(get, c), np.int64, len(c))]
             best = int(total.argmax())
             names.append(self.languages[best])
             scores[i] = 1 / np.exp(np.maximum(total - total[best], -700)).sum()
@@ -145,13 +152,13 @@ class Model:
 
 
 def vocabulary_pieces(path: str) -> dict[str, int]:
-    """The pieces of a sentencepiece file that letters can make up, with numbers from 1; 0 is any other character."""
+    """The pieces of a sentencepiece file that letters can make up, with numbers from 1; 0 is any other character, and -1 the beginning of a piece."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
     usable = sorted({p for p in found if p == START or LETTERS(p.removeprefix(START)) == [p.removeprefix(START)]})
-    return {p: k for k, p in enumerate(usable, 1)}
+    return {p[:k]: -1 for p in usable for k in range(1, len(p))} | {p: k for k, p in enumerate(usable, 1)}
 
 
 def train(docs: DataFrame, vocabulary: str, sample: int = 2000, rounds: int = 2, smoothing: float = 0.02, text_col: str = "text", lang_col: str = "lang", key: Column | None = None) -> Model:
@@ -164,7 +171,7 @@ def train(docs: DataFrame, vocabulary: str, sample: int = 2000, rounds: int = 2,
     rows = docs.select(docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"), F.xxhash64(docs[text_col] if key is None else key).alias("h")).where("text is not null and lang is not null")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages, pieces = sorted(sizes), vocabulary_pieces(vocabulary)
-    model = Model(languages, pieces, np.full((len(pieces) + 1, len(languages)), 1 / (len(pieces) + 1)))
+    model = Model(languages, pieces, np.full((size := max(pieces.values(), default=0) + 1, len(languages)), 1 / size))
     if not languages:
         return model
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, int(min(1.0, sample / sizes[lang]) * 1_000_000))])
@@ -186,7 +193,7 @@ def train(docs: DataFrame, vocabulary: str, sample: int = 2000, rounds: int = 2,
                 weights = np.zeros((len(index), len(place)))
                 for w, lang, n in zip(*(c.to_pylist() for c in some.columns), strict=True):
                     weights[index[w], place[lang]] += n
-                total += Lattice(list(index), model.pieces, model.longest).expected(model.p, weights)
+                total += Lattice(list(index), model.pieces).expected(model.p, weights)
         piece, lang = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(lang), pa.array(total[piece, lang])], ["piece", "lang", "n"])
 
@@ -210,10 +217,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     ids come out as they came in; an empty table gives an empty one. One pass, no shuffle; the model's size is
     that of the vocabulary times the number of languages.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.pieces, model.p))
+    shared = docs.sparkSession.sparkContext.broadcast(Model(model.languages, model.pieces, model.p))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*shared.value)
+        own = shared.value  # a worker has one, with what it knows already
         for part, texts in text_chunks(batches):
             names, scores = own.score(texts)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores)], ["id", "lang_pred", "score"])
