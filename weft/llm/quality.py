@@ -148,16 +148,20 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample: int =
     # the sample's size is bounded by a parameter, so it may be broadcast
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen), "id").select("grade", "text")
     found = rows.mapInArrow(hashed, "grade int, words array<int>, form array<double>").toArrow()
-    rated_words = list(zip(found["grade"].to_pylist(), map(np.asarray, found["words"].to_pylist()), found["form"].to_pylist(), strict=True))
+    found = found.combine_chunks()
+    grades = found["grade"].to_numpy().astype(np.int64)
+    forms = np.array(found["form"].to_pylist(), float).reshape(-1, FORMS)
+    lists = found["words"].combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
     # of near copies, which share their two least mixed hashes, one counts: else the words of a copied text seem to tell its grade
-    distinct = {(g, *np.sort(w.astype(np.uint32) * np.uint32(2654435761))[:2].tolist()): (g, w, f) for g, w, f in sorted(rated_words, key=lambda x: x[2])}
-    grades = np.array([g for g, _, _ in distinct.values()], np.int64)
-    words = [w for _, w, _ in distinct.values()]
-    forms = np.array([f for _, _, f in distinct.values()], float).reshape(-1, FORMS)
-    lengths = [w.size for w in words]
+    mixed = flat.astype(np.uint32) * np.uint32(2654435761)
+    chosen = {(grades[i], *np.sort(mixed[ends[i] : ends[i + 1]])[:2].tolist()): i for i in np.lexsort(forms.T)}
+    chosen = np.array(sorted(chosen.values()), np.int64)
+    grades, forms, lengths = grades[chosen], forms[chosen], np.diff(ends)[chosen]
     r = np.r_[np.repeat(np.arange(grades.size), lengths), np.repeat(np.arange(grades.size), FORMS)]
-    c = np.r_[np.concatenate([*words, np.zeros(0)]).astype(np.int64), np.tile(np.arange(BUCKETS, BUCKETS + FORMS), grades.size)]
-    v = np.r_[np.ones(sum(lengths)), forms.ravel()]
+    c = np.r_[np.concatenate([flat[ends[i] : ends[i + 1]] for i in chosen] or [flat]).astype(np.int64), np.tile(np.arange(BUCKETS, BUCKETS + FORMS), grades.size)]
+    v = np.r_[np.ones(lengths.sum()), forms.ravel()]
     return fit(r, c, v, grades, n_grades)
 
 
