@@ -11,9 +11,9 @@ from weft.llm.common import checkpoint
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Per node that has a link to another one: node and root, the smallest node reachable from it.
 
-    In every round each node points to its smallest neighbour, pointers are shortened, and the links are replaced
-    by those between what their ends point to. The number of nodes with links at least halves each time, so there
-    are about log2 of it many rounds, and usually two or three. Neighbours are combined by minimum before they are
+    In every round each node points to its smallest neighbour or itself, pointers are followed to their ends, by doubling,
+    and the links are replaced by those between these ends. The number of nodes with links at least halves each time,
+    so there are about log2 of it many rounds at most, and usually two or three. Neighbours are combined by minimum before they are
     shuffled and are never gathered in a list; links and pointers stay distributed.
     """
     links = checkpoint(links.select(links[a].alias("a"), links[b].alias("b")).where("a <> b").distinct())
@@ -21,10 +21,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while not links.isEmpty():
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("to"))
-        for _ in range(2):
-            to = checkpoint(to)
-            to = to.join(to.select(F.col("a").alias("to"), F.col("to").alias("next")), "to").select("a", F.col("next").alias("to"))
-        to = checkpoint(to)
+        to, moved = checkpoint(to), True
+        while moved:
+            far = checkpoint(to.join(to.select(F.col("a").alias("to"), F.col("to").alias("next")), "to").select("a", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
+            to, moved = far.select("a", "to"), not far.where("moved").isEmpty()
         if roots is None:
             roots = to.select(F.col("a").alias("node"), F.col("to").alias("root"))
         else:
