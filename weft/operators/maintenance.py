@@ -76,9 +76,10 @@ def dependents(provenance: DataFrame, roots: DataFrame) -> DataFrame:
 def equivalences(g: Graph, least: float = 0.8, block: tuple[str, ...] = ()) -> DataFrame:
     """a < b, score: pairs whose payloads agree in enough of their shared keys, or with the neighbours' Jaccard: the larger of s and 0.4 s + 0.6 J.
 
-    Only nodes that agree in the block fields are compared.
+    Only nodes with the same set of keys that agree in the block fields are compared.
     """
-    rows = g.nodes.where(F.size("data") > 0).select("id", "data", *[F.col("data")[b].alias(f"_{b}") for b in block])
+    rows = g.nodes.where(F.size("data") > 0).select("id", "data", F.array_join(F.array_sort(F.map_keys("data")), ",").alias("_"), *[F.col("data")[b].alias(f"_{b}") for b in block])
+    block = ("", *block)
     side = lambda p: rows.select(F.col("id").alias(p), F.col("data").alias(f"d{p}"), *[f"_{b}" for b in block])
     keys = F.array_intersect(F.map_keys("da"), F.map_keys("db"))
     s = F.when(F.size(keys) > 0, F.size(F.filter(keys, lambda k: F.col("da")[k] == F.col("db")[k])) / F.size(keys)).otherwise(0.0)
