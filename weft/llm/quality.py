@@ -154,9 +154,10 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample: int =
     lists = found["words"].combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    # of near copies, which share their two least mixed hashes, one counts: else the words of a copied text seem to tell its grade
+    # of near copies, which mostly share their four least mixed hashes, one counts where there are eight or more: else the words of a copied text seem to tell its grade
     mixed = flat.astype(np.uint32) * np.uint32(2654435761)
-    chosen = {(grades[i], *np.sort(mixed[ends[i] : ends[i + 1]])[:2].tolist()): i for i in np.lexsort(forms.T)}
+    least = [np.sort(mixed[a:b])[:4].tolist() if b - a >= 8 else [i] for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))]
+    chosen = {(grades[i], *least[i]): i for i in np.lexsort(forms.T)}
     chosen = np.array(sorted(chosen.values()), np.int64)
     grades, forms, lengths = grades[chosen], forms[chosen], np.diff(ends)[chosen]
     r = np.r_[np.repeat(np.arange(grades.size), lengths), np.repeat(np.arange(grades.size), FORMS)]
