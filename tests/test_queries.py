@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from weft import queries
+from weft import catalog as queries
 
 SF = "/root/testdata/sf0.001"
 
