@@ -1,6 +1,6 @@
 """All registered queries of the graph engine."""
 
-from weft import structure_queries  # noqa: F401  adds its queries
+from weft import inference_queries, structure_queries  # noqa: F401  add their queries
 from weft.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
