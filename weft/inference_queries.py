@@ -58,7 +58,7 @@ add_table("state_common_ancestors", near_states, f"WITH RECURSIVE {STATES}, {UP}
 add("max_flow", "trade", lambda g: flow_row(g))
 add("min_cut_side", "trade", lambda g: flows.max_flow(g, *ends(g))[2])
 add("fiedler_sides", "trade", lambda g: flows.fiedler(g, 12).select("id", (F.col("x") < 0).alias("other_side")))
-add("local_move_communities", "trade", flows.local_moves)
+add("local_move_communities", "trade", lambda g: flows.local_moves(g, 4))
 
 
 def ends(g: Graph) -> tuple[str, str]:

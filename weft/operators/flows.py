@@ -65,8 +65,7 @@ def fiedler(g: Graph, rounds: int = 20) -> DataFrame:
         pull = adj.join(now.select(F.col("id").alias("v"), "x"), "v").groupBy(F.col("u").alias("id")).agg(F.sum(F.col("shared") * F.col("x")).alias("s"))
         raw = now.join(pull, "id", "left").select("id", "d", ((c - F.col("d")) * F.col("x") + F.coalesce("s", F.lit(0.0))).alias("x"))
         raw = checkpoint(raw)
-        mean, spread = raw.agg(F.avg("x"), F.stddev_pop("x")).first()
-        n = raw.count()
+        mean, spread, n = raw.agg(F.avg("x"), F.stddev_pop("x"), F.count("*")).first()
         if not spread:
             return raw.select("id", F.lit(0.0).alias("x"))
         now = raw.select("id", "d", ((F.col("x") - mean) / (spread * n**0.5)).alias("x"))
