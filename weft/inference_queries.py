@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.operators import flows, inference
+from weft.operators import centrality, flows, inference
 from weft.operators.degrees import rounded
 from weft.plans.graph import Graph
 from weft.queries import HOPS, add, add_table, forward, r
@@ -70,3 +70,15 @@ def ends(g: Graph) -> tuple[str, str]:
 def flow_row(g: Graph) -> DataFrame:
     value, flow, side = flows.max_flow(g, *ends(g))
     return flow.agg(F.lit(round(value, 6)).alias("value"), F.count("*").alias("pairs"))
+
+
+# tensor eigenvectors
+def _tensor(power: str) -> str:
+    out = f"big AS (SELECT edge_id, node_id FROM members WHERE edge_id IN (SELECT edge_id FROM members GROUP BY edge_id HAVING count(*) > 1)), pw AS (SELECT {power} AS p FROM (SELECT count(*) AS n FROM big GROUP BY edge_id)), e0 AS (SELECT id, 1 / (SELECT count(*) FROM nodes) AS s FROM nodes)"
+    for k in range(3):
+        out += f", a{k} AS (SELECT edge_id, sum(ln(s)) AS l FROM big JOIN e{k} ON id = node_id GROUP BY edge_id), b{k} AS (SELECT node_id, pow(sum(exp(l - ln(s))), (SELECT p FROM pw)) AS s FROM big JOIN e{k} ON id = node_id JOIN a{k} USING (edge_id) GROUP BY node_id), e{k + 1} AS (SELECT id, coalesce(s, 0) / (SELECT sum(s) FROM b{k}) AS s FROM nodes LEFT JOIN b{k} ON id = node_id)"
+    return out
+
+
+for variant, power in (("h", "1 / (max(n) - 1)"), ("z", "max(1.0::DOUBLE)")):
+    add(f"{variant}_eigenvector", "orders", lambda g, variant=variant: rounded(centrality.tensor_eigenvector(g, variant == "h", 3), "score", digits=8), f"SELECT id, {r('s', 8)} AS score FROM e3", _tensor(power))

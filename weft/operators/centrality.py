@@ -57,6 +57,27 @@ def eigenvector(g: Graph, n: int = 10) -> DataFrame:
     return _power(g, _uniform(g), lambda now: _gathered(g, links, now).withColumnRenamed("got", "score"), "l2", n)
 
 
+def tensor_eigenvector(g: Graph, root: bool = True, n: int = 5) -> DataFrame:
+    """id, score: n rounds in which each edge of two members or more gives each member the product of the others' scores, to sum 1 after each round, from equal scores.
+
+    root (the H variant): sums are raised to 1 / (size of the largest edge - 1); otherwise (Z) they are left as they are. Products
+    are sums of logarithms; a node without such edges gets 0 and is in no product. Without any such edge scores stay equal.
+    """
+    members = checkpoint(g.members.where("size > 1").select("edge_id", F.col("node_id").alias("id"), "size"))
+    top = members.agg(F.max("size")).first()[0]
+    if top is None:
+        return _uniform(g)
+    power = 1 / (top - 1) if root else 1.0
+
+    def spread(now: DataFrame) -> DataFrame:
+        rows = members.join(now.where("score > 0").select("id", F.log("score").alias("l")), "id")
+        whole = rows.groupBy("edge_id").agg(F.sum("l").alias("all"))
+        got = rows.join(whole, "edge_id").groupBy("id").agg(F.pow(F.sum(F.exp(F.col("all") - F.col("l"))), F.lit(power)).alias("score"))
+        return g.nodes.select("id").join(got, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+    return _power(g, _uniform(g), spread, "l1", n)
+
+
 def katz(g: Graph, alpha: float = 0.1, beta: float = 1.0, n: int = 10) -> DataFrame:
     """id, score: n rounds of alpha times the neighbours' scores plus beta, to unit length after each round."""
     links = checkpoint(g.adj.select("u", "v", F.col("shared").cast("double").alias("w")))

@@ -34,12 +34,14 @@ def degradation(runs: DataFrame, recent: int = 10, factor: float = 1.5) -> DataF
     return rows.select("operation", "recent", "before", F.coalesce(F.col("recent") > factor * F.col("before"), F.lit(False)).alias("degraded"))
 
 
-def consensus(views: DataFrame, how: str = "intersection") -> DataFrame:
-    """id, share of the views(view, id) that have it: of all views (intersection), of more than half (majority), of any (union)."""
-    total = views.agg(F.countDistinct("view").alias("views"))
-    share = F.col("n") / F.col("views")
-    rows = views.distinct().groupBy("id").agg(F.count("*").alias("n")).join(F.broadcast(total)).select("id", share.alias("share"))
-    return rows.where({"intersection": "share = 1", "majority": "share > 0.5", "union": "true"}[how])
+def consensus(views: DataFrame, n_views: int, how: str = "intersection") -> DataFrame:
+    """id, share of n_views that have it in views(view, id): of all of them (intersection), of more than half (majority), of any (union).
+
+    The number is given, since a view without rows counts as well: with one, nothing is in the intersection.
+    """
+    rows = views.distinct().groupBy("id").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / n_views)
+    test = {"intersection": F.col("n") == n_views, "majority": 2 * F.col("n") > n_views, "union": F.lit(True)}[how]
+    return rows.where(test).select("id", "share")
 
 
 def compare_sets(found: DataFrame, truth: DataFrame) -> DataFrame:

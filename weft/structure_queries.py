@@ -131,6 +131,6 @@ def views(g: Graph) -> DataFrame:
 
 SEEN = "vw AS (SELECT 'out' AS w, tgt AS id FROM arcs WHERE src = 'N0' UNION SELECT 'in', src FROM arcs WHERE tgt = 'N0' UNION SELECT 'any', v FROM adj WHERE u = 'N0')"
 for how, test in (("intersection", "= 3"), ("majority", "> 1.5"), ("union", "> 0")):
-    add(f"consensus_{how}", "trade", lambda g, how=how: rounded(monitor.consensus(views(g), how), "share"), f"SELECT id, {r('count(*) / (SELECT count(DISTINCT w) FROM vw)')} AS share FROM vw GROUP BY id HAVING count(*) {test}", SEEN)
+    add(f"consensus_{how}", "trade", lambda g, how=how: rounded(monitor.consensus(views(g), 3, how), "share"), f"SELECT id, {r('count(*) / 3')} AS share FROM vw GROUP BY id HAVING count(*) {test}", SEEN)
 add("compare_reach", "trade", lambda g: rounded(monitor.compare_sets(g.arcs.where("src = 'N0'").select(F.col("tgt").alias("id")), g.arcs.where("tgt = 'N0'").select(F.col("src").alias("id"))), "jaccard", "precision", "recall", "f1"), f"SELECT c AS common, {r('coalesce(c / nullif(a + b - c, 0), 0)')} AS jaccard, {r('coalesce(c / nullif(a, 0), 0)')} AS precision, {r('coalesce(c / nullif(b, 0), 0)')} AS recall, {r('coalesce(2 * c / nullif(a + b, 0), 0)')} AS f1 FROM (SELECT count(*) FILTER (src = 'N0') AS a, count(*) FILTER (tgt = 'N0') AS b, count(*) FILTER (src = 'N0' AND EXISTS (SELECT 1 FROM arcs q WHERE q.src = arcs.tgt AND q.tgt = 'N0')) AS c FROM arcs)")
 add_table("density_map", lambda s, d: monitor.density_map(read(s, d, "part").select(F.col("p_size").cast("double").alias("px"), F.col("p_retailprice").cast("double").alias("py"))), "SELECT least(floor((p_size::DOUBLE - x0) / (x1 - x0) * 10), 9)::BIGINT AS x, least(floor((p_retailprice::DOUBLE - y0) / (y1 - y0) * 10), 9)::BIGINT AS y, count(*) AS n FROM part, (SELECT min(p_size)::DOUBLE AS x0, max(p_size)::DOUBLE AS x1, min(p_retailprice)::DOUBLE AS y0, max(p_retailprice)::DOUBLE AS y1 FROM part) GROUP BY ALL")
