@@ -13,7 +13,7 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import decontaminate, line_dedup, quality, simhash, word_bpe
+from weft.llm import decontaminate, line_dedup, near_copies, quality, word_bpe
 from weft.llm.common import table
 
 KEEP = 0.5
@@ -33,8 +33,8 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    kept = simhash.near_duplicates(docs).where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    """The document with the smallest id of each group of near copies, which are linked at a Jaccard index of 0.8 of their five-word shingles."""
+    kept = near_copies.near_copies(docs).where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
