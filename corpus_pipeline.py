@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import decontaminate, line_dedup, near_copies, quality, word_bpe
-from weft.llm.common import table
+from weft.llm.common import checkpoint, table
 
 KEEP = 0.5
 
@@ -33,15 +33,28 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies, which are linked at a Jaccard index of 0.8 of their five-word shingles."""
-    kept = near_copies.near_copies(docs).where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """One row of each group of near copies, which are linked at a Jaccard index of 0.8 of their five-word shingles.
+
+    It is the one with the smallest id, null ids last, then by a hash of the text; of rows that repeat id and text one stays.
+    """
+    found = near_copies.near_copies(docs).where("doc_id <=> component_id and text_hash = component_text")
+    kept = checkpoint(found.groupBy(F.col("doc_id").alias("_wf_id"), F.col("text_hash").alias("_wf_hash")).agg(F.count("*").alias("_wf_rows")))
+    same = F.col("doc_id").eqNullSafe(F.col("_wf_id")) & (F.col("_wf_text") == F.col("_wf_hash"))
+    keyed = docs.withColumn("_wf_text", F.xxhash64("text"))
+    out = keyed.join(kept.where("_wf_rows = 1"), same, "left_semi")
+    repeated = kept.where("_wf_rows > 1")
+    if not repeated.isEmpty():
+        out = out.unionByName(keyed.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_wf_text"]))
+    return out.select(*docs.columns)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark's passages don't contaminate."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    """Rows that the benchmark's passages don't contaminate, each judged by its own text, whatever its id."""
+    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("key"), "text")
+    found = decontaminate.decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_col="key").where("contaminated")
+    found = found.select(F.col("key.doc_id").alias("_wf_id"), F.col("key.text_hash").alias("_wf_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_wf_id")) & (F.col("_wf_text") == F.col("_wf_hash"))
+    return docs.withColumn("_wf_text", F.xxhash64("text")).join(found, same, "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,12 +103,13 @@ def similar_links(texts: DataFrame, shingle: int = 5) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """Per row: id_col, text_hash (Spark's xxhash64 of the text) and component_id.
+    """Per row: id_col, text_hash (Spark's xxhash64 of the text), component_id and component_text.
 
     Texts whose sets of shingles have a Jaccard index of 0.8 or more are linked; component_id is the smallest id that can be reached over links, the
     row's own included. A-Z are lowered and words are separated by ASCII white space; texts are told apart, and shingles compared, by
     64-bit hashes. Null and empty texts have no words and are linked with each other only. Repeated rows come out as they came
-    in; a null id gets the smallest other id of its component, or null. An empty table gives an empty one.
+    in; a null id gets the smallest other id of its component, or null. component_text is the text_hash of the row that has the smallest
+    id, the least of them if several rows have that id. An empty table gives an empty one.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -121,5 +122,5 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = checkpoint(rows.mapInArrow(run, f"id {kind}, text_hash bigint, key bigint"))
     roots = components(similar_links(rows.select("text"), shingle)).withColumnRenamed("node", "key")
     rooted = found.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    return rooted.join(least, "root").select(F.col("id").alias(id_col), "text_hash", "component_id")
+    least = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first"))
+    return rooted.join(least, "root").select(F.col("id").alias(id_col), "text_hash", F.col("first.id").alias("component_id"), F.col("first.text_hash").alias("component_text"))
