@@ -54,8 +54,8 @@ WEDGE = "wd AS (SELECT a.u, b.u AS v, k, p.region AS ru, q.region AS rv, z.regio
 add("community_links", "trade", lambda g: rounded(structure.community_links(g, "region"), "ra_community", "within_inter", "centrality"), f"SELECT u, v, count(*) AS common, (count(*) + count(*) FILTER (ru = rv AND rv = rw)) AS cn_community, {r('coalesce(sum(1 / k) FILTER (ru = rv AND rv = rw), 0)')} AS ra_community, {r('CASE WHEN any_value(ru = rv) THEN count(*) FILTER (rv = rw) / (count(*) FILTER (rv <> rw) + 0.001) ELSE 0 END')} AS within_inter, {r('0.8 * count(*) + 0.2 * (SELECT count(*) FROM nodes) / 2')} AS centrality FROM wd GROUP BY u, v", WEDGE)
 add("s_distances", "trade", lambda g: structure.s_distances(g, g.edges.agg(F.min("edge_id")).first()[0], 1), "SELECT id AS edge_id, min(d)::BIGINT AS d FROM sd GROUP BY id", f"{OVER}, oo AS (SELECT e1, e2 FROM ov UNION ALL SELECT e2, e1 FROM ov), sd AS (SELECT edge_id AS id, 0 AS d FROM edges WHERE edge_id = (SELECT min(edge_id) FROM edges) UNION SELECT e2, d + 1 FROM sd JOIN oo ON id = e1 WHERE d < 8)")
 add("simplices", "trade", lambda g: members_of(structure.simplices(g), "ids"), "SELECT id AS ids, 0::BIGINT AS dimension FROM nodes UNION ALL SELECT u || ',' || v, 1 FROM links")
-add("bridges", "trade", lambda g: structure.bridges(Graph(g.nodes, g.edges.where("weight > 1.2"))))
-add("two_edge_components", "trade", lambda g: structure.two_edge_components(Graph(g.nodes, g.edges.where("weight > 1.2"))))
+add("bridges", "trade", structure.bridges)
+add("two_edge_components", "trade", structure.two_edge_components)
 add("voterank", "trade", lambda g: structure.voterank(g, 5))
 add("graph_fingerprint", "orders", files.fingerprint, "SELECT (SELECT count(*) FROM nodes) AS nodes, count(*) AS edges, (SELECT sum(('0x' || substr(md5(id || '|' || label), 1, 12))::HUGEINT) FROM nodes)::VARCHAR || '-' || sum(('0x' || substr(md5(edge_id || '|C' || o_custkey || '|' || t || '|' || label), 1, 12))::HUGEINT)::VARCHAR AS digest FROM edges JOIN (SELECT edge_id, string_agg(node_id, ',' ORDER BY node_id) AS t FROM inc WHERE role = 'target' GROUP BY edge_id) USING (edge_id)")
 
