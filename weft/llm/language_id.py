@@ -18,15 +18,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import text_chunks
+from weft.llm.common import sample_limit, sampled, text_chunks
 
 #: Runs of letters.
 LETTERS = re.compile(r"[^\W\d_]+").findall
 START, UNKNOWN = "▁", 0
 #: Words whose log probabilities a worker keeps, the first that it meets; those of others are computed for each batch.
 KNOWN = 300_000
-#: Characters of a word that one lattice holds; at more, probabilities would underflow, so the parts multiply.
-LONGEST = 48
+#: Words, and places in them, that one lattice has, unless a single word is longer.
+WORDS, PLACES = 4096, 1 << 17
+#: Places after which the sums of a forward pass are brought back to 1.
+RESCALE = 8
 
 
 def words_of(text: str | None) -> list[str]:
@@ -61,49 +63,75 @@ class Lattice:
                     end.append(i + 1)
                     piece.append(UNKNOWN)
         self.word, self.start, self.end, self.piece = (np.array(x, np.int64) for x in (word, start, end, piece))
-        self.by_end = self._grouped(self.end)
-        self.by_start = self._grouped(self.start)
+        self.reach = int((self.end - self.start).max(initial=1))
 
     @staticmethod
     def _grouped(key: np.ndarray) -> list[np.ndarray]:
         order = np.argsort(key, kind="stable")
         return np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if key.size else []
 
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """Per word, place and language: the probability of all ways to get there. p: per piece and language."""
-        f = np.zeros((len(self.sizes), self.sizes.max(initial=1) + 1, p.shape[1]))
-        f[:, 0] = 1
-        for e in self.by_end:
-            self._add(f, self.word[e], self.end[e[0]], f[self.word[e], self.start[e]] * p[self.piece[e]])
-        return f
-
-    def backward(self, p: np.ndarray) -> np.ndarray:
-        b = np.zeros((len(self.sizes), self.sizes.max(initial=1) + 1, p.shape[1]))
-        b[np.arange(len(self.sizes)), self.sizes] = 1
-        for e in reversed(self.by_start):
-            self._add(b, self.word[e], self.start[e[0]], b[self.word[e], self.end[e]] * p[self.piece[e]])
-        return b
+    def _sums(self, p: np.ndarray, into: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per word, place and language: the sum over all ways to get there, and the log of what it is to be multiplied by.
 
-    @staticmethod
-    def _add(f: np.ndarray, word: np.ndarray, place: int, more: np.ndarray) -> None:
-        for k in range(f.shape[2]):
-            f[:, place, k] += np.bincount(word, more[:, k], f.shape[0])
+        Edges lead from place ``into`` to place ``out``, in order of out. Every few places all sums that are still in reach are
+        divided by the greatest of them, so none of any word length can get too small.
+        """
+        n, places = len(self.sizes), int(self.sizes.max(initial=0)) + 1
+        f, scale = np.zeros((n, places, p.shape[1])), np.zeros((n, places, p.shape[1]))
+        f[:, 0] = 1
+        done = 0
+        for e in self._grouped(out):
+            to = int(out[e[0]])
+            if to - done >= RESCALE:
+                near = slice(max(0, to - self.reach), to)
+                most = f[:, near].max(1)
+                most = np.where(most > 0, most, 1)
+                f[:, near] /= most[:, None]
+                scale[:, near] += np.log(most)[:, None]
+                done = to
+            more = f[self.word[e], into[e]] * p[self.piece[e]]
+            scale[:, to] = scale[:, to - 1]
+            for k in range(p.shape[1]):
+                f[:, to, k] += np.bincount(self.word[e], more[:, k], n)
+        return f, scale
+
+    def forward(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums and logs of their factors at each place, from the beginning on. p: per piece and language."""
+        return self._sums(p, self.start, self.end)
+
+    def backward(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same from the end on; place 0 is a word's end."""
+        sizes = self.sizes[self.word]
+        return self._sums(p, sizes - self.end, sizes - self.start)
 
     def log_p(self, p: np.ndarray) -> np.ndarray:
         """Per word and language: the log of the sum over all segmentations."""
-        f = self.forward(p)
-        return np.log(np.maximum(f[np.arange(len(self.sizes)), self.sizes], 1e-300))
+        f, scale = self.forward(p)
+        at = np.arange(len(self.sizes)), self.sizes
+        return np.log(f[at]) + scale[at]
 
     def expected(self, p: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Expected count per piece and language, of words that occur weights[word, language] times."""
-        f, b = self.forward(p), self.backward(p)
-        total = np.maximum(f[np.arange(len(self.sizes)), self.sizes], 1e-300)
-        share = f[self.word, self.start] * p[self.piece] * b[self.word, self.end] / total[self.word] * weights[self.word]
+        (f, up), (b, down) = self.forward(p), self.backward(p)
+        at = np.arange(len(self.sizes)), self.sizes
+        sizes = self.sizes[self.word]
+        back = self.word, sizes - self.end
+        logs = up[self.word, self.start] + down[back] - up[at][self.word]
+        share = f[self.word, self.start] * p[self.piece] * b[back] / f[at][self.word] * np.exp(logs) * weights[self.word]
         return np.stack([np.bincount(self.piece, share[:, k], p.shape[0]) for k in range(p.shape[1])], 1)
 
 
-def parts(word: str) -> list[str]:
-    return [word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
+def lattices(words: list[str], pieces: dict[str, int]) -> Iterator[tuple[np.ndarray, Lattice]]:
+    """The words' numbers and lattices, some words of like length at a time."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(sizes, kind="stable")
+    at = 0
+    while at < order.size:
+        stop = min(at + WORDS, order.size)
+        while stop > at + 1 and (stop - at) * (sizes[order[stop - 1]] + 2) > PLACES:
+            stop = at + (stop - at) // 2
+        yield order[at:stop], Lattice([words[k] for k in order[at:stop]], pieces)
+        at = stop
 
 
 @dataclass
@@ -119,10 +147,8 @@ class Model:
     def log_p(self, words: list[str]) -> np.ndarray:
         """Per word and language: the log of the sum over all segmentations."""
         out = np.zeros((len(words), len(self.languages)))
-        for at in range(0, len(words), 4096):
-            some = [parts(w) for w in words[at : at + 4096]]
-            ends = np.cumsum([len(w) for w in some])
-            out[at : at + 4096] = np.add.reduceat(Lattice([x for w in some for x in w], self.pieces).log_p(self.p), np.r_[0, ends[:-1]])
+        for some, lattice in lattices(words, self.pieces):
+            out[some] = lattice.log_p(self.p)
         return out
 
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -166,34 +192,36 @@ def train(docs: DataFrame, vocabulary: str, sample: int = 2000, rounds: int = 2,
 
     docs: training rows; those with null text or language count for nothing. sample: about so many documents of
     each language are learnt from, chosen by a hash of key (by default the text); with fewer all are. What reaches
-    the driver is one count per vocabulary piece and language. smoothing: the share of the mean of all languages.
+    the driver is one count per vocabulary piece and language. smoothing: the share of the mean of all languages; above 0, so that
+    every piece has a probability in every language. No rows: a model without languages. Words are whole, however long.
     """
+    if smoothing <= 0:
+        raise ValueError("smoothing must be above 0")
     rows = docs.select(docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"), F.xxhash64(docs[text_col] if key is None else key).alias("h")).where("text is not null and lang is not null")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages, pieces = sorted(sizes), vocabulary_pieces(vocabulary)
     model = Model(languages, pieces, np.full((size := max(pieces.values(), default=0) + 1, len(languages)), 1 / size))
     if not languages:
         return model
-    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, int(min(1.0, sample / sizes[lang]) * 1_000_000))])
-    chosen = rows.where(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")])
+    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, sample_limit(sizes[lang], sample))])
+    chosen = rows.where(sampled(F.col("h"), share[F.col("lang")]))
 
     def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches):
             found: Counter = Counter()
             for text, lang in zip(texts, part.column(1).to_pylist(), strict=True):
-                found.update((w, lang) for word in words_of(text) for w in parts(word))
+                found.update((w, lang) for w in words_of(text))
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([k for _, k in found], pa.string()), pa.array(found.values(), pa.int64())], ["word", "lang", "n"])
 
     def expect(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
         place, total = {x: k for k, x in enumerate(model.languages)}, np.zeros_like(model.p)
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                some = batch.slice(at, 4096)
-                index = {w: k for k, w in enumerate(dict.fromkeys(some.column(0).to_pylist()))}
-                weights = np.zeros((len(index), len(place)))
-                for w, lang, n in zip(*(c.to_pylist() for c in some.columns), strict=True):
-                    weights[index[w], place[lang]] += n
-                total += Lattice(list(index), model.pieces).expected(model.p, weights)
+            index = {w: k for k, w in enumerate(dict.fromkeys(batch.column(0).to_pylist()))}
+            weights = np.zeros((len(index), len(place)))
+            for w, lang, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                weights[index[w], place[lang]] += n
+            for some, lattice in lattices(list(index), model.pieces):
+                total += lattice.expected(model.p, weights[some])
         piece, lang = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(lang), pa.array(total[piece, lang])], ["piece", "lang", "n"])
 
