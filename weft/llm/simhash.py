@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import checkpoint, text_chunks
+from weft.llm.common import checkpoint, salt, salt_set, salts_in, text_chunks
 from weft.llm.components import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -157,7 +157,7 @@ def _linked(path: np.ndarray, pre: np.ndarray, depth: np.ndarray, value: np.ndar
 
 
 def _turned(width: int, parts: int, part: int):
-    """The lowest ``width`` bits of value, turned so that the given one of ``parts`` equal blocks comes first."""
+    """The lowest ``width`` bits of value, turned so that the given one of ``parts`` equal blocks comes first; what the division leaves is in no block."""
     size = width // parts
     mask = (1 << width) - 1 if width < 64 else -1
     value = F.col("value")
@@ -170,7 +170,8 @@ def trie_links(distinct: DataFrame, budget: int = 3, crowd: int = CROWD) -> Data
     """Links (a, b) between fingerprints, enough to connect any two that differ in at most budget bits.
 
     distinct: one column fp, without repeats. What is returned is a spanning forest of the links below each node,
-    at most budget + 1 rows per fingerprint and level, however large a group of near copies is.
+    at most budget + 1 rows per fingerprint and level, however large a group of near copies is. A task walks one node at a time, of
+    crowd fingerprints at most: nodes with more are cut again until the bits that are left can't tell more apart.
     """
     parts = budget + 1
     rows = distinct.select(F.lit(0).cast("bigint").alias("path"), F.col("fp").alias("value"), "fp")
@@ -182,7 +183,7 @@ def trie_links(distinct: DataFrame, budget: int = 3, crowd: int = CROWD) -> Data
         rows = rows.select(F.explode(F.array(*cut)).alias("c"), "fp").select("c.path", "c.value", "fp", F.shiftrightunsigned("c.value", 64 - depth).alias("pre"), F.lit(depth).alias("depth"))
         width -= size
         sizes = rows.groupBy("path", "pre").agg(F.count("*").alias("n"))
-        if width < 24 or width % parts:
+        if width < parts or 1 << width <= crowd:  # so few bits are left that no node can be crowded
             ready.append(rows.join(sizes.where("n > 1").drop("n"), ["path", "pre"], "left_semi"))
             break
         sizes = checkpoint(sizes.where("n > 1"))
@@ -228,9 +229,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest other id of its component, or null. An empty table gives an empty one.
     """
     found = checkpoint(fingerprints(docs, id_col, text_col, shingle))
-    nodes = checkpoint(found.groupBy("fp").agg(F.min("id").alias("first")))
+    # a fingerprint that many texts have, such as that of empty ones, is combined in parts, and each part of its rows meets one copy of its class
+    found = found.withColumn("salt", salt("id"))
+    nodes = found.groupBy("fp", "salt").agg(F.min("id").alias("first"))
+    nodes = checkpoint(nodes.groupBy("fp").agg(F.min("first").alias("first"), salt_set("salt").alias("salts")))
     roots = components(trie_links(nodes.select("fp"), budget))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "salts", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    return found.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = rooted.join(least, "root").select("fp", "component_id", F.explode(salts_in(F.col("salts"))).alias("salt"))
+    return found.join(classes, ["fp", "salt"]).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
