@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import checkpoint, text_chunks
+from weft.llm.common import checkpoint, flagged, free_name, hash_filter, salt, salt_set, salts_in, text_chunks
 
 RECORD = np.dtype([("hash", "V16"), ("words", "<i4"), ("row", "<i4")])
 
@@ -52,17 +52,22 @@ def _order(lines: np.ndarray) -> np.ndarray:
     return np.frombuffer(np.ascontiguousarray(lines["hash"]).tobytes(), "<i8").reshape(-1, 2)[:, 0]
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
-    """docs with later repeats of runs of lines deleted, and columns n_lines and n_deleted added.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, lines_col: str = "n_lines", deleted_col: str = "n_deleted") -> DataFrame:
+    """docs with later repeats of runs of lines deleted, and columns lines_col and deleted_col added.
 
     A run is a stretch of lines with min_words words or more in all. Of equal runs the one in the row with the
     smallest id (null ids first, then by a hash of the text) and there the earliest stays; where a later one overlaps it in the same text, only
-    the lines past it go. Shorter repeats stay, as do texts that are null or have fewer words. Rows that repeat both id and
+    the lines past it go. Shorter repeats stay, as do texts that are null (0 lines) or have fewer words. Rows that repeat both id and
     text are one document and come out alike. Of a text that is one repeated run nothing is left but an empty text.
-    Other columns are unchanged; names that start with ``_wf_`` are taken by this operator.
+    An empty table gives an empty one. Other columns are unchanged, whatever their names; where docs has a column of the name of a
+    new one, the new one's name gets underscores at its end (n_lines_).
+
+    A text moves only if some hash filter of the deletions has its row: with few deletions most rows are passed on where they are read.
     """
-    keyed = docs.withColumn("_wf_text", F.xxhash64(docs[text_col]))
+    names = {c: free_name(c, docs.columns) for c in (lines_col, deleted_col)}
     kind = docs.schema[id_col].dataType.simpleString()
+    # the row as a whole, so that its columns can't clash with those below
+    keyed = docs.select(F.struct("*").alias("row"), docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), F.xxhash64(docs[text_col]).alias("th"))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches):
@@ -71,11 +76,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             prints = [_order(x)[p].tolist() for x, p in zip(lines, chosen, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in lines], pa.binary()), pa.array([p.tolist() for p in chosen], pa.list_(pa.int64())), pa.array(prints, pa.list_(pa.int64()))], ["id", "th", "lines", "places", "prints"])
 
-    rows = keyed.select(F.col(id_col).alias("id"), F.col("_wf_text").alias("th"), F.col(text_col).cast("string").alias("text"))
+    rows = keyed.select("id", "th", "text")
     found = checkpoint(rows.mapInArrow(scan, f"id {kind}, th bigint, lines binary, places array<bigint>, prints array<bigint>").where(F.size("places") > 0))
-    prints = found.select("id", "th", F.explode(F.arrays_zip("prints", "places")).alias("p")).select("id", "th", F.col("p.prints").alias("h"), F.col("p.places").alias("place"))
-    again = prints.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    hits = prints.join(again, "h", "left_semi").groupBy("id", "th").agg(F.collect_set("place").alias("hits"))
+    prints = found.select("id", "th", F.explode(F.arrays_zip("prints", "places")).alias("p")).select("id", "th", F.col("p.prints").alias("h"), F.col("p.places").alias("place"), salt("id", "th").alias("salt"))
+    again = prints.groupBy("h", "salt").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("n"), salt_set("salt").alias("salts")).where("n > 1")
+    again = again.select("h", F.explode(salts_in(F.col("salts"))).alias("salt"))
+    hits = prints.join(again, ["h", "salt"], "left_semi").groupBy("id", "th").agg(F.collect_set("place").alias("hits"))
 
     def extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,17 +103,25 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     same = (F.col("l.id").eqNullSafe(F.col("r.id"))) & (F.col("l.th").eqNullSafe(F.col("r.th")))
     matched = found.alias("l").join(hits.alias("r"), same).select("l.id", "l.th", "l.lines", "r.hits")
-    runs = checkpoint(matched.mapInArrow(extend, f"id {kind}, th bigint, content binary, first int, last int").distinct())
-    begun = runs.groupBy("content").agg(F.min(F.struct("id", "th", "first", "last")).alias("begun"), F.count("*").alias("n")).where("n > 1").drop("n")
+    runs = matched.mapInArrow(extend, f"id {kind}, th bigint, content binary, first int, last int").distinct()
+    runs = checkpoint(runs.withColumn("salt", salt("id", "th")))
+    # a run that many texts have is combined in parts, and each part of its rows meets one copy of its beginning
+    begun = runs.groupBy("content", "salt").agg(F.min(F.struct("id", "th", "first", "last")).alias("begun"), F.count("*").alias("n"))
+    begun = begun.groupBy("content").agg(F.min("begun").alias("begun"), F.sum("n").alias("n"), salt_set("salt").alias("salts")).where("n > 1")
+    begun = begun.select("content", "begun", F.explode(salts_in(F.col("salts"))).alias("salt"))
     own = F.col("id").eqNullSafe(F.col("begun.id")) & F.col("th").eqNullSafe(F.col("begun.th"))
-    later = runs.join(begun, "content").where(~(own & (F.col("first") == F.col("begun.first"))))
+    later = runs.join(begun, ["content", "salt"]).where(~(own & (F.col("first") == F.col("begun.first"))))
     later = later.select("id", "th", F.when(own, F.greatest("first", F.col("begun.last") + 1)).otherwise(F.col("first")).alias("first"), "last").where("first <= last")
-    gone = later.groupBy("id", "th").agg(F.collect_set(F.struct("first", "last")).alias("_wf_gone")).withColumnsRenamed({"id": "_wf_id", "th": "_wf_th"})
-
-    lines = F.split(F.col(text_col).cast("string"), "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.exists("_wf_gone", lambda g: (g["first"] <= i) & (i <= g["last"])))
-    out = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("_wf_id")) & F.col("_wf_text").eqNullSafe(F.col("_wf_th")), "left")
-    out = out.withColumn("_wf_kept", F.when(F.col("_wf_gone").isNotNull(), kept)).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("bigint"))
-    out = out.withColumn("n_deleted", F.when(F.col("_wf_kept").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("_wf_kept")).cast("bigint"))
-    out = out.withColumn(text_col, F.when(F.col("_wf_kept").isNull(), F.col(text_col)).otherwise(F.array_join("_wf_kept", "\n")))
-    return out.select(*docs.columns, *[c for c in ("n_lines", "n_deleted") if c not in docs.columns])
+    gone = checkpoint(later.groupBy("id", "th").agg(F.collect_set(F.struct("first", "last")).alias("gone")).withColumnsRenamed({"id": "gone_id", "th": "gone_th"}))
+
+    lines = F.split("text", "\n", -1)
+    kept = F.filter(lines, lambda _, i: ~F.exists("gone", lambda g: (g["first"] <= i) & (i <= g["last"])))
+    keyed = flagged(keyed, F.xxhash64("id", "th"), hash_filter(gone.select(F.xxhash64("gone_id", "gone_th"))), "maybe")
+    whole = keyed.where(~F.col("maybe")).select("row", "text", F.lit(None).cast("array<string>").alias("kept"))
+    cut = keyed.where("maybe").join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & F.col("th").eqNullSafe(F.col("gone_th")), "left")
+    out = whole.unionByName(cut.select("row", "text", F.when(F.col("gone").isNotNull(), kept).alias("kept")))
+    new = F.when(F.col("kept").isNull(), F.col(f"row.`{text_col}`")).otherwise(F.array_join("kept", "\n"))
+    n_lines = F.coalesce(F.size(lines), F.lit(0))
+    columns = [new.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns]
+    deleted = F.when(F.col("kept").isNull(), F.lit(0)).otherwise(n_lines - F.size("kept"))
+    return out.select(*columns, F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("bigint").alias(names[lines_col]), deleted.cast("bigint").alias(names[deleted_col]))
