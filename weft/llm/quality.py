@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import text_chunks
+from weft.llm.common import sample_limit, sampled, text_chunks
 
 WORD = re.compile(r"[^\W\d_]+").findall
 UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]+").findall
@@ -71,6 +71,11 @@ class Model:
         return tail(np.array(out, float), self.thresholds)
 
 
+def constant(grade: int, n_grades: int) -> Model:
+    """The model that gives every text one grade."""
+    return Model(np.zeros(BUCKETS + FORMS), np.where(np.arange(n_grades - 1) < grade, -500.0, 500.0))
+
+
 def tail(score: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(score[:, None] - thresholds, -500, 500)))
 
@@ -89,36 +94,44 @@ def telling(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, n_grades:
     return found
 
 
+def objective(theta: np.ndarray, width: int, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.ndarray, own: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """The weighted log likelihood less the ridge penalty, and its gradient.
+
+    theta: width weights, one a column, the first threshold, and the logs of the steps from each to the next. own: the rows' weights.
+    """
+    here, steps_up = np.arange(grades.size), np.exp(theta[width + 1 :])
+    cuts = theta[width] + np.r_[0, np.cumsum(steps_up)]
+    score = np.bincount(rows, theta[columns] * values, grades.size)
+    p = np.c_[np.ones(grades.size), tail(score, cuts), np.zeros(grades.size)]
+    low, high = p[here, grades], p[here, grades + 1]
+    mass = np.maximum(low - high, 1e-9)
+    d_low, d_high = low * (1 - low), high * (1 - high)
+    d_score = own * (d_low - d_high) / mass
+    grad = np.zeros_like(theta)
+    grad[:width] = np.bincount(columns, d_score[rows] * values, width) - ridge * theta[:width]
+    d_cut = np.zeros(cuts.size + 2)
+    np.add.at(d_cut, grades, -own * d_low / mass)
+    np.add.at(d_cut, grades + 1, own * d_high / mass)
+    d_cut = d_cut[1:-1]
+    grad[width] = d_cut.sum()
+    grad[width + 1 :] = np.cumsum(d_cut[::-1])[::-1][1:] * steps_up
+    return float(own @ np.log(mass) - ridge / 2 * theta[:width] @ theta[:width]), grad
+
+
 def fit(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.ndarray, n_grades: int, steps: int = 400, rate: float = 0.1, ridge: float = 1e-4, least: float = 4.5, odds: float = 6) -> Model:
     """Maximum likelihood with a ridge penalty, all grades weighing alike. Buckets that don't tell grades apart get no weight."""
     seen = np.r_[telling(rows, columns, grades, n_grades, least, odds), np.ones(FORMS, bool)]
     place = np.cumsum(seen) - 1
     ok = seen[columns]
     rows, columns, values = rows[ok], place[columns[ok]], values[ok]
-    n, width = grades.size, int(seen.sum())
+    width = int(seen.sum())
     counts = np.bincount(grades, minlength=n_grades)
     own = (1 / np.maximum(counts, 1) / max((counts > 0).sum(), 1))[grades]
     w, cuts = np.zeros(width), np.linspace(-1, 1, n_grades - 1) if n_grades > 2 else np.zeros(n_grades - 1)
     theta = np.r_[w, cuts[:1], np.log(np.maximum(np.diff(cuts), 1e-3))]
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        w, steps_up = theta[:width], np.exp(theta[width + 1 :])
-        cuts = theta[width] + np.r_[0, np.cumsum(steps_up)]
-        score = np.bincount(rows, w[columns] * values, n)
-        p = np.c_[np.ones(n), tail(score, cuts), np.zeros(n)]
-        here = np.arange(n)
-        low, high = p[here, grades], p[here, grades + 1]
-        mass = np.maximum(low - high, 1e-9)
-        d_low, d_high = low * (1 - low), high * (1 - high)
-        d_score = own * (d_low - d_high) / mass
-        grad = np.zeros_like(theta)
-        grad[:width] = np.bincount(columns, d_score[rows] * values, width) - ridge * w
-        d_cut = np.zeros(cuts.size + 2)
-        np.add.at(d_cut, grades, -own * d_low / mass)
-        np.add.at(d_cut, grades + 1, own * d_high / mass)
-        d_cut = d_cut[1:-1]
-        grad[width] = d_cut.sum()
-        grad[width + 1 :] = np.cumsum(d_cut[::-1])[::-1][1:] * steps_up
+        _, grad = objective(theta, width, rows, columns, values, grades, own, ridge)
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         theta += rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8) / (1 + step / 100)
     weights = np.zeros(BUCKETS + FORMS)
@@ -126,19 +139,24 @@ def fit(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.nd
     return Model(weights, theta[width] + np.r_[0, np.cumsum(np.exp(theta[width + 1 :]))])
 
 
-def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample: int = 3000, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade") -> Model:
+def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample: int = 3000, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", alike: int = 4) -> Model:
     """Fits on a bounded sample: about ``sample`` rated documents of each grade, chosen by a hash of their id.
 
     ratings: id_col and grade_col (0 to n_grades - 1); of several ratings of a document the lowest holds, and
-    null grades and ids don't count. The sample's hashed words come to the driver, nothing else. Without ratings all
-    weights are 0 and every grade is the highest.
+    null grades and ids don't count. Documents that repeat a rated id each count; null texts count as empty; other columns, whatever
+    their names, are not read. The sample's hashed words come to the driver, nothing else. alike: of the sample's documents of one
+    grade that share so many least hashes of their words (near copies, for the most part) one counts, else the words of a text
+    that is copied often would seem to tell its grade; 0: all count.
+
+    Where no rated document is there (no ratings, no documents, or ids that don't meet) nothing can be told: all weights are 0 and every text is
+    given the highest grade. Where all are of one grade there is nothing to tell apart either, and every text is given that grade.
     """
     rated = ratings.select(ratings[id_col].alias("id"), ratings[grade_col].cast("int").alias("grade")).where(F.col("grade").between(0, n_grades - 1) & F.col("id").isNotNull()).groupBy("id").agg(F.min("grade").alias("grade"))
     sizes = {r.grade: r.n for r in rated.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return Model(np.zeros(BUCKETS + FORMS), np.full(n_grades - 1, -500.0))
-    share = F.create_map(*[F.lit(x) for g, n in sizes.items() for x in (g, int(min(1.0, sample / n) * 1_000_000))])
-    chosen = rated.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share[F.col("grade")])
+        return constant(n_grades - 1, n_grades)
+    share = F.create_map(*[F.lit(x) for g, n in sizes.items() for x in (g, sample_limit(n, sample))])
+    chosen = rated.where(sampled(F.xxhash64("id"), share[F.col("grade")]))
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches):
@@ -150,13 +168,15 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample: int =
     found = rows.mapInArrow(hashed, "grade int, words array<int>, form array<double>").toArrow()
     found = found.combine_chunks()
     grades = found["grade"].to_numpy().astype(np.int64)
+    if np.unique(grades).size < 2:
+        return constant(int(grades[0]) if grades.size else n_grades - 1, n_grades)
     forms = np.array(found["form"].to_pylist(), float).reshape(-1, FORMS)
     lists = found["words"].combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    # of near copies, which mostly share their four least mixed hashes, one counts where there are eight or more: else the words of a copied text seem to tell its grade
+    # short texts are told apart; the hashes are mixed, as their order should not be that of the buckets
     mixed = flat.astype(np.uint32) * np.uint32(2654435761)
-    least = [np.sort(mixed[a:b])[:4].tolist() if b - a >= 8 else [i] for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))]
+    least = [np.sort(mixed[a:b])[:alike].tolist() if alike and b - a >= 2 * alike else [i] for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))]
     chosen = {(grades[i], *least[i]): i for i in np.lexsort(forms.T)}
     chosen = np.array(sorted(chosen.values()), np.int64)
     grades, forms, lengths = grades[chosen], forms[chosen], np.diff(ends)[chosen]
