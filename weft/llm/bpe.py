@@ -42,14 +42,25 @@ class Merges:
         self.last = np.array([vocab[c + suffix] for c in letters], np.int64)
         self.width = max(self.pieces) + 1
         # of a pair listed twice the later rank holds
-        ranks = {vocab[a] * self.width + vocab[b]: (rank, vocab[a + b]) for rank, (a, b) in enumerate(model["merges"])}
+        ranks = {vocab[a] * self.width + vocab[b]: rank for rank, (a, b) in enumerate(model["merges"])}
         keys = sorted(ranks)
         self.keys = np.array(keys, np.int64)
-        self.ranks = np.array([ranks[k][0] for k in keys], np.int64)
-        self.made = np.array([ranks[k][1] for k in keys], np.int64)
+        self.ranks = np.array([ranks[k] for k in keys], np.int64)
+        #: what the merge of each rank makes
+        self.made = np.array([vocab[a + b] for a, b in model["merges"]], np.int64)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols; NONE where they don't merge."""
+        key = left * self.width + right
+        slot = np.minimum(np.searchsorted(self.keys, key), self.keys.size - 1)
+        return np.where(self.keys[slot] == key, self.ranks[slot], NONE)
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words, one after another, and how many each word has. An empty word has none."""
+        """The ids of all words, one after another, and how many each word has. An empty word has none.
+
+        A pair's rank is looked up once, when its symbols become neighbours. Rounds are as many as the word with the most distinct
+        ranks has merges, and each passes over the symbols of the words that are not done.
+        """
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         counts = np.zeros(len(words), np.int64)
         raw = np.frombuffer(b"".join(words), np.uint8)
@@ -57,30 +68,38 @@ class Merges:
         ends = np.cumsum(sizes)[sizes > 0] - 1
         flat[ends] = self.last[raw[ends]]
         done_ids, done_owner = [], []
-        while flat.size:
-            pair = np.full(flat.size, NONE)
+        pair = np.full(flat.size, NONE)  # of each symbol with the next one
+        if flat.size > 1:
             at = np.flatnonzero(owner[:-1] == owner[1:])
-            key = flat[at] * self.width + flat[at + 1]
-            slot = np.minimum(np.searchsorted(self.keys, key), self.keys.size - 1)
-            known = self.keys[slot] == key
-            pair[at[known]] = self.ranks[slot[known]]
+            pair[at] = self._ranks(flat[at], flat[at + 1])
+        while flat.size:
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            least = np.repeat(np.minimum.reduceat(pair, starts), np.diff(np.r_[starts, flat.size]))
-            ended = least == NONE
-            if ended.any():
+            lengths = np.diff(np.r_[starts, flat.size])
+            least = np.minimum.reduceat(pair, starts)
+            if (least == NONE).any():
+                ended = np.repeat(least == NONE, lengths)
                 done_ids.append(flat[ended])
                 done_owner.append(owner[ended])
-            chosen = (pair == least) & ~ended
+                flat, owner, pair = flat[~ended], owner[~ended], pair[~ended]
+                lengths, least = lengths[least != NONE], least[least != NONE]
+                if not flat.size:
+                    break
+            chosen = np.flatnonzero(pair == np.repeat(least, lengths))
             # of a run of overlapping occurrences every second one merges
-            place = np.arange(flat.size)
-            began = chosen & ~np.r_[False, chosen[:-1]]
-            run = place - np.maximum.accumulate(np.where(began, place, 0))
-            left = np.flatnonzero(chosen & (run % 2 == 0))
-            key = flat[left] * self.width + flat[left + 1]
-            flat[left] = self.made[np.searchsorted(self.keys, key)]
-            keep = ~ended
+            place = np.arange(chosen.size)
+            began = np.r_[True, np.diff(chosen) != 1]
+            left = chosen[(place - np.maximum.accumulate(np.where(began, place, 0))) % 2 == 0]
+            flat[left] = self.made[pair[left]]
+            pair[left] = pair[left + 1]
+            keep = np.ones(flat.size, bool)
             keep[left + 1] = False
-            flat, owner = flat[keep], owner[keep]
+            flat, owner, pair = flat[keep], owner[keep], pair[keep]
+            # the merged symbols' pairs are new
+            left -= np.arange(left.size)
+            at = np.union1d(left, left[left > 0] - 1)
+            at = at[at + 1 < flat.size]
+            at = at[owner[at] == owner[at + 1]]
+            pair[at] = self._ranks(flat[at], flat[at + 1])
         if not done_ids:
             return np.zeros(0, np.int64), counts
         ids, owner = np.concatenate(done_ids), np.concatenate(done_owner)
