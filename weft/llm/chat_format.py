@@ -18,10 +18,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.common import byte_slices
+
 #: The template's control strings.
 HEAD, COLON, FOOT = "### ", ": ", "</turn>"
 TURN = re.compile(r"### ((?:\\.|[^\\:])*): ((?:\\.|[^\\])*?)</turn>\n", re.S)
 ESCAPED = re.compile(r"\\(.)", re.S)
+#: Bytes of roles and texts that one buffer is assembled from, unless a single turn is longer; escapes at most double them.
+BYTES = 16 << 20
 #: The roles whose texts are trained on.
 TRAINED = ("assistant",)
 
@@ -76,7 +80,8 @@ def format_turns(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn
     turns of other roles). Null roles and texts are empty. The turns of a conversation are sorted by turn_col,
     nulls first, then role and text, and stand in one partition one after another; a conversation's formatted
     text is the turns' joined, and is never held as a whole here. Repeated rows are repeated turns; a null id is a
-    conversation of its own; an empty table gives an empty one.
+    conversation of its own; an empty table gives an empty one. Other columns, whatever their names, are not read. A single
+    turn may have a gigabyte, as Arrow's strings end at two; a longer one is an error.
     """
     kinds = {c: rows.schema[c].dataType.simpleString() for c in (id_col, turn_col)}
     own = rows.select(rows[id_col].alias("id"), rows[turn_col].alias("turn"), F.coalesce(rows[role_col].cast("string"), F.lit("")).alias("role"), F.coalesce(rows[text_col].cast("string"), F.lit("")).alias("text"))
@@ -84,8 +89,9 @@ def format_turns(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
+            sizes = pc.add(pc.binary_length(whole.column(2)), pc.binary_length(whole.column(3))).to_numpy(zero_copy_only=False)
+            for at, stop in byte_slices(sizes, BYTES):
+                batch = whole.slice(at, stop - at)
                 formatted, start, end = assemble(batch.column(2), batch.column(3))
                 head = pc.utf8_length(escape(batch.column(2), (":",))).to_numpy(zero_copy_only=False) + len(HEAD + COLON)
                 body = pc.utf8_length(formatted).to_numpy(zero_copy_only=False) - head - len(FOOT) - 1
