@@ -2,14 +2,14 @@
 
 import re
 
-import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from weft.llm import simhash, word_bpe
+from weft.llm import quality
 from weft.llm.queries import ORACLES, QUERIES, WORD_BPE, path
 
-from .test_operators import linked, plain_line_dedup
+from .test_operators import plain_line_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,10 +41,46 @@ def test_line_dedup_stage(stages):
     assert all(r["n_chars"] == len(r["text"]) for r in stages[2].collect() if r["text"] != before[r["doc_id"]])
 
 
+def plain_quality(before, ratings):
+    """Which documents stay, by a plain evaluation of the model that the stage trains: weights and thresholds, one text after another."""
+    model = quality.train(before, ratings)
+    top = float(model.thresholds[-1])
+    kept = set()
+    for k, t in texts(before).items():
+        score = sum(float(model.weights[quality.bucket(w)]) for w in quality.features(t)) + sum(float(w) * x for w, x in zip(model.weights[quality.BUCKETS :], quality.form(t or ""), strict=True))
+        if score >= top:  # a tail probability of a half or more
+            kept.add(k)
+    return kept
+
+
+def test_quality_stage(spark, stages):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    kept = set(texts(stages[1]))
+    assert kept == plain_quality(stages[0], quality.label_grades(labels))
+    grades = {r["doc_id"]: r["grade"] for r in quality.label_grades(labels).collect()}
+    assert sum(k in kept for k, g in grades.items() if g == 2) > 0.85 * sum(g == 2 for g in grades.values())
+    assert sum(k in kept for k, g in grades.items() if g == 0) < 0.2 * sum(g == 0 for g in grades.values())
+
+
 def test_near_dedup_stage(stages):
     before = sorted(texts(stages[2]).items())
-    first = linked([simhash.fingerprint(t) for _, t in before])
-    assert set(texts(stages[3])) == {k for i, (k, _) in enumerate(before) if first[i] == i}
+    sets = []
+    for _, t in before:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({k: k + 32 for k in range(65, 91)}))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    first = list(range(len(before)))
+
+    def root(i):
+        while first[i] != i:
+            i = first[i]
+        return i
+
+    for i in range(len(before)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                first[b] = a
+    assert set(texts(stages[3])) == {k for i, (k, _) in enumerate(before) if root(i) == i}
 
 
 def test_decontamination_stage(spark, stages):
@@ -61,9 +97,10 @@ def test_decontamination_stage(spark, stages):
 
 
 def test_encoding_stage(stages):
-    before, library = texts(stages[4]), word_bpe.WordTable(path(WORD_BPE))
-    rows = {r["doc_id"]: r["ids"] for r in stages[5].collect()}
-    assert rows == {k: np.frombuffer(ids, "<u4").tolist() for (k, _), (ids, _) in zip(before.items(), library.encode(list(before.values())), strict=True)}
+    before, library = texts(stages[4]), Tokenizer.from_file(path(WORD_BPE))
+    rows = stages[5].collect()
+    assert {r["doc_id"]: r["ids"] for r in rows} == {k: library.encode(t or "", add_special_tokens=False).ids for k, t in before.items()}
+    assert all(r["decoded"] == library.decode(r["ids"], skip_special_tokens=False) and r["n_tokens"] == len(r["ids"]) for r in rows)
 
 
 def test_run_and_queries(spark, stages):

@@ -36,7 +36,8 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return word_bpe.bpe_encode(table(spark, sf_dir, "documents"), path(WORD_BPE), full=False)
+    out = word_bpe.bpe_encode(table(spark, sf_dir, "documents"), path(WORD_BPE), as_bytes=True)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +48,8 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +82,7 @@ def _secrets_sql() -> str:
     forms = [(k, name, pattern.replace("'", "''"), group, least) for k, (name, pattern, group, least) in enumerate((*secrets.FORMS, loose))]
     found = " UNION ALL ".join(f"SELECT doc_id, {k} AS k, {least} AS least, regexp_extract_all(t, '{p}') AS h, regexp_extract_all(t, '{p}', {group}) AS s, string_split_regex(t, '{p}') AS g FROM d" for k, _, p, group, least in forms)
     threshold = " ".join(f"WHEN regexp_matches(hit, '{p}') THEN {bits}" for p, bits in secrets.CLASSES[:-1])
-    allowed = " OR ".join([*(f"regexp_matches(hit, '{p}')" for p in secrets.ALLOWED), *(f"substr(hit, {k + 1}) = substr(hit, 1, length(hit) - {k})" for k in range(1, secrets.PERIOD + 1))])
+    allowed = " OR ".join([*("(" + " AND ".join([*(f"regexp_matches(hit, '{p}')" for p in must), *(f"NOT regexp_matches(hit, '{p}')" for p in never)]) + ")" for must, never in secrets.ALLOWED), *(f"substr(hit, {k + 1}) = substr(hit, 1, length(hit) - {k})" for k in range(1, secrets.PERIOD + 1))])
     windows = f"list_max(list_transform(range(0, length(hit) - {secrets.WINDOW - 1}), lambda i: list_entropy(string_split(substr(hit, i + 1, {secrets.WINDOW}), ''))))"
     names = ", ".join(f"'{name}'" for _, name, *_ in forms)
     counts = ", ".join(f"(count(*) FILTER (k = {k}))::BIGINT AS n_{name}" for k, name, *_ in forms)

@@ -1,41 +1,50 @@
-"""BPE encoding and decoding through tables of distinct words."""
+"""BPE encoding and decoding through a table of distinct words.
+
+Texts are split into words, some of them at a time: such a block keeps its distinct words once, and each text as the numbers of
+its words. The distinct words of all blocks make one table, in which each is encoded once; its ids are joined back to the
+blocks by word, and within a block to the texts by position. Ids are decoded through the vocabulary's table of pieces.
+"""
 
 from __future__ import annotations
 
-import hashlib
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from weft.llm.bpe import SPACE, Merges
-from weft.llm.common import text_chunks
+from weft.llm.common import checkpoint, text_chunks
 
 #: How the word-level vocabulary splits lower-cased text.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
 
-#: Distinct words that a worker's table holds; beyond that it starts anew, which costs time and changes no result.
-KNOWN = 200_000
+#: Bytes of text in a block, unless a single text is longer.
+BLOCK = 8_000_000
 
 
-class WordTable:
-    """The distinct words seen, each encoded once: its ids as little-endian 32-bit integers and its pieces."""
+class Vocabulary:
+    """A word-level vocabulary: how it splits, its merges and its pieces."""
 
     def __init__(self, path: str):
         self.merges = Merges(path)
         self.split = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.merges.specials, key=len, reverse=True))) + ")" if self.merges.specials else r"((?!))")
-        self.fixed = {word: (np.array([i], "<u4").tobytes(), word) for word, i in self.merges.specials.items()}
-        self.known: dict[str, tuple[bytes, str]] = {}
+        #: an id that no piece has has an empty one
+        self.pieces = pa.array([self.merges.pieces.get(i, "") for i in range(self.merges.width)], pa.string())
 
-    def words(self, text: str | None) -> list[tuple[bool, list[str]]]:
-        """A text's words in order, in stretches; True marks a special token."""
+    def words(self, text: str | None) -> list[str | int]:
+        """A text's words in order; a special token is its id."""
         parts = self.special.split(text or "")
-        return [(True, [p]) if k % 2 else (False, self.split(self.normal(p))) for k, p in enumerate(parts)]
+        if len(parts) == 1:
+            return self.split(self.normal(parts[0]))
+        return [w for k, p in enumerate(parts) for w in ([self.merges.specials[p]] if k % 2 else self.split(self.normal(p)))]
 
     @staticmethod
     def normal(part: str) -> str:
@@ -43,80 +52,146 @@ class WordTable:
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # letters are lowered one by one
         return part.lower()
 
-    def pieces(self, ids: np.ndarray) -> list[str]:
-        """The piece of each id."""
-        return [self.merges.pieces[i] for i in ids.tolist()]
-
-    def learn(self, words: set[str]) -> None:
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > KNOWN and self.known:
-            self.known.clear()
-            new = words
-        new = list(new)
-        ids, counts = self.merges.encode([w.encode() for w in new])
-        ends = np.cumsum(counts)
-        for word, start, end in zip(new, (ends - counts).tolist(), ends.tolist(), strict=True):
-            own = ids[start:end]
-            self.known[word] = own.astype("<u4").tobytes(), " ".join(self.pieces(own))
-
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
-        """Each text's ids, as bytes, and its decoded text: both joined from the table's rows by position."""
-        split = [self.words(t) for t in texts]
-        self.learn({w for text in split for special, words in text if not special for w in words})
-        for text in split:
-            rows = [(self.fixed if special else self.known)[w] for special, words in text for w in words]
-            yield b"".join([r[0] for r in rows]), " ".join([r[1] for r in rows])
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """Each list of ids as its pieces, joined by a space; null: an empty text."""
+        flat = ids.flatten()
+        if len(flat) and pc.max(flat).as_py() >= len(self.pieces):
+            raise ValueError("an id outside the vocabulary")
+        sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        pieces = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), self.pieces.take(flat))
+        return pc.binary_join(pieces, " ")
 
 
 @lru_cache(2)
-def word_table(path: str) -> WordTable:
-    """The worker's own table; it stays for later tasks."""
-    return WordTable(path)
+def vocabulary_of(path: str) -> Vocabulary:
+    """The worker's own vocabulary; it stays for later tasks."""
+    return Vocabulary(path)
+
+
+def split_blocks(docs: DataFrame, vocabulary: str, id_col: str, text_col: str) -> DataFrame:
+    """Per block: its number, its texts' ids and numbers of words, its distinct words, and of each word of its texts the number (compressed).
+
+    A special token has the number -1 - id.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, block = vocabulary_of(vocabulary), TaskContext.get().partitionId() << 32
+        for part, texts in text_chunks(batches, chars=BLOCK):
+            words = [own.words(t) for t in texts]
+            number: dict[str, int] = {}
+            for some in words:
+                for w in some:
+                    if w.__class__ is str:
+                        number.setdefault(w, len(number))
+            sizes = np.fromiter(map(len, words), np.int32, len(words))
+            places = np.fromiter((number[w] if w.__class__ is str else -1 - w for some in words for w in some), np.int32, int(sizes.sum(dtype=np.int64)))
+            row = [pa.array([block]), one_list(part.column(0)), one_list(pa.array(sizes)), one_list(pa.array(list(number), pa.string())), pa.array([packed(places)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(row, ["block", "ids", "sizes", "words", "places"])
+            block += 1
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    return rows.mapInArrow(run, f"block bigint, ids array<{kind}>, sizes array<int>, words array<string>, places binary")
+
+
+def one_list(values: pa.Array) -> pa.ListArray:
+    """All values as one row."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
 
+def packed(places: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, the low bytes of all first."""
+    planes = np.ascontiguousarray(places.astype("<i4")).view(np.uint8).reshape(-1, 4).T
+    return len(places).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
-def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", full: bool = True) -> DataFrame:
-    """Per row: id_col, n_tokens, ids and decoded (when full) and their digests ids_sha256, decoded_sha256.
+
+def unpacked(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], 4 * n, codec="zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<i4").ravel()
+
+
+def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
+    """Per word of one column word: word and its ids, as little-endian 32-bit integers."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merges = vocabulary_of(vocabulary).merges
+        for part, texts in text_chunks(batches, "word"):
+            ids, counts = merges.encode([w.encode() for w in texts])
+            offsets = np.r_[0, 4 * np.cumsum(counts)].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4"))])], ["word", "ids"])
+
+    return words.mapInArrow(run, "word string, ids binary")
+
+
+def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", as_bytes: bool = False) -> DataFrame:
+    """Per row: id_col, n_tokens, ids and decoded.
 
     vocabulary: a BPE file with word ends of the tokenizers library, at the same path on all executors. ids are
-    those of the library without added special tokens, truncation or padding; decoded joins the ids' pieces as
-    the library does without a decoder. ids_sha256 is of the ids as little-endian unsigned 32-bit integers.
+    those of the library without added special tokens, truncation or padding, as an array or (as_bytes) as little-endian unsigned 32-bit
+    integers; decoded joins the ids' pieces as the library does without a decoder.
     A null or empty text has no ids and an empty decoding; repeated rows and null ids come out as they came in;
-    an empty table gives an empty one.
+    an empty table gives an empty one; other columns, whatever their names, are not read.
 
-    Every task keeps a table of the distinct words of its texts, encodes each of these once and joins ids and
-    pieces back by position, in one pass without a shuffle.
+    What is shuffled are the distinct words of each block of texts, with their ids on the way back, and the compressed word
+    numbers; the split texts are written once to the checkpoint folder. A block is in memory as a whole: BLOCK bytes of text, or one longer text.
     """
+    blocks = checkpoint(split_blocks(docs, vocabulary, id_col, text_col))
+    words = blocks.select("block", F.posexplode("words").alias("place", "word"))
+    table = encode_words(words.select("word").distinct(), vocabulary)
+    rows = words.join(table, "word").groupBy("block").agg(F.collect_list(F.struct("place", F.col("ids").alias("own"))).alias("table"))
+    whole = blocks.select("block", F.col("ids").alias("keys"), "sizes", "places").join(rows, "block", "left").select("keys", "sizes", "places", "table")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_table(vocabulary).encode
-        for part, texts in text_chunks(batches):
-            rows = list(encode(texts))
-            columns = [part.column(0), pa.array([len(a) // 4 for a, _ in rows], pa.int64()), pa.array([hashlib.sha256(a).hexdigest() for a, _ in rows], pa.string()), pa.array([hashlib.sha256(b.encode()).hexdigest() for _, b in rows], pa.string())]
-            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if full:
-                flat = np.frombuffer(b"".join([a for a, _ in rows]), "<u4").astype(np.int32)
-                ends = np.cumsum([0, *(len(a) // 4 for a, _ in rows)]).astype(np.int32)
-                columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([b for _, b in rows], pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+        own = vocabulary_of(vocabulary)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                keys, sizes, places, table = (c.slice(k, 1) for c in batch.columns)
+                found = table.flatten()
+                order = np.argsort(found.field("place").to_numpy(zero_copy_only=False)) if len(found) else np.zeros(0, np.int64)
+                flat, begins, lengths = words_ids(found.field("own").take(pa.array(order)) if len(found) else pa.array([], pa.binary()))
+                numbers = unpacked(places[0].as_py())
+                ids, counts = gathered(numbers, flat, begins, lengths)
+                per_text = sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                ends = np.r_[0, np.cumsum(counts)][np.r_[0, np.cumsum(per_text)]]
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                raw = pa.Array.from_buffers(pa.binary(), len(per_text), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))]) if as_bytes else lists
+                yield pa.RecordBatch.from_arrays([keys.flatten(), pa.array(np.diff(ends)), raw, own.decode(lists)], ["id", "n_tokens", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    out = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full
-    return rows.mapInArrow(run, out).withColumnRenamed("id", id_col)
+    return whole.mapInArrow(run, f"id {kind}, n_tokens bigint, ids {'binary' if as_bytes else 'array<int>'}, decoded string").withColumnRenamed("id", id_col)
+
+
+def words_ids(rows: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids of the words of a block, one after another, and where each word's begin and how many they are."""
+    ends = np.r_[0, np.cumsum(pc.binary_length(rows).to_numpy(zero_copy_only=False).astype(np.int64))] // 4
+    return np.frombuffer(b"".join(rows.to_pylist()), "<u4").astype(np.int64), ends[:-1], np.diff(ends)
+
+
+def gathered(numbers: np.ndarray, flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a sequence of words, given by number, and how many each has; a negative number is a special token's id."""
+    special = numbers < 0
+    counts = np.ones(numbers.size, np.int64)
+    counts[~special] = lengths[numbers[~special]]
+    starts = np.zeros(numbers.size, np.int64)
+    starts[~special] = begins[numbers[~special]]
+    ends = np.cumsum(counts)
+    at = np.arange(int(ends[-1]) if ends.size else 0) + np.repeat(starts - ends + counts, counts)
+    ids = flat[np.minimum(at, max(flat.size - 1, 0))] if flat.size else np.zeros(at.size, np.int64)
+    ids[(ends - counts)[special]] = -1 - numbers[special]
+    return ids, counts
 
 
 def bpe_decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Per row of ids: id_col and decoded, the ids' pieces joined by a space; null or no ids: an empty text.
 
-    The vocabulary's id-to-piece table has a fixed size and travels with the task. An id outside it is an error.
+    The vocabulary's id-to-piece table has a fixed size and travels with the task. An id outside it is an error. Repeated rows and
+    null ids come out as they came in; an empty table gives an empty one.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = word_table(vocabulary).merges.pieces
         for part in batches:
-            texts = [" ".join([pieces[i] for i in ids or ()]) for ids in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["id", "decoded"])
+            yield pa.RecordBatch.from_arrays([part.column(0), vocabulary_of(vocabulary).decode(part.column(1))], ["id", "decoded"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
     rows = encoded.select(encoded[id_col].alias("id"), encoded[ids_col].alias("ids"))
