@@ -1,8 +1,8 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Texts are split into words, some of them at a time: such a block keeps its distinct words once, and each text as the numbers of
-its words. The distinct words of all blocks make one table, in which each is encoded once; its ids are joined back to the
-blocks by word, and within a block to the texts by position. Ids are decoded through the vocabulary's table of pieces.
+its words. The distinct words of all blocks make one table, dealt out by hash, in which each is encoded once; the ids are joined back
+to the blocks, and within a block to the texts, by position. Ids are decoded through the vocabulary's table of pieces.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.bpe import SPACE, Merges
-from weft.llm.common import checkpoint, text_chunks
+from weft.llm.common import text_chunks
 
 #: How the word-level vocabulary splits lower-cased text.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
@@ -68,15 +69,16 @@ def vocabulary_of(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def split_blocks(docs: DataFrame, vocabulary: str, id_col: str, text_col: str) -> DataFrame:
-    """Per block: its number, its texts' ids and numbers of words, its distinct words, and of each word of its texts the number (compressed).
+def split_blocks(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, parts: int) -> DataFrame:
+    """Per block: its number, its texts' ids and numbers of words, of each word of its texts the number in the block, and the distinct words.
 
-    A special token has the number -1 - id.
+    The distinct words are dealt out by hash: part_of has the part of each, and words those of each part, in order, line by line.
+    A special token has the number -1 - id. Numbers and words are compressed.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, block = vocabulary_of(vocabulary), TaskContext.get().partitionId() << 32
-        for part, texts in text_chunks(batches, chars=BLOCK):
+        for batch, texts in text_chunks(batches, chars=BLOCK):
             words = [own.words(t) for t in texts]
             number: dict[str, int] = {}
             for some in words:
@@ -85,13 +87,18 @@ def split_blocks(docs: DataFrame, vocabulary: str, id_col: str, text_col: str) -
                         number.setdefault(w, len(number))
             sizes = np.fromiter(map(len, words), np.int32, len(words))
             places = np.fromiter((number[w] if w.__class__ is str else -1 - w for some in words for w in some), np.int32, int(sizes.sum(dtype=np.int64)))
-            row = [pa.array([block]), one_list(part.column(0)), one_list(pa.array(sizes)), one_list(pa.array(list(number), pa.string())), pa.array([packed(places)], pa.binary())]
-            yield pa.RecordBatch.from_arrays(row, ["block", "ids", "sizes", "words", "places"])
+            raw = [w.encode() for w in number]
+            part_of = np.fromiter((crc32(w) % parts for w in raw), np.int32, len(raw))
+            order = np.argsort(part_of, kind="stable")
+            at, starts = np.unique(part_of[order], return_index=True)
+            lists = [compressed(b"\n".join([raw[k] for k in some])) for some in np.split(order.tolist(), starts[1:])] if at.size else []
+            row = [pa.array([block]), one_list(batch.column(0)), one_list(pa.array(sizes)), pa.array([packed(places)], pa.binary()), pa.array([packed(part_of)], pa.binary()), one_list(pa.array(at, pa.int32())), one_list(pa.array(lists, pa.binary()))]
+            yield pa.RecordBatch.from_arrays(row, ["block", "ids", "sizes", "places", "part_of", "parts", "words"])
             block += 1
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, f"block bigint, ids array<{kind}>, sizes array<int>, words array<string>, places binary")
+    return rows.mapInArrow(run, f"block bigint, ids array<{kind}>, sizes array<int>, places binary, part_of binary, parts array<int>, words array<binary>")
 
 
 def one_list(values: pa.Array) -> pa.ListArray:
@@ -99,29 +106,45 @@ def one_list(values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def packed(places: np.ndarray) -> bytes:
-    """Numbers as compressed bytes, the low bytes of all first."""
-    planes = np.ascontiguousarray(places.astype("<i4")).view(np.uint8).reshape(-1, 4).T
-    return len(places).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+def compressed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def expanded(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], n, codec="zstd", asbytes=True) if (n := int.from_bytes(raw[:8], "little")) else b""
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as compressed bytes, the low bytes of all first."""
+    return compressed(np.ascontiguousarray(numbers.astype("<i4")).view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    n = int.from_bytes(raw[:8], "little")
-    planes = np.frombuffer(pa.decompress(raw[8:], 4 * n, codec="zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, n).T).view("<i4").ravel()
+    planes = np.frombuffer(expanded(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
-def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
-    """Per word of one column word: word and its ids, as little-endian 32-bit integers."""
+def encode_words(lists: DataFrame, vocabulary: str) -> DataFrame:
+    """block, part, words to block, part, counts and ids of these words. All lists of a part are in one partition, where each distinct word is encoded once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = vocabulary_of(vocabulary).merges
-        for part, texts in text_chunks(batches, "word"):
-            ids, counts = merges.encode([w.encode() for w in texts])
-            offsets = np.r_[0, 4 * np.cumsum(counts)].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4"))])], ["word", "ids"])
+        number: dict[bytes, int] = {}
+        flat, counts, begins = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        for batch in batches:
+            lists = [expanded(raw).split(b"\n") for raw in batch.column(2).to_pylist()]
+            new = list(dict.fromkeys(w for some in lists for w in some if w not in number))
+            ids, n = merges.encode(new)
+            number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
+            begins = np.r_[begins, flat.size + np.cumsum(n) - n]
+            flat, counts = np.r_[flat, ids.astype(np.int32)], np.r_[counts, n.astype(np.int32)]
+            found = []
+            for some in lists:
+                at = np.fromiter(map(number.__getitem__, some), np.int64, len(some))
+                found.append((packed(counts[at]), packed(gathered(at, flat, begins, counts)[0])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.binary()) for c in (zip(*found, strict=True) if found else ([], [])))], ["block", "part", "counts", "own"])
 
-    return words.mapInArrow(run, "word string, ids binary")
+    return lists.mapInArrow(run, "block bigint, part int, counts binary, own binary")
 
 
 def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", as_bytes: bool = False) -> DataFrame:
@@ -133,39 +156,47 @@ def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     A null or empty text has no ids and an empty decoding; repeated rows and null ids come out as they came in;
     an empty table gives an empty one; other columns, whatever their names, are not read.
 
-    What is shuffled are the distinct words of each block of texts, with their ids on the way back, and the compressed word
-    numbers; the split texts are written once to the checkpoint folder. A block is in memory as a whole: BLOCK bytes of text, or one longer text.
+    The blocks are shuffled once, by number, and stay there; their distinct words go to the word's own part of the table and come back as ids.
+    In memory are a block as a whole (BLOCK bytes of text, or one longer text) and a part of the table (the distinct words by the number of shuffle partitions).
     """
-    blocks = checkpoint(split_blocks(docs, vocabulary, id_col, text_col))
-    words = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    table = encode_words(words.select("word").distinct(), vocabulary)
-    rows = words.join(table, "word").groupBy("block").agg(F.collect_list(F.struct("place", F.col("ids").alias("own"))).alias("table"))
-    whole = blocks.select("block", F.col("ids").alias("keys"), "sizes", "places").join(rows, "block", "left").select("keys", "sizes", "places", "table")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = split_blocks(docs, vocabulary, id_col, text_col, parts).repartition(parts, "block")
+
+    def lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                at, words = (batch.column(c).slice(k, 1).flatten() for c in (5, 6))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), batch.column(0)[k].as_py())), at, words], ["block", "part", "words"])
+
+    # the shuffle has all columns here and below, so it is done once
+    table = encode_words(blocks.mapInArrow(lists, "block bigint, part int, words binary").repartition(parts, "part"), vocabulary)
+    back = table.groupBy("block").agg(F.collect_list(F.struct("part", "counts", "own")).alias("table")).withColumnRenamed("block", "of")
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    whole = blocks.join(back, F.col("block") == F.col("of"), "left").select(*blocks.columns, "table")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary_of(vocabulary)
         for batch in batches:
             for k in range(batch.num_rows):
-                keys, sizes, places, table = (c.slice(k, 1) for c in batch.columns)
-                found = table.flatten()
-                order = np.argsort(found.field("place").to_numpy(zero_copy_only=False)) if len(found) else np.zeros(0, np.int64)
-                flat, begins, lengths = words_ids(found.field("own").take(pa.array(order)) if len(found) else pa.array([], pa.binary()))
-                numbers = unpacked(places[0].as_py())
-                ids, counts = gathered(numbers, flat, begins, lengths)
+                _, keys, sizes, places, part_of, _, _, table = (c.slice(k, 1) for c in batch.columns)
+                found = sorted((r["part"], r["counts"], r["own"]) for r in table[0].as_py() or ())
+                lengths = np.concatenate([unpacked(c) for _, c, _ in found] or [np.zeros(0, np.int32)]).astype(np.int64)
+                flat = np.concatenate([unpacked(x) for _, _, x in found] or [np.zeros(0, np.int32)])
+                begins = np.cumsum(lengths) - lengths
+                # the table has the words by part, the numbers are in order of appearance
+                order = np.argsort(unpacked(part_of[0].as_py()), kind="stable")
+                at = np.empty_like(order)
+                at[order] = np.arange(order.size)
+                ids, counts = gathered(unpacked(places[0].as_py()), flat, begins[at], lengths[at])
                 per_text = sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 ends = np.r_[0, np.cumsum(counts)][np.r_[0, np.cumsum(per_text)]]
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 raw = pa.Array.from_buffers(pa.binary(), len(per_text), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))]) if as_bytes else lists
                 yield pa.RecordBatch.from_arrays([keys.flatten(), pa.array(np.diff(ends)), raw, own.decode(lists)], ["id", "n_tokens", "ids", "decoded"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return whole.mapInArrow(run, f"id {kind}, n_tokens bigint, ids {'binary' if as_bytes else 'array<int>'}, decoded string").withColumnRenamed("id", id_col)
-
-
-def words_ids(rows: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All ids of the words of a block, one after another, and where each word's begin and how many they are."""
-    ends = np.r_[0, np.cumsum(pc.binary_length(rows).to_numpy(zero_copy_only=False).astype(np.int64))] // 4
-    return np.frombuffer(b"".join(rows.to_pylist()), "<u4").astype(np.int64), ends[:-1], np.diff(ends)
+    out = whole.mapInArrow(run, f"id {kind}, n_tokens bigint, ids {'binary' if as_bytes else 'array<int>'}, decoded string")
+    return out.withColumnRenamed("id", id_col)
 
 
 def gathered(numbers: np.ndarray, flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +208,7 @@ def gathered(numbers: np.ndarray, flat: np.ndarray, begins: np.ndarray, lengths:
     starts[~special] = begins[numbers[~special]]
     ends = np.cumsum(counts)
     at = np.arange(int(ends[-1]) if ends.size else 0) + np.repeat(starts - ends + counts, counts)
-    ids = flat[np.minimum(at, max(flat.size - 1, 0))] if flat.size else np.zeros(at.size, np.int64)
+    ids = flat[np.minimum(at, flat.size - 1)] if flat.size else np.zeros(at.size, np.int64)
     ids[(ends - counts)[special]] = -1 - numbers[special]
     return ids, counts
 
