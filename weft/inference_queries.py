@@ -13,14 +13,14 @@ from weft.sources.graphs import read
 
 OWN = "ow AS (SELECT src, tgt, least(max(weight), 1) AS w FROM pairs WHERE src <> tgt{} GROUP BY ALL)"
 CHAIN = OWN.format(" AND label = 'inter'") + ", f0 AS (SELECT src, tgt, 0 AS depth, w AS score FROM ow)" + "".join(f", f{k} AS (SELECT * FROM f{k - 1} UNION ALL SELECT p.src, q.tgt, {k}, max(score * q.w * 0.9::DOUBLE) FROM f{k - 1} p JOIN ow q ON p.tgt = q.src WHERE p.src <> q.tgt AND p.depth = {k - 1} AND NOT EXISTS (SELECT 1 FROM f{k - 1} z WHERE z.src = p.src AND z.tgt = q.tgt) GROUP BY p.src, q.tgt)" for k in (1, 2, 3))
-add("forward_chain", "trade", lambda g: rounded(inference.forward_chain(g, "inter"), "score"), f"SELECT src, tgt, depth::BIGINT AS depth, {r('score')} AS score FROM f3 WHERE depth > 0", CHAIN)
-add("derivations", "trade", lambda g: inference.derivations(g, "N3"), "SELECT DISTINCT p.label, p.src AS a, p.tgt AS b FROM pairs p JOIN pairs q ON p.tgt = q.src AND p.label = q.label WHERE q.tgt = 'N3' AND q.src <> 'N3' AND p.src <> p.tgt AND p.src <> 'N3'")
+add("forward_chain", "lanes", lambda g: rounded(inference.forward_chain(g, "inter"), "score"), f"SELECT src, tgt, depth::BIGINT AS depth, {r('score')} AS score FROM f3 WHERE depth > 0", CHAIN)
+add("derivations", "lanes", lambda g: inference.derivations(g, "N3"), "SELECT DISTINCT p.label, p.src AS a, p.tgt AS b FROM pairs p JOIN pairs q ON p.tgt = q.src AND p.label = q.label WHERE q.tgt = 'N3' AND q.src <> 'N3' AND p.src <> p.tgt AND p.src <> 'N3'")
 add("abductions", "trade", lambda g: inference.abductions(g, "inter", "intra"), "SELECT DISTINCT tgt AS id FROM pairs WHERE label = 'inter' AND tgt NOT IN (SELECT tgt FROM pairs WHERE label = 'intra')")
 BEST = OWN.format("") + ", c0 AS (SELECT min(src) AS id, 1::DOUBLE AS c FROM arcs)" + "".join(f", c{k} AS (SELECT id, max(c) AS c FROM (SELECT * FROM c{k - 1} UNION ALL SELECT tgt, c * w FROM c{k - 1} JOIN ow ON id = src) GROUP BY id)" for k in range(1, 6))
-add("confidence_paths", "trade", lambda g: rounded(inference.confidence_paths(Graph(g.nodes, g.edges.withColumn("weight", F.col("weight") / 2)), ends(g)[0], 5), "confidence").select("id", "confidence"), f"SELECT id, {r('c')} AS confidence FROM c5", BEST.replace("max(weight)", "max(weight / 2)"))
-add("open_chains", "trade", lambda g: inference.open_chains(forward(g), None, 2, 4).select(F.array_join("path", ",").alias("path"), "nodes"), "SELECT array_to_string(p, ',') AS path, len(p)::BIGINT AS nodes FROM oc WHERE len(p) BETWEEN 2 AND 4", "fw AS (SELECT * FROM arcs WHERE src < tgt), oc AS (SELECT DISTINCT [src] AS p, src AS e FROM fw WHERE src NOT IN (SELECT tgt FROM fw) UNION ALL SELECT list_append(p, tgt), tgt FROM oc JOIN fw ON e = src WHERE len(p) < 4)")
-add("short_cycles", "trade", lambda g: inference.cycles(g, 4).select(F.array_join("path", ",").alias("path"), "hops"), "SELECT array_to_string(p, ',') AS path, len(p)::BIGINT AS hops FROM cy JOIN arcs ON e = src AND tgt = p[1]", "cy AS (SELECT [src, tgt] AS p, tgt AS e FROM arcs WHERE src < tgt UNION ALL SELECT list_append(p, tgt), tgt FROM cy JOIN arcs ON e = src WHERE len(p) < 4 AND tgt > p[1] AND NOT list_contains(p, tgt))")
-add("girth", "trade", inference.girth, "SELECT coalesce(min(d + 1), 0) AS girth FROM h JOIN arcs ON source = tgt AND h.id = src", HOPS)
+add("confidence_paths", "lanes", lambda g: rounded(inference.confidence_paths(Graph(g.nodes, g.edges.withColumn("weight", F.col("weight") / 2)), ends(g)[0], 5), "confidence").select("id", "confidence"), f"SELECT id, {r('c')} AS confidence FROM c5", BEST.replace("max(weight)", "max(weight / 2)"))
+add("open_chains", "lanes", lambda g: inference.open_chains(forward(g), None, 2, 4).select(F.array_join("path", ",").alias("path"), "nodes"), "SELECT array_to_string(p, ',') AS path, len(p)::BIGINT AS nodes FROM oc WHERE len(p) BETWEEN 2 AND 4", "fw AS (SELECT * FROM arcs WHERE src < tgt), oc AS (SELECT DISTINCT [src] AS p, src AS e FROM fw WHERE src NOT IN (SELECT tgt FROM fw) UNION ALL SELECT list_append(p, tgt), tgt FROM oc JOIN fw ON e = src WHERE len(p) < 4)")
+add("short_cycles", "lanes", lambda g: inference.cycles(g, 4).select(F.array_join("path", ",").alias("path"), "hops"), "SELECT array_to_string(p, ',') AS path, len(p)::BIGINT AS hops FROM cy JOIN arcs ON e = src AND tgt = p[1]", "cy AS (SELECT [src, tgt] AS p, tgt AS e FROM arcs WHERE src < tgt UNION ALL SELECT list_append(p, tgt), tgt FROM cy JOIN arcs ON e = src WHERE len(p) < 4 AND tgt > p[1] AND NOT list_contains(p, tgt))")
+add("girth", "lanes", inference.girth, "SELECT coalesce(min(d + 1), 0) AS girth FROM h JOIN arcs ON source = tgt AND h.id = src", HOPS)
 add("fan_out", "orders", inference.fan_out, "SELECT src AS id, label, count(DISTINCT tgt) AS targets FROM pairs GROUP BY ALL HAVING count(DISTINCT tgt) >= 3")
 add("collapse_region", "trade", lambda g: inference.collapse(g, g.nodes.where(F.col("data")["region"] == "1").select("id"), "R1").edges.select("edge_id", F.array_join("source_ids", ",").alias("sources"), F.array_join("target_ids", ",").alias("targets")), "SELECT edge_id, CASE WHEN a.region = '1' THEN 'R1' ELSE src END AS sources, CASE WHEN b.region = '1' THEN 'R1' ELSE tgt END AS targets FROM pairs JOIN nodes a ON src = a.id JOIN nodes b ON tgt = b.id WHERE NOT (a.region = '1' AND b.region = '1')")
 ENERGY = "hot AS (SELECT id, substr(id, 2)::INT / 25 AS e FROM nodes WHERE substr(id, 2)::INT / 25 >= 0.1)"
@@ -55,8 +55,8 @@ def near_states(s: SparkSession, d: str) -> DataFrame:
 add_table("state_common_ancestors", near_states, f"WITH RECURSIVE {STATES}, {UP} SELECT a, b, arg_min(anc, (dist, anc)) AS ancestor, min(dist)::BIGINT AS distance FROM (SELECT p.state AS a, q.state AS b, p.ancestor AS anc, p.d + q.d AS dist FROM up p JOIN up q ON p.ancestor = q.ancestor AND p.state < q.state) GROUP BY a, b")
 
 # flows and communities
-add("max_flow", "trade", lambda g: flow_row(g))
-add("min_cut_side", "trade", lambda g: flows.max_flow(g, *ends(g))[2])
+add("max_flow", "lanes", lambda g: flow_row(g))
+add("min_cut_side", "lanes", lambda g: flows.max_flow(g, *ends(g))[2])
 add("fiedler_sides", "trade", lambda g: flows.fiedler(g, 12).select("id", (F.col("x") < 0).alias("other_side")))
 add("local_move_communities", "trade", lambda g: flows.local_moves(g, 4))
 

@@ -59,7 +59,7 @@ add("pattern_match", "trade", lambda g: lookup.pattern_match(g, "inter"), "SELEC
 add("subgraph", "trade", lambda g: lookup.subgraph(g, g.nodes.where(F.col("data")["region"].isin("1", "2"))).edges.select("edge_id"), "SELECT edge_id FROM members m JOIN nodes n ON node_id = id GROUP BY edge_id HAVING bool_and(region IN ('1', '2'))")
 add("query_hyperedges", "orders", lambda g: lookup.query_hyperedges(g, 1, 5, "2-HIGH").select("edge_id"), "SELECT edge_id FROM inc WHERE label = '2-HIGH' GROUP BY edge_id HAVING count(*) FILTER (role = 'target') >= 5")
 HOPS = "hop AS (SELECT id AS source, id, 0 AS d FROM nodes UNION SELECT source, tgt, d + 1 FROM hop JOIN arcs ON id = src WHERE d < 25), h AS (SELECT source, id, min(d)::BIGINT AS d FROM hop GROUP BY source, id)"
-add("breadth_first", "trade", lambda g: lookup.breadth_first(g, names(g, "N0"), 3, True), "SELECT id, d AS depth FROM h WHERE source = 'N0' AND d <= 3", HOPS)
+add("breadth_first", "lanes", lambda g: lookup.breadth_first(g, names(g, "N0"), 3, True), "SELECT id, d AS depth FROM h WHERE source = 'N0' AND d <= 3", HOPS)
 
 # degrees
 add("degrees", "orders", lambda g: rounded(degrees.degrees(g), "strength"), f"SELECT n.id, degree, (SELECT count(*) FROM inc WHERE node_id = n.id AND role = 'target') AS in_degree, (SELECT count(*) FROM inc WHERE node_id = n.id AND role = 'source') AS out_degree, {r('coalesce((SELECT sum(weight) FROM members WHERE node_id = n.id), 0)')} AS strength FROM nodes n JOIN degree d ON n.id = d.id")
@@ -73,41 +73,41 @@ add("attribute_assortativity", "trade", lambda g: rounded(degrees.attribute_asso
 add("average_neighbor_degree", "orders", lambda g: rounded(degrees.average_neighbor_degree(g), "value"), f"SELECT n.id, {r('coalesce(avg(k), 0)')} AS value FROM nodes n LEFT JOIN (SELECT u, k FROM adj JOIN nbr ON v = id) a ON n.id = u GROUP BY n.id")
 add("degree_connectivity", "orders", lambda g: rounded(degrees.degree_connectivity(g), "value"), f"SELECT a.k, {r('avg(b.k)')} AS value FROM adj JOIN nbr a ON u = a.id JOIN nbr b ON v = b.id GROUP BY a.k")
 add("s_metric", "orders", degrees.s_metric, "SELECT sum(a.k * b.k)::DOUBLE AS s FROM links JOIN nbr a ON u = a.id JOIN nbr b ON v = b.id")
-add("rich_club", "trade", lambda g: rounded(degrees.rich_club(g), "phi"), f"SELECT k, {r('2 * m / (n * (n - 1))')} AS phi FROM (SELECT l.k, (SELECT count(*) FROM nbr WHERE nbr.k > l.k) AS n, (SELECT count(*) FROM links JOIN nbr a ON u = a.id JOIN nbr b ON v = b.id WHERE least(a.k, b.k) > l.k) AS m FROM (SELECT DISTINCT k FROM nbr WHERE k > 0) l) WHERE n > 1")
+add("rich_club", "lanes", lambda g: rounded(degrees.rich_club(g), "phi"), f"SELECT k, {r('2 * m / (n * (n - 1))')} AS phi FROM (SELECT l.k, (SELECT count(*) FROM nbr WHERE nbr.k > l.k) AS n, (SELECT count(*) FROM links JOIN nbr a ON u = a.id JOIN nbr b ON v = b.id WHERE least(a.k, b.k) > l.k) AS m FROM (SELECT DISTINCT k FROM nbr WHERE k > 0) l) WHERE n > 1")
 TRI = "tri AS (SELECT id, count(*) AS t FROM (SELECT a.u AS id FROM adj a JOIN adj b ON a.v = b.u JOIN adj c ON b.v = c.u AND c.v = a.u WHERE a.v < b.v) GROUP BY id), cc AS (SELECT nbr.id, k, coalesce(t, 0) AS t FROM nbr LEFT JOIN tri ON nbr.id = tri.id)"
-for kind in ("trade", "orders"):
+for kind in ("lanes", "orders"):
     add(f"triangles_{kind}", kind, lambda g: rounded(degrees.triangles(g), "clustering"), f"SELECT id, k, t AS triangles, {r('CASE WHEN k > 1 THEN 2 * t / (k * (k - 1)) ELSE 0 END')} AS clustering FROM cc", TRI)
-add("average_clustering", "trade", lambda g: rounded(degrees.average_clustering(g), "value"), f"SELECT {r('avg(CASE WHEN k > 1 THEN 2 * t / (k * (k - 1)) ELSE 0 END)')} AS value FROM cc JOIN degree d ON cc.id = d.id WHERE degree >= 2", TRI)
-add("transitivity", "trade", lambda g: rounded(degrees.transitivity(g), "value"), f"SELECT {r('sum(t) / (sum(k * (k - 1)) / 2)')} AS value FROM cc", TRI)
+add("average_clustering", "lanes", lambda g: rounded(degrees.average_clustering(g), "value"), f"SELECT {r('avg(CASE WHEN k > 1 THEN 2 * t / (k * (k - 1)) ELSE 0 END)')} AS value FROM cc JOIN degree d ON cc.id = d.id WHERE degree >= 2", TRI)
+add("transitivity", "lanes", lambda g: rounded(degrees.transitivity(g), "value"), f"SELECT {r('sum(t) / (sum(k * (k - 1)) / 2)')} AS value FROM cc", TRI)
 
 # paths and components
-add("hops", "trade", paths.hops, "SELECT * FROM h", HOPS)
+add("hops", "lanes", paths.hops, "SELECT * FROM h", HOPS)
 RELAX = "c AS (SELECT src, tgt, min(1 / greatest(weight, 1e-9)) AS cost FROM pairs WHERE src <> tgt GROUP BY ALL), w0 AS (SELECT id AS source, id, 0::DOUBLE AS d FROM nodes)" + "".join(f", w{k + 1} AS (SELECT source, id, min(d) AS d FROM (SELECT * FROM w{k} UNION ALL SELECT source, tgt, d + cost FROM w{k} JOIN c ON id = src) GROUP BY ALL)" for k in range(8))
-add("weighted_distances", "trade", lambda g: rounded(paths.distances(g), "d"), f"SELECT source, id, {r('d')} AS d FROM w8", RELAX)
+add("weighted_distances", "lanes", lambda g: rounded(paths.distances(g), "d"), f"SELECT source, id, {r('d')} AS d FROM w8", RELAX)
 EXT = "ecc AS (SELECT source AS id, max(d) AS ecc FROM h GROUP BY source)"
-add("eccentricity_extent", "trade", paths.extent, "SELECT id, ecc, ecc = (SELECT min(ecc) FROM ecc) AS center, ecc = (SELECT max(ecc) FROM ecc) AS periphery FROM ecc", f"{HOPS}, {EXT}")
+add("eccentricity_extent", "lanes", paths.extent, "SELECT id, ecc, ecc = (SELECT min(ecc) FROM ecc) AS center, ecc = (SELECT max(ecc) FROM ecc) AS periphery FROM ecc", f"{HOPS}, {EXT}")
 REACH = "reach AS (SELECT src, tgt FROM arcs UNION SELECT reach.src, arcs.tgt FROM reach JOIN arcs ON reach.tgt = arcs.src)"
-add("transitive_closure", "trade", paths.closure, "SELECT * FROM reach", REACH)
+add("transitive_closure", "lanes", paths.closure, "SELECT * FROM reach", REACH)
 FORWARD = "fw AS (SELECT * FROM arcs WHERE src < tgt), freach AS (SELECT src, tgt FROM fw UNION SELECT freach.src, fw.tgt FROM freach JOIN fw ON freach.tgt = fw.src)"
-add("transitive_reduction", "trade", lambda g: paths.transitive_reduction(forward(g)), "SELECT src, tgt FROM fw a WHERE NOT EXISTS (SELECT 1 FROM fw b JOIN freach c ON b.tgt = c.src WHERE b.src = a.src AND b.tgt <> a.tgt AND c.tgt = a.tgt)", FORWARD)
-add("topological_levels", "trade", lambda g: paths.levels(forward(g)), "SELECT id, max(d)::BIGINT AS level FROM lv GROUP BY id", "fw AS (SELECT * FROM arcs WHERE src < tgt), lv AS (SELECT id, 0 AS d FROM nodes UNION SELECT tgt, d + 1 FROM lv JOIN fw ON id = src)")
-add("simple_paths", "trade", lambda g: paths.simple_paths(g, "N0", "N1", 4).select(F.array_join("path", ",").alias("path"), "hops"), "SELECT array_to_string(p, ',') AS path, (len(p) - 1)::BIGINT AS hops FROM walk WHERE e = 'N1'", "walk AS (SELECT [src, tgt] AS p, tgt AS e FROM arcs WHERE src = 'N0' UNION ALL SELECT list_append(p, tgt), tgt FROM walk JOIN arcs ON e = src WHERE len(p) < 5 AND e <> 'N1' AND NOT list_contains(p, tgt))")
+add("transitive_reduction", "lanes", lambda g: paths.transitive_reduction(forward(g)), "SELECT src, tgt FROM fw a WHERE NOT EXISTS (SELECT 1 FROM fw b JOIN freach c ON b.tgt = c.src WHERE b.src = a.src AND b.tgt <> a.tgt AND c.tgt = a.tgt)", FORWARD)
+add("topological_levels", "lanes", lambda g: paths.levels(forward(g)), "SELECT id, max(d)::BIGINT AS level FROM lv GROUP BY id", "fw AS (SELECT * FROM arcs WHERE src < tgt), lv AS (SELECT id, 0 AS d FROM nodes UNION SELECT tgt, d + 1 FROM lv JOIN fw ON id = src)")
+add("simple_paths", "lanes", lambda g: paths.simple_paths(g, "N0", "N1", 4).select(F.array_join("path", ",").alias("path"), "hops"), "SELECT array_to_string(p, ',') AS path, (len(p) - 1)::BIGINT AS hops FROM walk WHERE e = 'N1'", "walk AS (SELECT [src, tgt] AS p, tgt AS e FROM arcs WHERE src = 'N0' UNION ALL SELECT list_append(p, tgt), tgt FROM walk JOIN arcs ON e = src WHERE len(p) < 5 AND e <> 'N1' AND NOT list_contains(p, tgt))")
 ALIKE = "cc0 AS (SELECT id, id AS c FROM nodes)" + "".join(f", cc{k + 1} AS (SELECT id, min(c) AS c FROM (SELECT * FROM cc{k} UNION ALL SELECT u, c FROM adj JOIN cc{k} ON v = id) GROUP BY id)" for k in range(8))
 add("connected_components", "orders", paths.connected_components, "SELECT id, c AS component FROM cc8", ALIKE)
 OVER = "ov AS (SELECT a.edge_id AS e1, b.edge_id AS e2, count(*) AS shared FROM members a JOIN members b ON a.node_id = b.node_id AND a.edge_id < b.edge_id GROUP BY ALL)"
 add("edge_overlaps", "orders", lambda g: paths.overlaps(g, 2), "SELECT * FROM ov WHERE shared >= 2", OVER)
 add("s_components", "orders", lambda g: paths.s_components(g, 2), "SELECT e.edge_id, least(e.edge_id, coalesce(min(b), e.edge_id)) AS component FROM edges e LEFT JOIN con ON e.edge_id = a GROUP BY e.edge_id", f"{OVER}, big2 AS (SELECT e1 AS a, e2 AS b FROM ov WHERE shared >= 2 UNION ALL SELECT e2, e1 FROM ov WHERE shared >= 2), con AS (SELECT a, b FROM big2 UNION SELECT con.a, big2.b FROM con JOIN big2 ON con.b = big2.a)")
-add("s_persistence", "trade", paths.s_persistence)
-add("strong_components", "trade", paths.strong_components, "SELECT id, least(id, coalesce(min(a.tgt), id)) AS component FROM nodes LEFT JOIN (reach a JOIN reach b ON a.src = b.tgt AND a.tgt = b.src) ON a.src = id GROUP BY id", REACH)
-add("onion_layers", "trade", paths.onion_layers)
+add("s_persistence", "lanes", paths.s_persistence)
+add("strong_components", "lanes", paths.strong_components, "SELECT id, least(id, coalesce(min(a.tgt), id)) AS component FROM nodes LEFT JOIN (reach a JOIN reach b ON a.src = b.tgt AND a.tgt = b.src) ON a.src = id GROUP BY id", REACH)
+add("onion_layers", "lanes", paths.onion_layers)
 add("minimum_spanning_edges", "trade", paths.minimum_spanning_edges)
 VOTE = "lp0 AS (SELECT id, id AS c FROM nodes)" + "".join(f", lp{k + 1} AS (SELECT n.id, coalesce(b, n.c) AS c FROM lp{k} n LEFT JOIN (SELECT u, first(c ORDER BY s DESC, c) AS b FROM (SELECT u, c, sum(shared) AS s FROM adj JOIN lp{k} ON v = id GROUP BY u, c) GROUP BY u) ON n.id = u)" for k in range(5))
 add("label_propagation", "orders", paths.label_propagation, "SELECT id, c AS community FROM lp5", VOTE)
 
 # centralities
 add("degree_centrality", "orders", lambda g: rounded(centrality.degree_centrality(g), "score"), f"SELECT id, {r('degree / ((SELECT count(*) FROM nodes) - 1)')} AS score FROM degree")
-add("closeness", "trade", lambda g: rounded(centrality.closeness(g), "score"), f"SELECT source AS id, {r('CASE WHEN sum(d) > 0 THEN (count(*) - 1) / (((SELECT count(*) FROM nodes) - 1) * sum(d)) ELSE 0 END')} AS score FROM h GROUP BY source", HOPS)
-add("harmonic", "trade", lambda g: rounded(centrality.harmonic(g), "score"), f"SELECT id, {r('sum(CASE WHEN d > 0 THEN 1 / d ELSE 0 END)')} AS score FROM h GROUP BY id", HOPS.replace("JOIN arcs ON id = src", "JOIN adj ON id = u").replace("tgt, d + 1", "v, d + 1"))
+add("closeness", "lanes", lambda g: rounded(centrality.closeness(g), "score"), f"SELECT source AS id, {r('CASE WHEN sum(d) > 0 THEN (count(*) - 1) / (((SELECT count(*) FROM nodes) - 1) * sum(d)) ELSE 0 END')} AS score FROM h GROUP BY source", HOPS)
+add("harmonic", "lanes", lambda g: rounded(centrality.harmonic(g), "score"), f"SELECT id, {r('sum(CASE WHEN d > 0 THEN 1 / d ELSE 0 END)')} AS score FROM h GROUP BY id", HOPS.replace("JOIN arcs ON id = src", "JOIN adj ON id = u").replace("tgt, d + 1", "v, d + 1"))
 
 
 def _rounds(n: int, got: str, norm: str, links: str) -> str:
@@ -129,7 +129,7 @@ MUTUAL = "x0 AS (SELECT id, 1 / (SELECT count(*) FROM nodes) AS s FROM nodes), y
 for k in range(3):
     MUTUAL += f", a{k} AS (SELECT id, sqrt(any_value(x.s) * sqrt(coalesce(sum(y.s * y.s), 0))) AS s FROM x{k} x LEFT JOIN members m ON id = node_id LEFT JOIN y{k} y ON m.edge_id = y.edge_id GROUP BY id), b{k} AS (SELECT y.edge_id, sqrt(any_value(y.s) * sqrt(coalesce(sum(x.s * x.s), 0))) AS s FROM y{k} y LEFT JOIN members m ON y.edge_id = m.edge_id LEFT JOIN x{k} x ON id = node_id GROUP BY y.edge_id), x{k + 1} AS (SELECT id, s / (SELECT sum(s) FROM a{k}) AS s FROM a{k}), y{k + 1} AS (SELECT edge_id, s / (SELECT sum(s) FROM b{k}) AS s FROM b{k})"
 add("node_edge_centrality", "trade", lambda g: (lambda x, y: rounded(x.select("id", "score").unionByName(y.select(F.col("edge_id").alias("id"), "score")), "score"))(*centrality.node_edge(g, 3)), f"SELECT id, {r('s')} AS score FROM x3 UNION ALL SELECT edge_id, {r('s')} FROM y3", MUTUAL)
-add("betweenness", "trade", lambda g: rounded(centrality.betweenness(g), "score"), f"SELECT n.id, {r('coalesce(sum(x), 0) / (((SELECT count(*) FROM nodes) - 1) * ((SELECT count(*) FROM nodes) - 2))')} AS score FROM nodes n LEFT JOIN (SELECT a.id, a.p * b.p / t.p AS x FROM sp a JOIN sp b ON b.source = a.id AND a.source <> a.id AND b.id <> a.id AND b.id <> a.source JOIN sp t ON t.source = a.source AND t.id = b.id AND t.d = a.d + b.d) y ON n.id = y.id GROUP BY n.id",
+add("betweenness", "lanes", lambda g: rounded(centrality.betweenness(g), "score"), f"SELECT n.id, {r('coalesce(sum(x), 0) / (((SELECT count(*) FROM nodes) - 1) * ((SELECT count(*) FROM nodes) - 2))')} AS score FROM nodes n LEFT JOIN (SELECT a.id, a.p * b.p / t.p AS x FROM sp a JOIN sp b ON b.source = a.id AND a.source <> a.id AND b.id <> a.id AND b.id <> a.source JOIN sp t ON t.source = a.source AND t.id = b.id AND t.d = a.d + b.d) y ON n.id = y.id GROUP BY n.id",
     f"{HOPS}, mult AS (SELECT src, tgt, count(*) AS m FROM pairs WHERE src <> tgt GROUP BY ALL), sp0 AS (SELECT source, id, d, 1::DOUBLE AS p FROM h WHERE d = 0)" + "".join(f", sp{k} AS (SELECT h.source, h.id, h.d, sum(p * m) AS p FROM h JOIN mult ON tgt = h.id JOIN sp{k - 1} q ON q.source = h.source AND q.id = src WHERE h.d = {k} GROUP BY ALL)" for k in range(1, 7)) + ", sp AS (" + " UNION ALL ".join(f"SELECT * FROM sp{k}" for k in range(7)) + ")")
 
 # matrices and transforms
@@ -139,28 +139,28 @@ FLOW = "fl AS (SELECT a.node_id AS i, b.node_id AS j, sum(a.weight / size) AS w
 add("laplacian", "orders", lambda g: rounded(matrices.laplacian(g), "value", digits=9), f"SELECT i, j, {r('CASE WHEN i = j THEN d ELSE 0 END - w', 9)} AS value FROM fl JOIN (SELECT node_id, sum(weight) AS d FROM members GROUP BY node_id) ON i = node_id", FLOW)
 add("transition_matrix", "orders", lambda g: rounded(matrices.transition(g), "value"), f"SELECT i, j, {r('w / sum(w) OVER (PARTITION BY i)')} AS value FROM fl", FLOW)
 add("walk_density", "trade", lambda g: rounded(matrices.walk_density(g, names(g, "N0").withColumn("rho", F.lit(1.0)), 3), "rho"), f"SELECT id, {r('rho')} AS rho FROM d3", f"{FLOW}, tp AS (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS v FROM fl), d0 AS (SELECT 'N0' AS id, 1::DOUBLE AS rho)" + "".join(f", d{k + 1} AS (SELECT j AS id, sum(rho * v) AS rho FROM d{k} JOIN tp ON id = i GROUP BY j)" for k in range(3)))
-add("dual_walk", "trade", matrices.dual_walk, "SELECT a.edge_id AS e1, b.edge_id AS e2, count(*) AS value FROM members a JOIN members b ON a.node_id = b.node_id AND a.edge_id <> b.edge_id GROUP BY ALL")
+add("dual_walk", "lanes", matrices.dual_walk, "SELECT a.edge_id AS e1, b.edge_id AS e2, count(*) AS value FROM members a JOIN members b ON a.node_id = b.node_id AND a.edge_id <> b.edge_id GROUP BY ALL")
 add("bethe_hessian", "trade", lambda g: rounded(matrices.bethe_hessian(g, 2.0), "value"), f"SELECT id AS i, id AS j, {r('1 + coalesce(sum(shared), 0)')} AS value FROM nodes LEFT JOIN adj ON id = u GROUP BY id UNION ALL SELECT u, v, {r('-2.0 * shared')} FROM adj")
 add("adjacency_tensor", "orders", lambda g: rounded(matrices.tensor(g), "weight"), f'SELECT members, n AS "order", {r("sum(weight)")} AS weight FROM (SELECT string_agg(node_id, \',\' ORDER BY node_id) AS members, count(*) AS n, any_value(weight) AS weight FROM members GROUP BY edge_id) GROUP BY ALL')
 add("encapsulation", "orders", matrices.encapsulation, "SELECT a.edge_id AS child, b.edge_id AS parent FROM members a JOIN members b ON a.node_id = b.node_id AND a.edge_id <> b.edge_id JOIN sz p ON a.edge_id = p.edge_id JOIN sz q ON b.edge_id = q.edge_id WHERE p.n < q.n GROUP BY a.edge_id, b.edge_id, p.n HAVING count(*) = p.n", "sz AS (SELECT edge_id, count(*) AS n FROM members GROUP BY edge_id)")
-add("boundary_operator", "trade", matrices.boundary, "SELECT DISTINCT least(src, tgt) || ',' || greatest(src, tgt) AS simplex, unnest([greatest(src, tgt), least(src, tgt)]) AS face, unnest([1, -1])::BIGINT AS sign FROM arcs")
+add("boundary_operator", "lanes", matrices.boundary, "SELECT DISTINCT least(src, tgt) || ',' || greatest(src, tgt) AS simplex, unnest([greatest(src, tgt), least(src, tgt)]) AS face, unnest([1, -1])::BIGINT AS sign FROM arcs")
 add("dual_graph", "orders", matrices.dual, "SELECT node_id AS id, string_agg(edge_id, ',' ORDER BY edge_id) AS edges FROM members GROUP BY node_id")
-add("line_graph", "trade", matrices.line_graph, "SELECT DISTINCT a.edge_id AS e1, b.edge_id AS e2 FROM members a JOIN members b ON a.node_id = b.node_id AND a.edge_id < b.edge_id")
-add("directed_line_graph", "trade", lambda g: matrices.line_graph(g, True), "SELECT DISTINCT a.edge_id AS e1, b.edge_id AS e2 FROM inc a JOIN inc b ON a.node_id = b.node_id AND a.edge_id <> b.edge_id AND a.role = 'target' AND b.role = 'source'")
+add("line_graph", "lanes", matrices.line_graph, "SELECT DISTINCT a.edge_id AS e1, b.edge_id AS e2 FROM members a JOIN members b ON a.node_id = b.node_id AND a.edge_id < b.edge_id")
+add("directed_line_graph", "lanes", lambda g: matrices.line_graph(g, True), "SELECT DISTINCT a.edge_id AS e1, b.edge_id AS e2 FROM inc a JOIN inc b ON a.node_id = b.node_id AND a.edge_id <> b.edge_id AND a.role = 'target' AND b.role = 'source'")
 add("digraph", "orders", matrices.digraph, "SELECT src, tgt, max(edge_id) AS edge_id, arg_max(weight, edge_id) AS weight FROM pairs GROUP BY src, tgt")
 add("clique_projection", "orders", lambda g: g.cliq.select("u", "v", "edge_id", "weight"), "SELECT u, v, edge_id, weight FROM cliq")
 add("bipartite_projection", "trade", lambda g: rounded(matrices.projection(g), "jaccard"), f"SELECT a.src AS u, b.src AS v, count(*) AS shared, {r('count(*) / (any_value(p.n) + any_value(q.n) - count(*))')} AS jaccard FROM pp a JOIN pp b ON a.tgt = b.tgt AND a.src < b.src JOIN dn p ON a.src = p.src JOIN dn q ON b.src = q.src GROUP BY a.src, b.src", "pp AS (SELECT DISTINCT src, tgt FROM pairs), dn AS (SELECT src, count(*) AS n FROM pp GROUP BY src)")
 add("hyperedge_similarity", "orders", lambda g: rounded(matrices.hyperedge_similarity(g, "O7"), "jaccard", "dice", "overlap"), f"SELECT edge_id, s AS shared, {r('s / (m + n - s)')} AS jaccard, {r('2 * s / (m + n)')} AS dice, {r('s / least(m, n)')} AS overlap FROM (SELECT b.edge_id, count(*) AS s, (SELECT count(*) FROM members c WHERE c.edge_id = b.edge_id) AS m, (SELECT count(*) FROM members WHERE edge_id = 'O7') AS n FROM members a JOIN members b ON a.node_id = b.node_id WHERE a.edge_id = 'O7' AND b.edge_id <> 'O7' GROUP BY b.edge_id)")
-add("link_prediction", "trade", lambda g: rounded(matrices.link_prediction(g), "jaccard", "adamic_adar", "resource_allocation"), f"SELECT a.u, b.u AS v, count(*) AS common, {r('count(*) / (any_value(p.k) + any_value(q.k) - count(*))')} AS jaccard, {r('sum(CASE WHEN w.k > 1 THEN 1 / ln(w.k) END)')} AS adamic_adar, {r('sum(1 / w.k)')} AS resource_allocation, any_value(p.k) * any_value(q.k) AS preferential FROM adj a JOIN adj b ON a.v = b.v AND a.u < b.u JOIN nbr w ON a.v = w.id JOIN nbr p ON a.u = p.id JOIN nbr q ON b.u = q.id WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.u = a.u AND l.v = b.u) GROUP BY a.u, b.u")
+add("link_prediction", "lanes", lambda g: rounded(matrices.link_prediction(g), "jaccard", "adamic_adar", "resource_allocation"), f"SELECT a.u, b.u AS v, count(*) AS common, {r('count(*) / (any_value(p.k) + any_value(q.k) - count(*))')} AS jaccard, {r('sum(CASE WHEN w.k > 1 THEN 1 / ln(w.k) END)')} AS adamic_adar, {r('sum(1 / w.k)')} AS resource_allocation, any_value(p.k) * any_value(q.k) AS preferential FROM adj a JOIN adj b ON a.v = b.v AND a.u < b.u JOIN nbr w ON a.v = w.id JOIN nbr p ON a.u = p.id JOIN nbr q ON b.u = q.id WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.u = a.u AND l.v = b.u) GROUP BY a.u, b.u")
 
 # rules
-add("rule_transitive", "trade", lambda g: rounded(rules.transitive(g, "inter"), "score"), f"SELECT p.src AS a, p.tgt AS b, q.tgt AS c, {r('least(p.w * q.w * 0.9::DOUBLE * 0.9::DOUBLE, 1)')} AS score FROM own p JOIN own q ON p.tgt = q.src WHERE p.src <> q.tgt AND NOT EXISTS (SELECT 1 FROM arcs WHERE src = p.src AND tgt = q.tgt)", "own AS (SELECT src, tgt, max(weight) AS w FROM pairs WHERE label = 'inter' AND src <> tgt GROUP BY ALL)")
+add("rule_transitive", "lanes", lambda g: rounded(rules.transitive(g, "inter"), "score"), f"SELECT p.src AS a, p.tgt AS b, q.tgt AS c, {r('least(p.w * q.w * 0.9::DOUBLE * 0.9::DOUBLE, 1)')} AS score FROM own p JOIN own q ON p.tgt = q.src WHERE p.src <> q.tgt AND NOT EXISTS (SELECT 1 FROM arcs WHERE src = p.src AND tgt = q.tgt)", "own AS (SELECT src, tgt, max(weight) AS w FROM pairs WHERE label = 'inter' AND src <> tgt GROUP BY ALL)")
 add("rule_inverse", "trade", lambda g: rules.inverse(g, "inter", "intra"), "SELECT DISTINCT tgt AS src, src AS tgt FROM pairs p WHERE label = 'inter' AND NOT EXISTS (SELECT 1 FROM pairs q WHERE q.label = 'intra' AND q.src = p.tgt AND q.tgt = p.src)")
 add("rule_hub", "orders", lambda g: rounded(rules.hub_inference(g, 2, 0.2), "share"), f"SELECT p.src, tgt, count(*) AS n, {r('count(*) / any_value(t)')} AS share FROM pairs p JOIN (SELECT node_id, count(*) AS t FROM inc WHERE role = 'source' GROUP BY node_id) ON p.src = node_id GROUP BY p.src, tgt HAVING count(*) >= 2 AND count(*) / any_value(t) >= 0.2")
 add("rule_property", "orders", lambda g: rules.propagate_property(g, "segment"), "SELECT tgt AS id, min(c_mktsegment) AS value FROM pairs JOIN customer ON src = 'C' || c_custkey GROUP BY tgt")
 add("rule_inductive", "trade", rules.inductive, "SELECT label, tgt, count(DISTINCT src) AS members FROM pairs GROUP BY label, tgt HAVING count(DISTINCT src) >= 3")
-add("discover_transitive", "trade", rules.discover_transitive, "SELECT p.label, count(*) AS chains FROM own p JOIN own q ON p.label = q.label AND p.tgt = q.src WHERE p.src <> q.tgt GROUP BY p.label HAVING count(*) >= 2", "own AS (SELECT DISTINCT label, src, tgt FROM pairs WHERE src <> tgt)")
-add("discover_inverse", "trade", rules.discover_inverse, "SELECT p.label, q.label AS back, count(*) AS pairs FROM own p JOIN own q ON p.src = q.tgt AND p.tgt = q.src GROUP BY ALL HAVING count(*) >= 2", "own AS (SELECT DISTINCT label, src, tgt FROM pairs WHERE src <> tgt)")
+add("discover_transitive", "lanes", rules.discover_transitive, "SELECT p.label, count(*) AS chains FROM own p JOIN own q ON p.label = q.label AND p.tgt = q.src WHERE p.src <> q.tgt GROUP BY p.label HAVING count(*) >= 2", "own AS (SELECT DISTINCT label, src, tgt FROM pairs WHERE src <> tgt)")
+add("discover_inverse", "lanes", rules.discover_inverse, "SELECT p.label, q.label AS back, count(*) AS pairs FROM own p JOIN own q ON p.src = q.tgt AND p.tgt = q.src GROUP BY ALL HAVING count(*) >= 2", "own AS (SELECT DISTINCT label, src, tgt FROM pairs WHERE src <> tgt)")
 add("discover_hubs", "orders", rules.discover_hubs, "SELECT node_id AS id, label, count(*) AS edges FROM inc WHERE role = 'source' GROUP BY ALL HAVING count(*) >= 3")
 add("edge_violations", "trade", lambda g: rules.violations(g, 2.0), "SELECT edge_id, 'self_loop' AS violation FROM edges WHERE s = c UNION ALL SELECT edge_id, 'weight' FROM edges WHERE weight <= 0 OR weight > 2")
 add("dangling", "orders", rules.dangling, "SELECT NULL::VARCHAR AS edge_id, id AS node_id FROM degree WHERE degree = 0 UNION ALL SELECT edge_id, node_id FROM members WHERE node_id NOT IN (SELECT id FROM nodes)")
@@ -177,7 +177,7 @@ add("facet_scores", "orders", lambda g: rounded(search.facet_scores(search.attri
 add("suggest", "orders", lambda g: search.suggest(search.attribute_index(g), "brand", "brand#1"), "SELECT DISTINCT sval AS value FROM eav WHERE field = 'brand' AND starts_with(lower(sval), 'brand#1') ORDER BY lower(sval), sval LIMIT 10", EAV)
 
 # retrieval
-add("spread", "trade", lambda g: rounded(retrieval.spread(g, names(g, "N0").withColumn("energy", F.lit(1.0)), 3), "energy"), f"SELECT id, {r('e')} AS energy FROM s3", "rt AS (SELECT src AS f, tgt AS id, sum(weight * 0.85) AS w FROM pairs GROUP BY ALL UNION ALL SELECT tgt, src, sum(weight * 0.3 * 0.85) FROM pairs WHERE src <> tgt GROUP BY ALL), s0 AS (SELECT 'N0' AS id, 1::DOUBLE AS e)" + "".join(f", t{k} AS (SELECT id, sum(e) AS e FROM (SELECT * FROM s{k} UNION ALL SELECT rt.id, e * w FROM s{k} s JOIN rt ON s.id = f) GROUP BY id), s{k + 1} AS (SELECT * FROM (SELECT id, e * (SELECT max(e) FROM s{k}) / (SELECT max(e) FROM t{k}) AS e FROM t{k}) WHERE e >= 0.01)" for k in range(3)))
+add("spread", "lanes", lambda g: rounded(retrieval.spread(g, names(g, "N0").withColumn("energy", F.lit(1.0)), 3), "energy"), f"SELECT id, {r('e')} AS energy FROM s3", "rt AS (SELECT src AS f, tgt AS id, sum(weight * 0.85) AS w FROM pairs GROUP BY ALL UNION ALL SELECT tgt, src, sum(weight * 0.3 * 0.85) FROM pairs WHERE src <> tgt GROUP BY ALL), s0 AS (SELECT 'N0' AS id, 1::DOUBLE AS e)" + "".join(f", t{k} AS (SELECT id, sum(e) AS e FROM (SELECT * FROM s{k} UNION ALL SELECT rt.id, e * w FROM s{k} s JOIN rt ON s.id = f) GROUP BY id), s{k + 1} AS (SELECT * FROM (SELECT id, e * (SELECT max(e) FROM s{k}) / (SELECT max(e) FROM t{k}) AS e FROM t{k}) WHERE e >= 0.01)" for k in range(3)))
 GATE = "z0 AS (SELECT 'C7' AS id, 1::DOUBLE AS e)" + "".join(f", z{k + 1} AS (SELECT * FROM (SELECT id, sum(e) AS e FROM (SELECT * FROM z{k} UNION ALL SELECT t.node_id, e * t.weight * 0.85 / n FROM z{k} z JOIN inc s ON z.id = s.node_id AND s.role = 'source' JOIN inc t ON s.edge_id = t.edge_id AND t.role = 'target' JOIN (SELECT edge_id, count(*) AS n FROM inc WHERE role = 'target' GROUP BY edge_id) c ON s.edge_id = c.edge_id) GROUP BY id) WHERE e >= 0.01)" for k in range(2))
 for mode in ("linear", "and", "or", "majority"):  # with one source to an edge the gates agree
     add(f"diffuse_{mode}", "orders", lambda g, mode=mode: rounded(retrieval.diffuse(g, names(g, "C7").withColumn("energy", F.lit(1.0)), mode, 2), "energy"), f"SELECT id, {r('e')} AS energy FROM z2", GATE)
@@ -242,6 +242,6 @@ add("merge_node", "trade", lambda g: maintenance.merge_node(g, "N0", "N1").edges
 add("decay_weights", "trade", lambda g: rounded(maintenance.decay(g).edges, "weight").select("edge_id", "weight"), f"SELECT edge_id, {r('weight * 0.95')} AS weight FROM edges")
 add("edge_diff", "trade", lambda g: maintenance.edge_diff(g, Graph(g.nodes, maintenance.remove_nodes(g, names(g, "N0")).edges.withColumn("weight", F.when(F.col("label") == "intra", F.col("weight") * 2).otherwise(F.col("weight"))))), "SELECT edge_id, CASE WHEN s = 0 OR c = 0 THEN 'removed' ELSE 'modified' END AS change FROM edges WHERE s = 0 OR c = 0 OR label = 'intra'")
 add("overlay_commit", "trade", lambda g: maintenance.overlay(g, g.edges.where("label = 'intra'").withColumn("label", F.lit("home"))).edges.select("edge_id", "label"), "SELECT edge_id, CASE WHEN label = 'intra' THEN 'home' ELSE label END AS label FROM edges")
-add("provenance_dependents", "trade", lambda g: maintenance.dependents(forward(g).arcs.select(F.col("tgt").alias("edge_id"), F.col("src").alias("input")), names(g, "N0").withColumnRenamed("id", "edge_id")), "SELECT id AS edge_id, min(d)::BIGINT AS depth FROM dp WHERE d > 0 GROUP BY id", "dp AS (SELECT 'N0' AS id, 0 AS d UNION SELECT tgt, d + 1 FROM dp JOIN arcs ON id = src WHERE src < tgt)")
+add("provenance_dependents", "lanes", lambda g: maintenance.dependents(forward(g).arcs.select(F.col("tgt").alias("edge_id"), F.col("src").alias("input")), names(g, "N0").withColumnRenamed("id", "edge_id")), "SELECT id AS edge_id, min(d)::BIGINT AS depth FROM dp WHERE d > 0 GROUP BY id", "dp AS (SELECT 'N0' AS id, 0 AS d UNION SELECT tgt, d + 1 FROM dp JOIN arcs ON id = src WHERE src < tgt)")
 add("equivalences", "orders", lambda g: rounded(maintenance.equivalences(g, 0.6, ("brand", "type")), "score"), f"SELECT a, b, {r('CASE WHEN s >= 0.6 THEN s ELSE greatest(s, 0.4 * s + 0.6 * j) END')} AS score FROM (SELECT x.id AS a, y.id AS b, (2 + (x.size = y.size)::INT) / 3 AS s, coalesce((SELECT count(*) FROM adj p JOIN adj q ON p.v = q.v WHERE p.u = x.id AND q.u = y.id), 0) AS j FROM ({PARTS}) x JOIN ({PARTS}) y ON x.brand = y.brand AND x.type = y.type AND x.id < y.id) WHERE s >= 0.6")
 add_table("operation_stats", lambda s, d: rounded(read(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.95).alias("p95"), F.max("value").alias("top")), "mean", "p50", "p95", "top"), f"SELECT event_type, count(*) AS n, {r('avg(value)')} AS mean, {r('quantile_cont(value, 0.5)')} AS p50, {r('quantile_cont(value, 0.95)')} AS p95, {r('max(value)')} AS top FROM events GROUP BY event_type")

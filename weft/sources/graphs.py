@@ -13,13 +13,31 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def trade(spark: SparkSession, sf_dir: str) -> Graph:
-    """Nations, and an edge from supplier to customer nation for each flow of lines of 1.1 times the mean or more."""
+    """Nations, and an edge from supplier to customer nation for each flow of lines; its weight is in means of all flows."""
+    flows = _flows(spark, sf_dir)
+    return _nations(spark, sf_dir, _with_mean(flows))
+
+
+def lanes(spark: SparkSession, sf_dir: str) -> Graph:
+    """The nations with a sparse set of edges: each nation's main outlet and main source, by the lines of all flows, ties by number."""
+    flows = _flows(spark, sf_dir)
+    outlet = flows.groupBy("s").agg(F.min(F.struct(-F.col("n"), "c")).alias("first")).select("s", F.col("first.c").alias("c"))
+    source = flows.groupBy("c").agg(F.min(F.struct(-F.col("n"), "s")).alias("first")).select(F.col("first.s").alias("s"), "c")
+    return _nations(spark, sf_dir, _with_mean(flows).join(outlet.unionByName(source).distinct(), ["s", "c"]))
+
+
+def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """s, c, n: lines of each supplier and customer nation."""
     lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     lines = lines.join(read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")), F.col("l_orderkey") == F.col("o_orderkey"))
-    flows = lines.groupBy(F.col("s_nationkey").alias("s"), F.col("c_nationkey").alias("c")).agg(F.count("*").alias("n"))
-    mean = flows.agg(F.avg("n").alias("mean"))
-    # mean is one row, nation has one row per nation
-    flows = flows.join(F.broadcast(mean)).where("n >= 1.1 * mean")
+    return lines.groupBy(F.col("s_nationkey").alias("s"), F.col("c_nationkey").alias("c")).agg(F.count("*").alias("n"))
+
+
+def _with_mean(flows: DataFrame) -> DataFrame:
+    return flows.withColumn("mean", flows.agg(F.avg("n")).scalar())
+
+
+def _nations(spark: SparkSession, sf_dir: str, flows: DataFrame) -> Graph:
     nation = read(spark, sf_dir, "nation")
     region = nation.select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("r"))
     flows = flows.join(region.select(F.col("k").alias("s"), F.col("r").alias("sr")), "s").join(region.select(F.col("k").alias("c"), F.col("r").alias("cr")), "c")
@@ -29,11 +47,13 @@ def trade(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(nodes, edges)
 
 
-TRADE = """flows AS (SELECT s_nationkey AS s, c_nationkey AS c, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
-big AS (SELECT s, c, round(n / (SELECT avg(n) FROM flows), 4) AS weight FROM flows WHERE n >= 1.1 * (SELECT avg(n) FROM flows)),
+_TRADE = """flows AS MATERIALIZED (SELECT s_nationkey AS s, c_nationkey AS c, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+big AS MATERIALIZED (SELECT s, c, round(n / (SELECT avg(n) FROM flows), 4) AS weight FROM {}),
 nodes AS (SELECT 'N' || n_nationkey AS id, n_name AS label, n_regionkey::VARCHAR AS region FROM nation),
-edges AS (SELECT 'N' || s || '-N' || c AS edge_id, CASE WHEN a.n_regionkey = b.n_regionkey THEN 'intra' ELSE 'inter' END AS label, weight, s, c FROM big JOIN nation a ON s = a.n_nationkey JOIN nation b ON c = b.n_nationkey),
-inc AS (SELECT edge_id, 'N' || s AS node_id, 'source' AS role, label, weight FROM edges UNION ALL SELECT edge_id, 'N' || c, 'target', label, weight FROM edges)"""
+edges AS MATERIALIZED (SELECT 'N' || s || '-N' || c AS edge_id, CASE WHEN a.n_regionkey = b.n_regionkey THEN 'intra' ELSE 'inter' END AS label, weight, s, c FROM big JOIN nation a ON s = a.n_nationkey JOIN nation b ON c = b.n_nationkey),
+inc AS MATERIALIZED (SELECT edge_id, 'N' || s AS node_id, 'source' AS role, label, weight FROM edges UNION ALL SELECT edge_id, 'N' || c, 'target', label, weight FROM edges)"""
+TRADE = _TRADE.format("flows")
+LANES = _TRADE.format("(SELECT *, row_number() OVER (PARTITION BY s ORDER BY n DESC, c) AS outlet, row_number() OVER (PARTITION BY c ORDER BY n DESC, s) AS source FROM flows) WHERE outlet = 1 OR source = 1")
 
 
 def orders(spark: SparkSession, sf_dir: str) -> Graph:
@@ -64,4 +84,4 @@ nbr AS (SELECT id, count(v) AS k FROM nodes LEFT JOIN adj ON id = u GROUP BY id)
 
 def sql(kind: str, body: str, more: str = "") -> str:
     """body over the views of a graph; more: further common table expressions."""
-    return f"WITH RECURSIVE {dict(trade=TRADE, orders=ORDERS)[kind]},\n{VIEWS}{',' + more if more else ''}\n{body}"
+    return f"WITH RECURSIVE {dict(trade=TRADE, lanes=LANES, orders=ORDERS)[kind]},\n{VIEWS}{',' + more if more else ''}\n{body}"
