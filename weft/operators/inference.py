@@ -14,8 +14,14 @@ def forward_chain(g: Graph, label: str, depth: int = 3, confidence: float = 0.9)
 
     A step multiplies the scores of a known pair and an edge (at most 1) with the confidence.
     """
+    return forward_chain_from(g, label, None, depth, confidence)
+
+
+def forward_chain_from(g: Graph, label: str, sources: DataFrame | None, depth: int = 3, confidence: float = 0.9) -> DataFrame:
+    """forward_chain of the pairs whose source is one of sources.id (all if None)."""
     own = checkpoint(g.pairs.where((F.col("label") == label) & (F.col("src") != F.col("tgt"))).groupBy("src", "tgt").agg(F.least(F.max("weight"), F.lit(1.0)).alias("w")))
-    known = new = checkpoint(own.select("src", "tgt", F.lit(0).cast("bigint").alias("depth"), F.col("w").alias("score")))
+    start = own if sources is None else own.join(sources.select(F.col("id").alias("src")), "src", "left_semi")
+    known = new = checkpoint(start.select("src", "tgt", F.lit(0).cast("bigint").alias("depth"), F.col("w").alias("score")))
     step = own.select(F.col("src").alias("via"), F.col("tgt").alias("to"), "w")
     for k in range(1, depth + 1):
         found = new.join(step, F.col("tgt") == F.col("via")).where("src <> to").groupBy("src", F.col("to").alias("tgt")).agg(F.max(F.col("score") * F.col("w") * confidence).alias("score"))

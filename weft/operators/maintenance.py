@@ -21,6 +21,46 @@ def add_edges(g: Graph, more: DataFrame) -> Graph:
     return Graph(g.nodes, g.edges.unionByName(more.join(bad, "edge_id", "left_anti").join(g.edges.select("edge_id"), "edge_id", "left_anti").select(*g.edges.columns)))
 
 
+def links(rows: DataFrame, label: str = "", weight: float = 1.0) -> DataFrame:
+    """Edges of rows(source_ids, target_ids), named after label and ends. The weight must be above 0 and no side empty."""
+    if weight <= 0:
+        raise ValueError("an edge's weight must be above 0")
+    rows = rows.where((F.size("source_ids") > 0) & (F.size("target_ids") > 0)).select(*[F.array_sort(F.array_distinct(c)).alias(c) for c in ("source_ids", "target_ids")])
+    name = F.concat_ws(":", F.lit(label), F.array_join("source_ids", "+"), F.array_join("target_ids", "+"))
+    return rows.select(name.alias("edge_id"), "source_ids", "target_ids", F.lit(label).alias("label"), F.lit(float(weight)).alias("weight")).dropDuplicates(["edge_id"])
+
+
+def link(g: Graph, sources: list[str], targets: list[str], label: str = "", weight: float = 1.0, both_ways: bool = False) -> Graph:
+    """g with an edge from sources to targets, and one back if both_ways. Ends must exist, else g is as it was."""
+    sides = [(sources, targets)] + [(targets, sources)] * both_ways
+    rows = g.edges.sparkSession.createDataFrame(sides, "source_ids array<string>, target_ids array<string>")
+    return add_edges(g, links(rows, label, weight))
+
+
+def upsert_nodes(g: Graph, more: DataFrame, boost: float = 1.0) -> Graph:
+    """g with the nodes of more, which take the place of those with their id; boost multiplies the weight of replaced ones, 100 at most."""
+    more = more.select(*g.nodes.columns).dropDuplicates(["id"])
+    old = g.nodes.select("id", F.col("weight").alias("_old"))
+    weight = F.when(F.col("_old").isNull(), F.col("weight")).otherwise(F.least(F.col("_old") * boost, F.lit(100.0)) if boost != 1 else F.col("weight"))
+    new = more.join(old, "id", "left").withColumn("weight", weight).drop("_old")
+    return Graph(g.nodes.join(more.select("id"), "id", "left_anti").unionByName(new), g.edges)
+
+
+def upsert_edges(g: Graph, more: DataFrame) -> Graph:
+    """g with the edges of more, which take the place of those with their id; those with a member that isn't there are left out."""
+    return add_edges(remove_edges(g, more.select("edge_id")), more)
+
+
+def remove_edges(g: Graph, gone: DataFrame) -> Graph:
+    """Without the edges gone.edge_id."""
+    return Graph(g.nodes, g.edges.join(gone.select("edge_id"), "edge_id", "left_anti"))
+
+
+def add_all(g: Graph, nodes: DataFrame, edges: DataFrame) -> Graph:
+    """add_nodes, then add_edges."""
+    return add_edges(add_nodes(g, nodes), edges)
+
+
 def remove_nodes(g: Graph, gone: DataFrame) -> Graph:
     """Without the nodes gone.id and all edges that have one of them."""
     touched = g.members.join(gone.select(F.col("id").alias("node_id")), "node_id", "left_semi").select("edge_id").distinct()
@@ -52,6 +92,14 @@ def prune(g: Graph, weight: float) -> Graph:
     return Graph(g.nodes.join(dead.select("id"), "id", "left_anti"), g.edges)
 
 
+def evolve(g: Graph, reinforced: DataFrame | None = None, suppressed: DataFrame | None = None, factor: float = 0.95, boost: float = 1.1, dead: float = 0.05) -> Graph:
+    """One cycle of upkeep: all weights decay; reinforced.id are boosted, suppressed.id decay once more; nodes of weight ``dead`` or less without edges go."""
+    g = decay(g, factor)
+    g = g if reinforced is None else reinforce(g, reinforced, boost)
+    g = g if suppressed is None else reinforce(g, suppressed, factor)
+    return prune(g, dead)
+
+
 def edge_diff(old: Graph, new: Graph) -> DataFrame:
     """edge_id, change: added, removed, or modified in any column."""
     text = lambda g, name: g.edges.select("edge_id", F.to_json(F.struct("source_ids", "target_ids", "label", "weight")).alias(name))

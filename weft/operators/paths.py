@@ -78,9 +78,14 @@ def is_dag(g: Graph) -> bool:
 
 def simple_paths(g: Graph, source: str, target: str, max_depth: int = 5, label: str | None = None) -> DataFrame:
     """path, hops: all directed paths without repeats of max_depth hops at most."""
+    return paths_between(g, g.nodes.where(F.col("id") == source), target, max_depth, label)
+
+
+def paths_between(g: Graph, sources: DataFrame, target: str, max_depth: int = 5, label: str | None = None) -> DataFrame:
+    """path, hops: all directed paths without repeats of max_depth hops at most from sources.id to the target."""
     rows = g.pairs if label is None else g.pairs.where(F.col("label") == label)
     arcs = checkpoint(rows.where("src <> tgt").select("src", "tgt").distinct())
-    at = arcs.where(F.col("src") == source).select(F.array("src", "tgt").alias("path"), "tgt").withColumnRenamed("tgt", "end")
+    at = arcs.join(sources.select(F.col("id").alias("src")), "src", "left_semi").where(F.col("src") != target).select(F.array("src", "tgt").alias("path"), "tgt").withColumnRenamed("tgt", "end")
     out = at.where(F.col("end") == target)
     for _ in range(max_depth - 1):
         at = checkpoint(at.where(F.col("end") != target).join(arcs, F.col("end") == F.col("src")).where(~F.array_contains("path", F.col("tgt"))).select(F.concat("path", F.array("tgt")).alias("path"), F.col("tgt").alias("end")))

@@ -59,6 +59,59 @@ def rank_fusion(ranked: DataFrame, k: int = 60) -> DataFrame:
     return ranked.withColumn("r", F.row_number().over(w)).groupBy("id").agg(F.sum(1 / (k + F.col("r"))).alias("score"))
 
 
+def retrieve(g: Graph, seeds: DataFrame, vectors: DataFrame | None = None, top_k: int = 10, n: int = 3, weights: dict[str, float] | None = None) -> DataFrame:
+    """id, score: the top_k that activation from seeds.id (n rounds) and similarity to them by vectors(id, embedding) find, without the seeds.
+
+    Fused by reciprocal ranks, or, with weights (of activation and similarity), by their weighted sum. Each list has 3 top_k at most; ties by id.
+    """
+    best = lambda rows: rows.join(seeds.select("id"), "id", "left_anti").orderBy(F.desc("score"), "id").limit(3 * top_k)
+    lists = {"activation": best(spread(g, seeds.select("id", F.lit(1.0).alias("energy")), n).select("id", F.col("energy").alias("score")))}
+    if vectors is not None:
+        own = vectors.join(seeds.select("id"), "id", "left_semi")
+        lists["similarity"] = best(similar(vectors, own, 3 * top_k, "id").groupBy("id").agg(F.max("cosine").alias("score")))
+    ranked = None
+    for name, rows in lists.items():
+        rows = rows.withColumn("list", F.lit(name))
+        ranked = rows if ranked is None else ranked.unionByName(rows)
+    if weights is None:
+        found = rank_fusion(ranked)
+    else:
+        weight = F.create_map(*[F.lit(x) for k in lists for x in (k, float(weights.get(k, 0.0)))])
+        found = ranked.groupBy("id").agg(F.sum(F.col("score") * weight[F.col("list")]).alias("score"))
+    return found.orderBy(F.desc("score"), "id").limit(top_k)
+
+
+def train_weights(records: DataFrame, features: list[str], rate: float = 0.1, epochs: int = 50) -> dict[str, float]:
+    """Weights of features by gradient descent on the squared error to records.relevant (0 or 1), from equal ones on, then divided by the sum of their absolute values.
+
+    The gradient needs only the features' second moments, which one aggregation over all records gives; the epochs run on these few numbers.
+    """
+    pairs = [(a, b) for a in features for b in features if a <= b]
+    sums = [F.avg(F.col(a) * F.col(b)).alias(f"{a}*{b}") for a, b in pairs] + [F.avg(F.col(a) * F.col("relevant")).alias(a) for a in features]
+    row = records.agg(*sums, F.count("*").alias("n")).first()
+    w = dict.fromkeys(features, 1 / len(features))
+    if row["n"]:
+        for _ in range(epochs):
+            slope = {a: sum(w[b] * row["*".join(sorted((a, b)))] for b in features) - row[a] for a in features}
+            w = {a: w[a] - rate * slope[a] for a in features}
+    total = sum(map(abs, w.values()))
+    return {a: x / total if total else x for a, x in w.items()}
+
+
+def feature_score(features: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """features with score, their weighted sum."""
+    return features.withColumn("score", sum((F.col(a) * w for a, w in weights.items()), F.lit(0.0)))
+
+
+def vector_pairs(vectors: DataFrame, pairs: DataFrame, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """a, b, cosine, distance of the given pairs(a, b): the product of the unit vectors and the length of their difference."""
+    u = unit(vectors, column)
+    side = lambda c: u.select(F.col(id_col).alias(c), F.col(column).alias(f"v{c}"))
+    rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    apart = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    return rows.select("a", "b", dot(F.col("va"), F.col("vb")).alias("cosine"), F.sqrt(apart).alias("distance"))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -69,17 +122,28 @@ def unit(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return vectors.withColumn("_size", size).withColumn(column, F.transform(column, lambda x: x.cast("double") / F.when(F.col("_size") > 0, F.col("_size")).otherwise(1.0))).drop("_size")
 
 
-def similar(vectors: DataFrame, queries: DataFrame, top_k: int = 10, id_col: str = "vec_id", column: str = "embedding", most: int = 64) -> DataFrame:
-    """query, id, rank, cosine: the top_k others nearest to each query, all vectors compared; ties by id.
+def similar(vectors: DataFrame, queries: DataFrame, top_k: int = 10, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """query, id, rank, cosine: the top_k others nearest to each query, all vectors compared; ties by id."""
+    u = unit(vectors, column).select(F.col(id_col).alias("id"), F.col(column).alias("embedding"))
+    q = unit(queries, column).select(F.col(id_col).alias("query"), F.col(column).alias("embedding"))
+    return nearest(u, q, F.array("query"), top_k).select("query", "id", "rank", "cosine")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, without, top_k: int = 1, parts: int = 32, block: int = 256) -> DataFrame:
+    """queries' columns without embedding, id, rank, cosine: the top_k vectors(id, embedding) nearest to each of queries(query, embedding, ..); ``without``: an array of ids left out.
 
-    queries are few: they are taken in blocks of ``most``, each broadcast. Each task keeps its own best before the shuffle.
+    Vectors are dealt into parts and queries into blocks of about ``block``; each block meets each part, in a shuffle, so no side has to fit into
+    a task, and each part keeps its own top_k of a query before these are combined.
     """
-    q = unit(queries, column).select(F.col(id_col).alias("query"), F.col(column).alias("q"))
-    blocks = q.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(max(1, -(-queries.count() // most))))).groupBy("block").agg(F.collect_list(F.struct("query", "q")).alias("qs"))
-    rows = unit(vectors, column).select(F.col(id_col).alias("id"), F.col(column).alias("v")).join(F.broadcast(blocks)).select("id", "v", F.explode("qs").alias("x"))
-    scored = rows.where("id <> x.query").select(F.col("x.query").alias("query"), "id", dot(F.col("v"), F.col("x.q")).alias("cosine"))
-    w = Window.partitionBy("query").orderBy(F.desc("cosine"), "id")
-    return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= top_k).select("query", "id", "rank", "cosine")
+    blocks = max(1, -(-queries.count() // block))
+    own = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+    grouped = own.withColumn("out", without).groupBy("part", "block").agg(F.collect_list(F.struct(*[c for c in queries.columns if c != "embedding"], "out", F.col("embedding").alias("q"))).alias("qs"))
+    dealt = vectors.select("id", F.col("embedding").alias("v"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
+    rows = dealt.join(grouped, "part").select("id", "v", "part", F.explode("qs").alias("x")).where(~F.array_contains("x.out", F.col("id")))
+    scored = rows.select("part", *[F.col(f"x.{c}") for c in queries.columns if c != "embedding"], "id", dot(F.col("v"), F.col("x.q")).alias("cosine"))
+    best = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("cosine"), "id"))
+    near = scored.withColumn("rank", best("query", "part")).where(F.col("rank") <= top_k)
+    return near.withColumn("rank", best("query").cast("bigint")).where(F.col("rank") <= top_k).drop("part")
 
 
 def analogy(vectors: DataFrame, a: int, b: int, c: int, top_k: int = 5, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:

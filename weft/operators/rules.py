@@ -70,12 +70,21 @@ def discover_hubs(g: Graph, least: int = 3) -> DataFrame:
 
 def contradictions(g: Graph, negations: list[tuple[str, str]]) -> DataFrame:
     """first, second: edges of the same sources and targets whose labels negate each other."""
+    # as many rows as negations are given
     pairs = g.edges.sparkSession.createDataFrame(negations, "l string, r string")
-    key = g.edges.select("edge_id", "label", F.array_join("source_ids", ",").alias("s"), F.array_join("target_ids", ",").alias("t"))
+    key = g.edges.select("edge_id", "label", F.col("source_ids").alias("s"), F.col("target_ids").alias("t"))
     rows = key.alias("p").join(F.broadcast(pairs), F.col("p.label") == F.col("l")).join(key.alias("q"), (F.col("q.label") == F.col("r")) & (F.col("p.s") == F.col("q.s")) & (F.col("p.t") == F.col("q.t")))
     return rows.select(F.col("p.edge_id").alias("first"), F.col("q.edge_id").alias("second"))
 
 
+def discover_all(g: Graph, least: int = 2, hubs: int = 3) -> DataFrame:
+    """kind, label, other, n: what the three discoveries find: labels with chains, pairs of labels, and labels of hubs (their number)."""
+    chains = discover_transitive(g, least).select(F.lit("transitive").alias("kind"), "label", F.lit("").alias("other"), F.col("chains").alias("n"))
+    back = discover_inverse(g, least).select(F.lit("inverse").alias("kind"), "label", F.col("back").alias("other"), F.col("pairs").alias("n"))
+    hub = discover_hubs(g, hubs).groupBy("label").agg(F.count("*").alias("n")).select(F.lit("hub").alias("kind"), "label", F.lit("").alias("other"), "n")
+    return chains.unionByName(back).unionByName(hub)
+
+
 def violations(g: Graph, most: float = 100.0) -> DataFrame:
     """edge_id, violation: self_loop (a node on both sides), weight (not positive or over most), duplicate (not the first of equal sides and label)."""
     loops = g.edges.where(F.arrays_overlap("source_ids", "target_ids")).select("edge_id", F.lit("self_loop").alias("violation"))

@@ -19,10 +19,12 @@ def trade(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 def lanes(spark: SparkSession, sf_dir: str) -> Graph:
-    """The nations with a sparse set of edges: each nation's main outlet and main source, by the lines of all flows, ties by number."""
+    """The nations with a sparse set of edges: each nation's main outlet and main source, of all flows that with the most lines for the totals of its two ends; ties by number."""
     flows = _flows(spark, sf_dir)
-    outlet = flows.groupBy("s").agg(F.min(F.struct(-F.col("n"), "c")).alias("first")).select("s", F.col("first.c").alias("c"))
-    source = flows.groupBy("c").agg(F.min(F.struct(-F.col("n"), "s")).alias("first")).select(F.col("first.s").alias("s"), "c")
+    out, into = flows.groupBy("s").agg(F.sum("n").alias("ns")), flows.groupBy("c").agg(F.sum("n").alias("nc"))
+    share = flows.join(out, "s").join(into, "c").select("s", "c", (F.col("n") / (F.col("ns") * F.col("nc"))).alias("share"))
+    outlet = share.groupBy("s").agg(F.min(F.struct(-F.col("share"), "c")).alias("first")).select("s", F.col("first.c").alias("c"))
+    source = share.groupBy("c").agg(F.min(F.struct(-F.col("share"), "s")).alias("first")).select(F.col("first.s").alias("s"), "c")
     return _nations(spark, sf_dir, _with_mean(flows).join(outlet.unionByName(source).distinct(), ["s", "c"]))
 
 
@@ -53,7 +55,7 @@ nodes AS (SELECT 'N' || n_nationkey AS id, n_name AS label, n_regionkey::VARCHAR
 edges AS MATERIALIZED (SELECT 'N' || s || '-N' || c AS edge_id, CASE WHEN a.n_regionkey = b.n_regionkey THEN 'intra' ELSE 'inter' END AS label, weight, s, c FROM big JOIN nation a ON s = a.n_nationkey JOIN nation b ON c = b.n_nationkey),
 inc AS MATERIALIZED (SELECT edge_id, 'N' || s AS node_id, 'source' AS role, label, weight FROM edges UNION ALL SELECT edge_id, 'N' || c, 'target', label, weight FROM edges)"""
 TRADE = _TRADE.format("flows")
-LANES = _TRADE.format("(SELECT *, row_number() OVER (PARTITION BY s ORDER BY n DESC, c) AS outlet, row_number() OVER (PARTITION BY c ORDER BY n DESC, s) AS source FROM flows) WHERE outlet = 1 OR source = 1")
+LANES = _TRADE.format("(SELECT *, row_number() OVER (PARTITION BY s ORDER BY share DESC, c) AS outlet, row_number() OVER (PARTITION BY c ORDER BY share DESC, s) AS source FROM (SELECT *, n / (sum(n) OVER (PARTITION BY s) * sum(n) OVER (PARTITION BY c))::DOUBLE AS share FROM flows)) WHERE outlet = 1 OR source = 1")
 
 
 def orders(spark: SparkSession, sf_dir: str) -> Graph:

@@ -49,7 +49,7 @@ add("dag_longest_paths", "lanes", lambda g: structure.longest_paths(forward(g)),
 add("motifs_of_three", "lanes", structure.motifs, "SELECT ['none', 'one', 'two', 'three'][k::INT + 1] AS motif, count(*) AS n FROM (SELECT a.id, b.id, c.id, count(l.u) AS k FROM nodes a JOIN nodes b ON a.id < b.id JOIN nodes c ON b.id < c.id LEFT JOIN links l ON (l.u = a.id AND l.v IN (b.id, c.id)) OR (l.u = b.id AND l.v = c.id) GROUP BY a.id, b.id, c.id) GROUP BY k")
 add("modularity", "trade", lambda g: rounded(structure.modularity(g, g.nodes.select("id", F.col("data")["region"].alias("community"))), "q"), f"SELECT {r('sum(i) / any_value(m) - sum(d * d) / (any_value(m) * any_value(m))')} AS q FROM (SELECT sum(shared)::DOUBLE AS d, sum(CASE WHEN a.region = b.region THEN shared ELSE 0 END) AS i, (SELECT sum(shared)::DOUBLE FROM adj) AS m FROM adj JOIN nodes a ON u = a.id JOIN nodes b ON v = b.id GROUP BY a.region)")
 RANK = "sr0 AS (SELECT id AS u, id AS v, 1::DOUBLE AS s FROM nodes)" + "".join(f", sr{k + 1} AS (SELECT id AS u, id AS v, 1::DOUBLE AS s FROM nodes UNION ALL SELECT x, y, 0.9 * sum(s) / (any_value(p.k) * any_value(q.k)) FROM (SELECT a.u AS x, b.u AS y, s FROM sr{k} z JOIN adj a ON a.v = z.u JOIN adj b ON b.v = z.v WHERE a.u <> b.u) JOIN nbr p ON x = p.id JOIN nbr q ON y = q.id GROUP BY x, y)" for k in range(3))
-add("simrank", "lanes", lambda g: rounded(structure.simrank(g), "score"), f"SELECT u, v, {r('s')} AS score FROM sr3 WHERE u < v", RANK)
+add("simrank", "lanes", lambda g: rounded(structure.simrank(g), "score", digits=9), f"SELECT u, v, {r('s', 9)} AS score FROM sr3 WHERE u < v", RANK)
 WEDGE = "wd AS (SELECT a.u, b.u AS v, k, p.region AS ru, q.region AS rv, z.region AS rw FROM adj a JOIN adj b ON a.v = b.v AND a.u < b.u JOIN nbr ON a.v = nbr.id JOIN nodes p ON a.u = p.id JOIN nodes q ON b.u = q.id JOIN nodes z ON a.v = z.id WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.u = a.u AND l.v = b.u))"
 add("community_links", "lanes", lambda g: rounded(structure.community_links(g, "region"), "ra_community", "within_inter", "centrality"), f"SELECT u, v, count(*) AS common, (count(*) + count(*) FILTER (ru = rv AND rv = rw)) AS cn_community, {r('coalesce(sum(1 / k) FILTER (ru = rv AND rv = rw), 0)')} AS ra_community, {r('CASE WHEN any_value(ru = rv) THEN count(*) FILTER (rv = rw) / (count(*) FILTER (rv <> rw) + 0.001) ELSE 0 END')} AS within_inter, {r('0.8 * count(*) + 0.2 * (SELECT count(*) FROM nodes) / 2')} AS centrality FROM wd GROUP BY u, v", WEDGE)
 add("s_distances", "lanes", lambda g: structure.s_distances(g, g.edges.agg(F.min("edge_id")).first()[0], 1), "SELECT id AS edge_id, min(d)::BIGINT AS d FROM sd GROUP BY id", f"{OVER}, oo AS (SELECT e1, e2 FROM ov UNION ALL SELECT e2, e1 FROM ov), sd AS (SELECT edge_id AS id, 0 AS d FROM edges WHERE edge_id = (SELECT min(edge_id) FROM edges) UNION SELECT e2, d + 1 FROM sd JOIN oo ON id = e1 WHERE d < 8)")
