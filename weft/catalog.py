@@ -1,6 +1,6 @@
 """All registered queries of the graph engine."""
 
-from weft import concept_queries, inference_queries, rule_queries, structure_queries  # noqa: F401  add their queries
+from weft import belief_queries, concept_queries, inference_queries, rule_queries, structure_queries  # noqa: F401  add their queries
 from weft.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

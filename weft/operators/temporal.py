@@ -72,3 +72,35 @@ def violated(events: DataFrame, constraints: DataFrame) -> DataFrame:
     side = lambda p: events.select(F.col("event_id").alias(p), F.col("start").alias(f"{p}0"), F.col("end").alias(f"{p}1"))
     rows = constraints.join(side("a"), "a").join(side("b"), "b").select("a", "b", "declared", relation(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")).alias("actual"))
     return rows.where("declared <> actual")
+
+
+def at(events: DataFrame, t: float) -> DataFrame:
+    """The events whose interval has t, ends included."""
+    return events.where((F.col("start") <= t) & (F.col("end") >= t))
+
+
+def related(events: DataFrame, event_id, relations: tuple[str, ...]) -> DataFrame:
+    """event_id, relation of the events that stand in one of the relations to the given one."""
+    one = events.where(F.col("event_id") == event_id).agg(F.min("start").alias("s"), F.max("end").alias("e"))
+    rows = events.where(F.col("event_id") != event_id).withColumn("s", one.select("s").scalar()).withColumn("e", one.select("e").scalar())
+    found = rows.select("event_id", relation(F.col("start"), F.col("end"), F.col("s"), F.col("e")).alias("relation"))
+    return found.where(F.col("relation").isin(*relations))
+
+
+def constraints(events: DataFrame, key: str) -> DataFrame:
+    """a < b, relation of all pairs of events of one key. Every pair is a row: keys are to have few events each."""
+    side = lambda p: events.select(key, F.col("event_id").alias(p), F.col("start").alias(f"{p}0"), F.col("end").alias(f"{p}1"))
+    rows = side("a").join(side("b"), key).where("a < b")
+    return rows.select("a", "b", relation(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")).alias("relation"))
+
+
+def spans(events: DataFrame, key: str) -> DataFrame:
+    """key, start, end: from the first start to the last end of the key's events."""
+    return events.groupBy(key).agg(F.min("start").alias("start"), F.max("end").alias("end"))
+
+
+def inconsistent(span: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """a, b, relation of the pairs(a, b) of keys of which the first should not come after the second but does, or was started by it."""
+    side = lambda p: span.select(F.col(key).alias(p), F.col("start").alias(f"{p}0"), F.col("end").alias(f"{p}1"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", relation(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")).alias("relation"))
+    return rows.where(F.col("relation").isin("after", "started_by"))
