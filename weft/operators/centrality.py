@@ -157,3 +157,30 @@ def betweenness(g: Graph) -> DataFrame:
     n = g.nodes.agg(F.count("*").alias("n"))
     sums = g.nodes.select("id", F.lit(0.0).alias("dep")) if total is None else g.nodes.select("id", F.lit(0.0).alias("dep")).unionByName(total)
     return sums.groupBy("id").agg(F.sum("dep").alias("dep")).join(F.broadcast(n)).select("id", F.when(F.col("n") > 2, F.col("dep") / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(0.0).alias("score"))
+
+
+def katz_solved(g: Graph, alpha: float = 0.1, beta: float = 1.0, n: int = 40) -> DataFrame:
+    """id, score: (I - alpha A)^-1 beta 1 over its length, by n terms of its series; alpha has to be under 1 over the greatest eigenvalue of A (shared edges)."""
+    a = checkpoint(g.adj)
+    start = g.nodes.select("id", F.lit(beta).alias("s"))
+
+    def step(now: DataFrame) -> DataFrame:
+        got = a.join(now, F.col("v") == F.col("id")).groupBy(F.col("u").alias("x")).agg(F.sum(F.col("shared") * F.col("s")).alias("g"))
+        return start.select("id").join(got, F.col("id") == F.col("x"), "left").select("id", (alpha * F.coalesce("g", F.lit(0.0)) + beta).alias("s"))
+
+    found = checkpoint(rounds(start, step, n))
+    return found.withColumn("size", F.sqrt(found.agg(F.sum(F.col("s") * F.col("s"))).scalar())).select("id", (F.col("s") / F.col("size")).alias("score"))
+
+
+def s_walk_closeness(g: Graph, s: int = 1) -> DataFrame:
+    """id, score: the closeness of the edges over pairs that share s members or more."""
+    from weft.operators.matrices import as_line_graph
+
+    return closeness(as_line_graph(g, s))
+
+
+def s_walk_betweenness(g: Graph, s: int = 1) -> DataFrame:
+    """id, score: the betweenness of the edges over pairs that share s members or more."""
+    from weft.operators.matrices import as_line_graph
+
+    return betweenness(as_line_graph(g, s))

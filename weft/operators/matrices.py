@@ -126,3 +126,101 @@ def link_prediction(g: Graph) -> DataFrame:
     found = rows.groupBy("u", "v").agg(F.count("*").alias("common"), F.sum(F.when(F.col("kw") > 1, 1 / log_k)).alias("adamic_adar"), F.sum(1 / F.col("kw")).alias("resource_allocation"))
     found = found.join(g.links.select("u", "v"), ["u", "v"], "left_anti").join(k.select(F.col("id").alias("u"), F.col("k").alias("ku")), "u").join(k.select(F.col("id").alias("v"), F.col("k").alias("kv")), "v")
     return found.select("u", "v", "common", (F.col("common") / (F.col("ku") + F.col("kv") - F.col("common"))).alias("jaccard"), "adamic_adar", "resource_allocation", (F.col("ku") * F.col("kv")).alias("preferential"))
+
+
+def unsigned_incidence(g: Graph, order: int | None = None) -> DataFrame:
+    """edge_id, id, value: 1 for each member of each edge, or of the edges of order + 1 members."""
+    rows = g.members if order is None else g.members.where(F.col("size") == order + 1)
+    return rows.select("edge_id", F.col("node_id").alias("id"), F.lit(1).cast("bigint").alias("value"))
+
+
+def normalized_laplacian(g: Graph) -> DataFrame:
+    """i, j, value: the Laplacian's entries over the root of the product of both diagonals."""
+    own = g.members.groupBy("node_id").agg(F.sum("weight").alias("d")).where("d > 0")
+    side = lambda c: own.select(F.col("node_id").alias(c), F.col("d").alias(f"d{c}"))
+    return laplacian(g).join(side("i"), "i").join(side("j"), "j").select("i", "j", (F.col("value") / F.sqrt(F.col("di") * F.col("dj"))).alias("value"))
+
+
+def multiorder_laplacian(g: Graph, sigmas: dict[int, float]) -> DataFrame:
+    """i, j, value: the sum over the orders of sigma times (D - H H'), H the unsigned incidence of the edges of that order and D its row sums on the diagonal.
+
+    The diagonals cancel, so what is left is minus sigma for each edge that two nodes share.
+    """
+    sigma = F.create_map(*[F.lit(x) for k, v in sigmas.items() for x in (k + 1, float(v))])
+    rows = g.members.where(F.col("size").isin([k + 1 for k in sigmas])).select("edge_id", "node_id", sigma[F.col("size")].alias("s"))
+    side = lambda c: rows.select("edge_id", F.col("node_id").alias(c))
+    pairs = side("i").join(rows.select("edge_id", F.col("node_id").alias("j"), "s"), "edge_id").where("i <> j")
+    return pairs.groupBy("i", "j").agg((-F.sum("s")).alias("value"))
+
+
+def stationary(g: Graph) -> DataFrame:
+    """id, p: where the random walk of the transition matrix stays: as its flow is symmetric, each node's row sum over that of all. 0 for nodes without edges."""
+    sizes = g.edges.select("edge_id", (F.col("weight") * F.size(F.array_union("source_ids", "target_ids")) / (F.size("source_ids") + F.size("target_ids"))).alias("w"))
+    own = g.members.select("edge_id", F.col("node_id").alias("id")).join(sizes, "edge_id").groupBy("id").agg(F.sum("w").alias("w"))
+    rows = g.nodes.select("id").join(own, "id", "left").select("id", F.coalesce("w", F.lit(0.0)).alias("w"))
+    return rows.withColumn("all", rows.agg(F.sum("w")).scalar()).select("id", F.when(F.col("all") > 0, F.col("w") / F.col("all")).otherwise(0.0).alias("p"))
+
+
+def bipartite(g: Graph) -> DataFrame:
+    """u, v, kind: the graph of nodes and edges, a pair for each member; kind is the role."""
+    return g.incidence.select(F.col("node_id").alias("u"), F.col("edge_id").alias("v"), F.col("role").alias("kind"))
+
+
+def as_line_graph(g: Graph, s: int = 1) -> Graph:
+    """The graph whose nodes are the edges, with an edge each way between those that share s members or more."""
+    from weft.operators.paths import overlaps
+
+    pairs = overlaps(g, s)
+    both = pairs.select(F.col("e1").alias("a"), F.col("e2").alias("b"), "shared").unionByName(pairs.select(F.col("e2").alias("a"), F.col("e1").alias("b"), "shared"))
+    edges = both.select(F.concat_ws(">", "a", "b").alias("edge_id"), F.array("a").alias("source_ids"), F.array("b").alias("target_ids"), F.lit("overlap").alias("label"), F.col("shared").cast("double").alias("weight"))
+    nodes = g.edges.select(F.col("edge_id").alias("id"), "label", F.create_map().cast("map<string,string>").alias("data"), "weight")
+    return Graph(nodes, checkpoint(edges))
+
+
+def boundaries_of(simplices: DataFrame) -> DataFrame:
+    """simplex, face, sign, dimension: the faces of all simplices(ids, dimension) of dimension 1 or more, as sorted ids; the k-th left out has sign (-1)^k."""
+    rows = simplices.where(F.size("ids") > 1).select("ids", "dimension", F.posexplode("ids").alias("k", "x"))
+    return rows.select(F.array_join("ids", ",").alias("simplex"), F.array_join(F.array_remove("ids", F.col("x")), ",").alias("face"), F.when(F.col("k") % 2 == 0, 1).otherwise(-1).cast("bigint").alias("sign"), "dimension")
+
+
+def hodge_laplacian(simplices: DataFrame, k: int) -> DataFrame:
+    """i, j, value: the entries that aren't 0 of B(k)' B(k) + B(k + 1) B(k + 1)', B(k) the boundaries of the simplices of dimension k."""
+    b = checkpoint(boundaries_of(simplices))
+    down, up = b.where(F.col("dimension") == k), b.where(F.col("dimension") == k + 1)
+
+    def product(rows: DataFrame, over: str, of: str) -> DataFrame:
+        side = lambda c: rows.select(over, F.col(of).alias(c), F.col("sign").alias(f"s{c}"))
+        return side("i").join(side("j"), over).select("i", "j", (F.col("si") * F.col("sj")).alias("value"))
+
+    rows = product(down, "face", "simplex").unionByName(product(up, "simplex", "face"))
+    return rows.groupBy("i", "j").agg(F.sum("value").alias("value")).where("value <> 0")
+
+
+def faces_of(simplices: DataFrame, ids: list[str]) -> DataFrame:
+    """ids (comma-joined), relation: the simplices that are faces (proper parts) or cofaces (with all of it and more) of the one of these ids."""
+    own = F.array(*[F.lit(i) for i in sorted(ids)])
+    inside, n = F.size(F.array_intersect("ids", own)), len(ids)
+    face, coface = (inside == F.size("ids")) & (F.size("ids") < n), (inside == n) & (F.size("ids") > n)
+    return simplices.select(F.array_join("ids", ",").alias("ids"), F.when(face, "face").when(coface, "coface").alias("relation")).where("relation is not null")
+
+
+def simpliciality(g: Graph, least: int = 3) -> DataFrame:
+    """One row, value: the share of edges of ``least`` members or more all of whose parts of one member less are edges themselves; 1 without such edges."""
+    ids = g.edges.select(F.array_sort(F.array_union("source_ids", "target_ids")).alias("ids")).distinct()
+    parts = ids.where(F.size("ids") >= least).select("ids", F.explode("ids").alias("x")).select("ids", F.array_remove("ids", F.col("x")).alias("part"))
+    found = parts.join(ids.select(F.col("ids").alias("part"), F.lit(1).alias("there")), "part", "left").groupBy("ids").agg(F.bool_and(F.col("there").isNotNull()).alias("whole"))
+    return found.agg(F.coalesce(F.avg(F.col("whole").cast("double")), F.lit(1.0)).alias("value"))
+
+
+def walk_counts(g: Graph, terms: int = 16) -> DataFrame:
+    """id, score: the sum over k up to ``terms`` of the closed walks of k steps over shared edges, each over k factorial: the diagonal of exp(A).
+
+    All pairs that a walk connects are kept: a measure for graphs whose square fits.
+    """
+    a = checkpoint(adjacency(g))
+    now = g.nodes.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("x"))
+    total = now.select("id", F.col("x").alias("score"))
+    for k in range(1, terms + 1):
+        now = checkpoint(now.join(a, F.col("id") == F.col("i")).groupBy("s", F.col("j").alias("id")).agg((F.sum(F.col("x") * F.col("value")) / k).alias("x")))
+        total = total.unionByName(now.where("s = id").select("id", F.col("x").alias("score")))
+    return total.groupBy("id").agg(F.sum("score").alias("score"))

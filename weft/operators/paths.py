@@ -195,3 +195,86 @@ def label_propagation(g: Graph, rounds_: int = 5) -> DataFrame:
         best = votes.groupBy("u").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("m")).select(F.col("u").alias("id"), F.col("m.community").alias("next"))
         now = checkpoint(now.join(best, "id", "left").select("id", F.coalesce("next", "community").alias("community")))
     return now
+
+
+def wiener(g: Graph) -> DataFrame:
+    """One row, pairs and value: the hops between all pairs of nodes that are connected over common edges, each pair once."""
+    step = checkpoint(g.adj.select(F.col("u").alias("src"), F.col("v").alias("tgt")))
+    start = g.nodes.select(F.col("id").alias("source"), "id", F.lit(0).cast("bigint").alias("d"))
+    grow = lambda new: new.join(step, F.col("id") == F.col("src")).select("source", F.col("tgt").alias("id"), (F.col("d") + 1).alias("d"))
+    return fixpoint(start, grow, ["source", "id"]).where("source < id").agg(F.count("*").alias("pairs"), F.coalesce(F.sum("d"), F.lit(0)).alias("value"))
+
+
+def shortest_path(g: Graph, source: str, target: str, weighted: bool = True) -> DataFrame:
+    """place, id, d: the nodes of a shortest directed path in order, with the distance from the source; no row if there is none. Ties by the smallest node before.
+
+    The distances of one source are found first; the path is followed back from the target, one arc after another.
+    """
+    start = g.nodes.where(F.col("id") == source)
+    found = checkpoint((distances(g, start) if weighted else hops(g, start)).select("id", F.col("d").cast("double").alias("d")))
+    cost = F.min(1 / F.greatest("weight", F.lit(1e-9))) if weighted else F.lit(1.0)
+    arcs = g.pairs.where("src <> tgt").groupBy("src", "tgt").agg((cost if weighted else F.max(cost)).alias("cost"))
+    ends = arcs.join(found.select(F.col("id").alias("src"), F.col("d").alias("ds")), "src").join(found.select(F.col("id").alias("tgt"), F.col("d").alias("dt")), "tgt")
+    before = checkpoint(ends.where(F.abs(F.col("ds") + F.col("cost") - F.col("dt")) <= 1e-12 * F.greatest(F.col("dt"), F.lit(1.0))).groupBy("tgt").agg(F.min("src").alias("src")))
+    end = found.where(F.col("id") == target).select("id", F.lit(0).cast("bigint").alias("back"))
+    walk = fixpoint(end, lambda new: new.where(F.col("id") != source).join(before, F.col("id") == F.col("tgt")).select(F.col("src").alias("id"), (F.col("back") + 1).alias("back")), ["id"])
+    return walk.join(found, "id").withColumn("n", walk.agg(F.max("back")).scalar()).select((F.col("n") - F.col("back")).alias("place"), "id", "d")
+
+
+def s_distance_matrix(g: Graph, s: int = 1, sources: DataFrame | None = None) -> DataFrame:
+    """source, id, d: steps between edges over pairs that share s members or more, from each of sources.edge_id (all by default)."""
+    from weft.operators.matrices import as_line_graph
+
+    line = as_line_graph(g, s)
+    return hops(line, None if sources is None else sources.select(F.col("edge_id").alias("id")))
+
+
+def component_sizes(found: DataFrame, least: int = 1, most: int | None = None) -> DataFrame:
+    """component, size of the components(id, component) of least to most members."""
+    rows = found.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") >= least)
+    return rows if most is None else rows.where(F.col("size") <= most)
+
+
+def is_connected(g: Graph) -> DataFrame:
+    """One row: components, and connected, whether there is just one."""
+    return connected_components(g).agg(F.countDistinct("component").alias("components")).withColumn("connected", F.col("components") == 1)
+
+
+def largest_component(g: Graph) -> DataFrame:
+    """id of the members of the component with the most, ties by the smallest id."""
+    found = checkpoint(connected_components(g))
+    best = component_sizes(found).orderBy(F.desc("size"), "component").limit(1)
+    return found.join(best, "component", "left_semi").select("id")
+
+
+def component_of(g: Graph, node: str) -> DataFrame:
+    """id of all nodes that are connected with the given one: a search from it, without the other components."""
+    from weft.operators.lookup import breadth_first
+
+    return breadth_first(g, g.nodes.where(F.col("id") == node), 1 << 30).select("id")
+
+
+def acyclic(g: Graph) -> DataFrame:
+    """One row: dag (no directed cycle; loops don't count) and has_cycle (loops count)."""
+    free = levels(g).count() == g.nodes.count()
+    loops = g.edges.where(F.arrays_overlap("source_ids", "target_ids")).limit(1).agg(F.count("*").alias("n"))
+    return loops.select(F.lit(free).alias("dag"), ((F.col("n") > 0) | F.lit(not free)).alias("has_cycle"))
+
+
+def spanning_pairs(g: Graph) -> DataFrame:
+    """u, v: the two smallest members of each edge of the spanning forest."""
+    ids = F.array_sort(F.array_union("source_ids", "target_ids"))
+    return g.edges.join(minimum_spanning_edges(g), "edge_id", "left_semi").select(F.get(ids, F.lit(0)).alias("u"), F.get(ids, F.lit(1)).alias("v"))
+
+
+def tree_center(g: Graph) -> DataFrame:
+    """id: what is left of a tree when leaves are taken off, all at once, again and again: one node or two. Of a graph with cycles, what no longer has leaves."""
+    links, left = checkpoint(g.adj.select("u", "v")), checkpoint(g.nodes.select("id"))
+    while left.count() > 2:
+        degree = links.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("k"))
+        leaves = checkpoint(left.join(degree, "id", "left").where("coalesce(k, 0) <= 1").select("id"))
+        if leaves.isEmpty():
+            break
+        left = checkpoint(left.join(leaves, "id", "left_anti"))
+        links = checkpoint(links.join(left.withColumnRenamed("id", "u"), "u", "left_semi").join(left.withColumnRenamed("id", "v"), "v", "left_semi"))
+    return left

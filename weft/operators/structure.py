@@ -283,3 +283,63 @@ def voterank(g: Graph, n: int) -> DataFrame:
         mine = F.col("id") == top.id
         now = checkpoint(now.join(near, "id", "left").select("id", F.when(mine, 0.0).otherwise(less).alias("vote"), F.when(mine, F.lit(k).cast("bigint")).otherwise(F.col("rank")).alias("rank")))
     return now.where("rank is not null").select("rank", "id")
+
+
+def square_clustering(g: Graph) -> DataFrame:
+    """id, value: the share of possible squares around each node that there are; 0 with fewer than two neighbours.
+
+    For each two neighbours: their common neighbours but the node are squares; possible are those and the neighbours that each has for itself,
+    without the node and each other.
+    """
+    adj = checkpoint(g.adj.select("u", "v"))
+    k = checkpoint(g.neighbor_degree)
+    side = lambda c: adj.select(F.col("u").alias("id"), F.col("v").alias(c))
+    pairs = side("a").join(side("b"), "id").where("a < b")
+    common = pairs.groupBy("a", "b").agg((F.count("*") - 1).alias("squares"))
+    linked = adj.select(F.col("u").alias("a"), F.col("v").alias("b"), F.lit(1).alias("theta")).where("a < b")
+    degree = lambda c: k.select(F.col("id").alias(c), F.col("k").alias(f"k{c}"))
+    both = common.join(linked, ["a", "b"], "left").join(degree("a"), "a").join(degree("b"), "b").withColumn("theta", F.coalesce("theta", F.lit(0)))
+    own = 1 + F.col("squares") + F.col("theta")
+    both = both.withColumn("possible", F.col("ka") - own + F.col("kb") - own + F.col("squares"))
+    sums = pairs.join(both, ["a", "b"]).groupBy("id").agg(F.sum("squares").alias("s"), F.sum("possible").alias("p"))
+    return g.nodes.select("id").join(sums, "id", "left").select("id", F.when(F.col("p") > 0, F.col("s") / F.col("p")).otherwise(0.0).alias("value"))
+
+
+def chordless_cycles(g: Graph, most: int = 5) -> DataFrame:
+    """path, hops: the directed cycles of up to ``most`` nodes with no arc, in either direction, between two that don't follow each other. Those of three or fewer always count."""
+    from weft.operators.inference import cycles
+
+    found = checkpoint(cycles(g, most).withColumn("key", F.array_join("path", ",")))
+    at = found.where("hops > 3").select("key", "hops", F.posexplode("path").alias("i", "x"))
+    two = at.alias("p").join(at.alias("q"), "key").where("p.i + 1 < q.i and not (p.i = 0 and q.i = p.hops - 1)").select("key", F.col("p.x").alias("x"), F.col("q.x").alias("y"))
+    arcs = g.arcs.select(F.least("src", "tgt").alias("a"), F.greatest("src", "tgt").alias("b")).distinct()
+    chords = two.join(arcs, (F.least("x", "y") == F.col("a")) & (F.greatest("x", "y") == F.col("b")), "left_semi").select("key").distinct()
+    return found.join(chords, "key", "left_anti").select("path", "hops")
+
+
+def chromatic_number(g: Graph) -> DataFrame:
+    """One row, colors: how many the greedy colouring takes, an upper bound."""
+    return coloring(g).agg(F.countDistinct("color").alias("colors"))
+
+
+def dominating_set(g: Graph, seed: int = 0) -> DataFrame:
+    """id of a set such that each node is in it or next to one in it: a maximal independent set, as any such set dominates."""
+    return independent_set(g, seed)
+
+
+def largest_clique(g: Graph) -> DataFrame:
+    """clique: the members (sorted) of the clique with the most, ties by the first in order."""
+    return maximal_cliques(g).select(F.array_join(F.array_sort("clique"), ",").alias("clique"), F.size("clique").alias("n")).orderBy(F.desc("n"), "clique").limit(1).select("clique")
+
+
+def signature(g: Graph) -> DataFrame:
+    """k, triangles, n: how many nodes have so many neighbours and triangles. Graphs with different ones are not isomorphic."""
+    from weft.operators.degrees import triangles
+
+    return triangles(g).groupBy("k", "triangles").agg(F.count("*").alias("n"))
+
+
+def could_be_isomorphic(g: Graph, other: Graph) -> DataFrame:
+    """One row, possible: whether the signatures of both graphs are the same."""
+    both = signature(g).select("k", "triangles", F.col("n").alias("a")).join(signature(other).select("k", "triangles", F.col("n").alias("b")), ["k", "triangles"], "full_outer")
+    return both.agg(F.coalesce(F.bool_and(F.coalesce(F.col("a") == F.col("b"), F.lit(False))), F.lit(True)).alias("possible"))
