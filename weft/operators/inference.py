@@ -136,8 +136,13 @@ def successors(visits: DataFrame, top_k: int = 3) -> DataFrame:
 
 def ancestors(states: DataFrame) -> DataFrame:
     """state, ancestor, d: each state with itself and those before it in states(state, parent)."""
+    return ancestors_of(states, states)
+
+
+def ancestors_of(states: DataFrame, some: DataFrame) -> DataFrame:
+    """ancestors of some.state only."""
     up = checkpoint(states.select(F.col("state").alias("s"), "parent").where("parent is not null"))
-    start = states.select("state", F.col("state").alias("ancestor"), F.lit(0).cast("bigint").alias("d"))
+    start = some.select("state", F.col("state").alias("ancestor"), F.lit(0).cast("bigint").alias("d"))
     return fixpoint(start, lambda new: new.join(up, F.col("ancestor") == F.col("s")).select("state", F.col("parent").alias("ancestor"), (F.col("d") + 1).alias("d")), ["state", "ancestor"])
 
 
@@ -151,13 +156,62 @@ def common_ancestors(states: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def convergent(states: DataFrame, least: float = 0.5) -> DataFrame:
-    """a < b, similarity of leaves of states(state, parent, nodes) whose node sets have a Jaccard of least or more, above 0. Leaves meet over their nodes."""
-    leaves = states.join(states.select(F.col("parent").alias("state")), "state", "left_anti").select("state", F.array_distinct("nodes").alias("nodes")).select("state", F.size("nodes").alias("n"), F.explode("nodes").alias("x"))
-    side = lambda c: leaves.select(F.col("state").alias(c), F.col("n").alias(f"n{c}"), "x")
-    rows = side("a").join(side("b"), "x").where("a < b").groupBy("a", "b").agg(F.count("*").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    return rows.select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("similarity")).where(F.col("similarity") >= least)
+    """a < b, similarity of leaves of states(state, parent, nodes) whose node sets have a Jaccard of least or more, above 0. Leaves meet over their rarest nodes."""
+    from weft.operators.states import similar_sets
+
+    leaves = states.join(states.select(F.col("parent").alias("state")), "state", "left_anti")
+    return similar_sets(leaves.select(F.col("state").alias("id"), F.col("nodes").alias("items")), least)
 
 
 def siblings(states: DataFrame, least: int = 2) -> DataFrame:
     """parent, n: states that share a parent, where there are least or more."""
     return states.where("parent is not null").groupBy("parent").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def flagged_confidence(found: DataFrame, least: float) -> DataFrame:
+    """The rows of confidence_paths under ``least``, the lowest first."""
+    return found.where(F.col("confidence") < least).orderBy("confidence", "id")
+
+
+def provable(g: Graph, label: str, targets: DataFrame, known: DataFrame, depth: int = 5) -> DataFrame:
+    """id, proven, depth of targets.id: whether arcs of the label lead there from known.id in ``depth`` steps or fewer, and in how many."""
+    from weft.operators.lookup import breadth_first
+
+    own = Graph(g.nodes, g.edges.where(F.col("label") == label))
+    found = breadth_first(own, known, depth, True)
+    return targets.select("id").join(found, "id", "left").select("id", F.col("depth").isNotNull().alias("proven"), "depth")
+
+
+def template(g: Graph, edges: list[tuple[str, str, str | None, float]]) -> DataFrame:
+    """A column for each role: the matches of a pattern whose edges (role, role, label or None, least weight) hang together in order. Roles may have the same node."""
+    out = None
+    for a, b, label, least in edges:
+        rows = g.pairs.where(F.col("weight") >= least)
+        rows = rows if label is None else rows.where(F.col("label") == label)
+        rows = rows.select(F.col("src").alias(a), F.col("tgt").alias(b)).distinct()
+        shared = [] if out is None else [c for c in (a, b) if c in out.columns]
+        if out is not None and not shared:
+            raise ValueError("each edge of a pattern must have a role of those before it")
+        out = rows if out is None else out.join(rows, shared)
+    return out
+
+
+def diamonds(g: Graph, label: str | None = None, least: int = 2) -> DataFrame:
+    """a < b, shared, score: sources that have ``least`` targets or more in common, with the Jaccard index of their targets."""
+    from weft.operators.matrices import projection
+
+    own = Graph(g.nodes, g.edges if label is None else g.edges.where(F.col("label") == label))
+    found = projection(own).where(F.col("shared") >= least)
+    return found.select(F.col("u").alias("a"), F.col("v").alias("b"), "shared", F.col("jaccard").alias("score"))
+
+
+def hypotheses(visits: DataFrame, least: int = 2, ratio: float = 0.5) -> DataFrame:
+    """cause, effect, n, precedence, confidence: keys of which one follows the other at once ``least`` times or more in visits(who, ts, key), and does so in a share of ``ratio`` or more of both orders.
+
+    confidence is the mean of a Beta distribution that has counted both orders, from one each on.
+    """
+    counts = checkpoint(successors(visits, 1 << 30).where("key <> next"))
+    back = counts.select(F.col("next").alias("key"), F.col("key").alias("next"), F.col("n").alias("m"))
+    rows = counts.join(back, ["key", "next"], "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    rows = rows.select(F.col("key").alias("cause"), F.col("next").alias("effect"), "n", (F.col("n") / (F.col("n") + F.col("m"))).alias("precedence"), ((F.col("n") + 1) / (F.col("n") + F.col("m") + 2)).alias("confidence"))
+    return rows.where((F.col("n") >= least) & (F.col("precedence") >= ratio))

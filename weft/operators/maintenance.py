@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.plans.graph import Graph
-from weft.plans.iterate import fixpoint
+from weft.plans.iterate import checkpoint, fixpoint
 
 
 def add_nodes(g: Graph, more: DataFrame) -> Graph:
@@ -139,3 +139,88 @@ def equivalences(g: Graph, least: float = 0.8, block: tuple[str, ...] = ()) -> D
     j = F.when(F.col("c") > 0, F.col("c") / (F.col("ka") + F.col("kb") - F.col("c"))).otherwise(0.0)
     score = F.when(F.col("s") >= least, F.col("s")).otherwise(F.greatest("s", 0.4 * F.col("s") + 0.6 * j))
     return rows.select("a", "b", score.alias("score")).where(F.col("score") >= least)
+
+
+def merge_pairs(g: Graph, pairs: DataFrame) -> Graph:
+    """g with the second node of pairs(a, b) merged into the first: edges point to it, and it keeps its own fields. No node may be in two pairs."""
+    to = pairs.select(F.col("b").alias("node_id"), F.col("a").alias("to"))
+    moved = g.incidence.select("edge_id", "role", "node_id").join(to, "node_id", "left").withColumn("node_id", F.coalesce("to", "node_id"))
+    side = lambda role: F.array_sort(F.collect_set(F.when(F.col("role") == role, F.col("node_id"))))
+    touched = g.members.join(to, "node_id", "left_semi").select("edge_id").distinct()
+    new = moved.join(touched, "edge_id", "left_semi").groupBy("edge_id").agg(side("source").alias("source_ids"), side("target").alias("target_ids"))
+    edges = g.edges.join(touched, "edge_id", "left_anti").unionByName(g.edges.select("edge_id", "label", "weight").join(new, "edge_id").select(*g.edges.columns))
+    return Graph(g.nodes.join(pairs.select(F.col("b").alias("id")), "id", "left_anti"), edges)
+
+
+def disjoint(pairs: DataFrame) -> DataFrame:
+    """a, b, score of a greedy choice of pairs(a, b, score) that have no node in common: by descending score, then a, then b."""
+    left, out = checkpoint(pairs.select("a", "b", "score")), None
+    while not left.isEmpty():
+        ends = left.select("a", "b", "score", F.explode(F.array("a", "b")).alias("end"))
+        first = ends.groupBy("end").agg(F.min(F.struct((-F.col("score")).alias("score"), "a", "b")).alias("m"))
+        now = checkpoint(first.groupBy("m").agg(F.count("*").alias("n")).where("n = 2").select("m.a", "m.b", (-F.col("m.score")).alias("score")))
+        out = now if out is None else checkpoint(out.unionByName(now))
+        taken = now.select(F.explode(F.array("a", "b")).alias("end"))
+        left = checkpoint(left.join(taken.withColumnRenamed("end", "a"), "a", "left_anti").join(taken.withColumnRenamed("end", "b"), "b", "left_anti").select("a", "b", "score"))
+    return left if out is None else out
+
+
+def merge_equivalences(g: Graph, least: float = 0.8, block: tuple[str, ...] = ()) -> Graph:
+    """g with equivalent nodes merged pair by pair, the most alike first, each node once."""
+    return merge_pairs(g, checkpoint(disjoint(equivalences(g, least, block))))
+
+
+def capture(g: Graph, path: str) -> str:
+    """Writes a version of the graph to a folder, which is returned."""
+    g.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    g.edges.write.mode("overwrite").parquet(f"{path}/edges")
+    return path
+
+
+def version(spark: SparkSession, path: str) -> Graph:
+    """The graph of a version: to roll back is to go on with it."""
+    return Graph(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"))
+
+
+def save_tables(tables: dict[str, DataFrame], path: str) -> str:
+    """A snapshot of any tables, by name."""
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+    return path
+
+
+def load_tables(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+
+
+def layered(layers: dict[str, tuple[DataFrame, float]]) -> DataFrame:
+    """The edges of named layers (edges, weight): ids are prefixed with the layer's name, weights multiplied by its weight, and a column says which layer it is."""
+    out = None
+    for name, (edges, weight) in layers.items():
+        rows = edges.select(F.concat_ws("/", F.lit(name), "edge_id").alias("edge_id"), "source_ids", "target_ids", "label", (F.col("weight") * weight).alias("weight"), F.lit(name).alias("layer"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def retract(g: Graph, provenance: DataFrame, roots: DataFrame) -> Graph:
+    """g without the edges roots.edge_id and all that was inferred from them."""
+    gone = dependents(provenance, roots).select("edge_id").unionByName(roots.select("edge_id"))
+    return remove_edges(g, gone.distinct())
+
+
+def rollback(g: Graph, provenance: DataFrame) -> Graph:
+    """g without the edges that have a provenance."""
+    return remove_edges(g, provenance.select("edge_id").distinct())
+
+
+def link_impact(g: Graph, source: str, target: str) -> DataFrame:
+    """One row: what an edge from source to target would do: merges (two components), closes (a directed cycle), and how many nodes the smaller component has."""
+    from weft.operators.lookup import breadth_first
+    from weft.operators.paths import component_of
+
+    one = lambda n: g.nodes.where(F.col("id") == n)
+    near = checkpoint(component_of(g, source))
+    apart = near.where(F.col("id") == target).isEmpty()
+    back = not breadth_first(g, one(target), 1 << 30, True).where(F.col("id") == source).isEmpty()
+    size = min(near.count(), component_of(g, target).count()) if apart else 0
+    return g.nodes.limit(1).select(F.lit(apart).alias("merges"), F.lit(back).alias("closes"), F.lit(size).cast("bigint").alias("gained"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.plans.graph import Graph
@@ -102,3 +102,66 @@ def suggest(index: DataFrame, name: str, prefix: str, top_k: int = 10) -> DataFr
     """value: the first top_k values, in lowered order, that begin with the prefix, whatever the case."""
     rows = index.where((F.col("field") == name) & F.lower("sval").startswith(prefix.lower())).select(F.col("sval").alias("value")).distinct()
     return rows.orderBy(F.lower("value"), "value").limit(top_k)
+
+
+def build(text: str = "", filters: dict[str, Any] | None = None, boosts: dict[str, float] | None = None) -> Query:
+    """A query from parts: a filter is a value, a tuple of values, or a pair (low, high) of numbers or None."""
+    out = Query(text, boosts=dict(boosts or {}))
+    for name, value in (filters or {}).items():
+        if isinstance(value, tuple) and len(value) == 2 and not any(isinstance(v, str) for v in value):
+            out.filters.append(Filter(name, (), *value))
+        else:
+            out.filters.append(Filter(name, value if isinstance(value, tuple) else (str(value),)))
+    return out
+
+
+def index_stats(index: DataFrame) -> DataFrame:
+    """field, entries, values: how many nodes have a field, and how many different values."""
+    return index.groupBy("field").agg(F.count("*").alias("entries"), F.countDistinct("sval").alias("values"))
+
+
+def field_values(index: DataFrame, name: str) -> DataFrame:
+    """value: the different values of a field, in order."""
+    return index.where(F.col("field") == name).select(F.col("sval").alias("value")).distinct().orderBy("value")
+
+
+def plan(g: Graph, query: Query, vectors: bool = False) -> tuple[str, float]:
+    """The strategy for a query and the share of nodes that its filters leave.
+
+    Without text: browse. Filters that leave under 0.01: index_only; under 0.1: index_then_embed where there are vectors, else
+    index_then_activate. Text without filters: embed_only or activate_only. All else: hybrid.
+    """
+    share = matching(g, query.filters).count() / max(g.nodes.count(), 1) if query.filters else 1.0
+    if query.filters and not query.text:
+        return "browse", share
+    if query.filters and share < 0.01:
+        return "index_only", share
+    if query.filters and share < 0.1:
+        return "index_then_embed" if vectors else "index_then_activate", share
+    if query.text and not query.filters:
+        return "embed_only" if vectors else "activate_only", share
+    return "hybrid", share
+
+
+def score(candidates: DataFrame, activation: DataFrame | None = None, similarity: DataFrame | None = None, boosts: dict[str, float] | None = None, min_score: float = 0.0) -> DataFrame:
+    """id, score of candidates(id, data): the mean of 1 (being found by the index), 0.4 times activation(id, score) and 0.6 times similarity(id, score), weighted 1, 0.4 and 0.6; times the boosts of the fields that a node has."""
+    rows, total, weights = candidates, F.lit(1.0), 1.0
+    for name, table, weight in (("act", activation, 0.4), ("sim", similarity, 0.6)):
+        if table is not None:
+            rows = rows.join(table.select("id", F.col("score").alias(name)), "id", "left")
+            total, weights = total + weight * F.coalesce(name, F.lit(0.0)), weights + weight
+    boost = F.lit(1.0)
+    for field_name, factor in (boosts or {}).items():
+        boost = boost * F.when(F.col("data")[field_name].isNotNull(), factor).otherwise(1.0)
+    return rows.select("id", (total / weights * boost).alias("score")).where(F.col("score") >= min_score)
+
+
+def search(g: Graph, query: Query, top_k: int = 10, offset: int = 0, activation: DataFrame | None = None, similarity: DataFrame | None = None, min_score: float = 0.0) -> DataFrame:
+    """rank, id, label, score: a page of what fits filters and text, by score, ties by id. Without filters and text all nodes are candidates."""
+    rows = matching(g, query.filters) if query.filters else g.nodes
+    if query.text:
+        rows = rows.join(text_match(attribute_index(g), query.text.split()).select("id").distinct(), "id", "left_semi")
+    found = score(rows.select("id", "data"), activation, similarity, query.boosts, min_score)
+    page = found.orderBy(F.desc("score"), "id").limit(offset + top_k)
+    ranked = page.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("bigint")).where(F.col("rank") > offset)
+    return ranked.join(g.nodes.select("id", "label"), "id").select("rank", "id", "label", "score")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.functions.columns import chance
 from weft.plans.graph import Graph
+from weft.plans.iterate import checkpoint
 
 
 def _node(i: Column, prefix: str = "n") -> Column:
@@ -87,3 +88,67 @@ def uniform(spark: SparkSession, n: int, m: int, k: int, seed: int = 0, prefix:
     named = rows.select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("edge_id"), F.transform(F.array_sort("ids"), lambda i: _node(i, prefix)).alias("ids"))
     edges = named.select("edge_id", F.slice("ids", 1, 1).alias("source_ids"), F.array_sort(F.slice("ids", 2, max(k - 1, 1))).alias("target_ids"), F.lit("").alias("label"), F.lit(1.0).alias("weight"))
     return Graph(g.nodes, edges)
+
+
+def random_sets(spark: SparkSession, n: int, chances: list[float], seed: int = 0, prefix: str = "n") -> Graph:
+    """Every set of d + 2 nodes with chance chances[d], for each d."""
+    rows = None
+    for d, p in enumerate(chances):
+        g = complete(spark, n, d + 1, prefix)
+        kept = g.edges.where(chance(seed, "edge_id") < p)
+        rows = kept if rows is None else rows.unionByName(kept)
+    return Graph(complete(spark, n, 0, prefix).nodes, rows)
+
+
+def chung_lu(spark: SparkSession, weights: list[float], seed: int = 0, prefix: str = "n") -> Graph:
+    """Each pair of nodes with chance min(1, product of their weights / sum of all)."""
+    n, total = len(weights), sum(weights)
+    w = lambda i: F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (i + 1).cast("int"))
+    rows = spark.range(max(n - 1, 0)).select("id", F.explode(F.sequence(F.col("id") + 1, F.lit(n - 1).cast("bigint"))).alias("x"))
+    return _graph(spark, n, rows.where(chance(seed, "id", "x") < F.least(w(F.col("id")) * w(F.col("x")) / total, F.lit(1.0))).select(F.array("id", "x").alias("ids")), prefix)
+
+
+def preferential(spark: SparkSession, n: int, m: int, seed: int = 0, prefix: str = "n") -> Graph:
+    """Preferential attachment: each node but the first leads to ``m`` earlier ends, drawn by their degrees so far; equal targets count once, loops go.
+
+    Ends stand in a row, two for each edge: at 2 i the new node, at 2 i + 1 a copy of a uniformly drawn earlier place, which a hash of i
+    gives. A copy of a copy is followed back, for all edges at once, so no edge waits for those before it.
+    """
+    edges = spark.range((n - 1) * m).select(F.col("id").alias("i"), (F.floor(F.col("id") / m) + 1).alias("own"))
+    place = F.when(F.col("i") == 0, F.lit(-1)).otherwise(F.floor(chance(seed, "i") * 2 * F.col("i"))).cast("bigint")
+    drawn = edges.select("i", "own", place.alias("at"))
+
+    def followed(rows: DataFrame) -> DataFrame:
+        back = drawn.select((2 * F.col("i") + 1).alias("at"), F.col("at").alias("next"))
+        return rows.join(back, "at", "left").select("i", "own", F.coalesce("next", "at").alias("at"))
+
+    rows = drawn
+    while not (odd := rows.where("at > 0 and at % 2 = 1")).isEmpty():
+        rows = checkpoint(rows.where("at <= 0 or at % 2 = 0").unionByName(followed(odd)))
+    to = F.when(F.col("at") < 0, F.lit(0)).otherwise(F.floor(F.col("at") / (2 * m)) + 1).cast("bigint")
+    ids = rows.select(F.col("own").alias("a"), to.alias("b")).where("a <> b").distinct()
+    return _graph(spark, n, ids.select(F.array("b", "a").alias("ids")), prefix)
+
+
+def shuffled(g: Graph, p: float, seed: int = 0) -> Graph:
+    """g with the targets of each edge, with chance p, in place of those of the edge that stands before it among the chosen ones, by a hash.
+
+    So every node keeps its numbers of edges. The chosen edges are put in order within 64 parts of the hash, and each part is a ring.
+    """
+    h = chance(seed, F.lit("order"), "edge_id")
+    chosen = g.edges.where(chance(seed, F.lit("pick"), "edge_id") < p).withColumn("h", h).withColumn("part", F.floor(h * 64))
+    w = Window.partitionBy("part").orderBy("h", "edge_id")
+    last = F.last("target_ids").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    moved = chosen.withColumn("target_ids", F.coalesce(F.lag("target_ids").over(w), last))
+    return Graph(g.nodes, g.edges.where(chance(seed, F.lit("pick"), "edge_id") >= p).unionByName(moved.select(*g.edges.columns)))
+
+
+def block_sets(spark: SparkSession, sizes: list[int], k: int, p_in: float, p_out: float, seed: int = 0, prefix: str = "n") -> Graph:
+    """Every set of k nodes, with chance p_in if all are of one block, else p_out. Nodes carry their block as data."""
+    n, ends = sum(sizes), [sum(sizes[: i + 1]) for i in range(len(sizes))]
+    number = lambda c: F.substring(c, len(prefix) + 1, 20).cast("bigint")
+    block = lambda c: sum((F.when(number(c) >= e, 1).otherwise(0) for e in ends[:-1]), F.lit(0))
+    g = complete(spark, n, k - 1, prefix)
+    blocks = F.array_distinct(F.transform(F.concat("source_ids", "target_ids"), block))
+    edges = g.edges.where(chance(seed, "edge_id") < F.when(F.size(blocks) == 1, p_in).otherwise(p_out))
+    return Graph(g.nodes.withColumn("data", F.create_map(F.lit("block"), block(F.col("id")).cast("string"))), edges)
