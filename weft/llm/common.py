@@ -64,6 +64,13 @@ def free_name(name: str, taken: Iterable[str]) -> str:
     return name
 
 
+def parts_for(df: DataFrame, size: int = 8 << 20) -> int:
+    """So many partitions that each has about ``size`` bytes by the plan's estimate (which takes a compressed text column for a third of what it is), and no fewer than the session's shuffles have. An unknown size counts as none."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(least, estimate // size) if estimate < 1 << 50 else least
+
+
 def _slot(h: Column) -> Column:
     return F.pmod(F.shiftrightunsigned(h, 6), F.lit(SLOTS)).cast("int")
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.bpe import SPACE, Merges
-from weft.llm.common import text_chunks
+from weft.llm.common import parts_for, text_chunks
 
 #: How the word-level vocabulary splits lower-cased text.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
@@ -157,9 +157,9 @@ def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     an empty table gives an empty one; other columns, whatever their names, are not read.
 
     The blocks are shuffled once, by number, and stay there; their distinct words go to the word's own part of the table and come back as ids.
-    In memory are a block as a whole (BLOCK bytes of text, or one longer text) and a part of the table (the distinct words by the number of shuffle partitions).
+    In memory are a block as a whole (BLOCK bytes of text, or one longer text) and a part of the table (one for each 8 megabytes of texts by the plan's estimate, and the number of shuffle partitions at least).
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(docs.select(text_col))
     blocks = split_blocks(docs, vocabulary, id_col, text_col, parts).repartition(parts, "block")
 
     def lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
