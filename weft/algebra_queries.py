@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from weft.operators import centrality, matrices, paths, structure
 from weft.operators.degrees import rounded
 from weft.plans.graph import Graph
-from weft.queries import FLOW, HOPS, OVER, SHARED, TRI, _rounds, add, r
-from weft.structure_queries import CLIQUE, FOLD, SEEDED
+from weft.queries import FLOW, HOPS, ORACLES, OVER, SHARED, TRI, _rounds, add, r
+from weft.sources.graphs import sql
+from weft.structure_queries import CHANCE, CLIQUE, FOLD, SEEDED
 
 # matrices
 add("incidence_unsigned", "orders", matrices.unsigned_incidence, "SELECT edge_id, node_id AS id, 1::BIGINT AS value FROM members")
@@ -80,3 +81,37 @@ def renamed(g: Graph) -> Graph:
 
 
 add("could_be_isomorphic", "lanes", lambda g: structure.could_be_isomorphic(g, renamed(g)), "SELECT true AS possible")
+
+
+# SQL of queries that other modules register
+def also(name: str, kind: str, body: str, more: str = "") -> None:
+    ORACLES[name] = sql(kind, body, more)
+
+
+NBR = "mp AS MATERIALIZED (SELECT map(list(id), list(n)) AS m FROM (SELECT nodes.id, coalesce(list(v) FILTER (v IS NOT NULL), []) AS n FROM nodes LEFT JOIN adj ON nodes.id = u GROUP BY nodes.id))"
+LEVELS = OVER + ", ks AS (SELECT unnest(range(1, (SELECT max(shared) + 1 FROM ov)))::BIGINT AS s), bg AS MATERIALIZED (SELECT s, e1 AS a, e2 AS b FROM ov, ks WHERE shared >= s UNION ALL SELECT s, e2, e1 FROM ov, ks WHERE shared >= s), cn AS (SELECT s, a, b FROM bg UNION SELECT cn.s, cn.a, bg.b FROM cn JOIN bg ON cn.s = bg.s AND cn.b = bg.a), co AS (SELECT ks.s, e.edge_id, least(e.edge_id, coalesce(min(b), e.edge_id)) AS c FROM ks CROSS JOIN edges e LEFT JOIN cn ON cn.s = ks.s AND cn.a = e.edge_id GROUP BY ks.s, e.edge_id)"
+also("s_persistence", "lanes", "SELECT s, count(*) AS components, max(n) AS largest FROM (SELECT s, c, count(*) AS n FROM co GROUP BY s, c) GROUP BY s", LEVELS)
+TESTS = f"{PART}, {REACH}, pc AS (SELECT c, count(*) AS n, (SELECT count(*) FROM links JOIN cp25 y ON u = y.id WHERE y.c = x.c) AS m FROM cp25 x GROUP BY c), ts AS (SELECT (SELECT count(*) FROM pc) AS components, (SELECT bool_and(m = n - 1) FROM pc) AS forest, (SELECT sum(k % 2) FROM nbr) AS odd, EXISTS (SELECT 1 FROM pairs WHERE src = tgt) AS loops, NOT EXISTS (SELECT 1 FROM rc WHERE src = tgt) AS dag)"
+also("structure_tests", "lanes", "SELECT components, components = 1 AS connected, components = 1 AND forest AS tree, forest, components = 1 AND odd = 0 AS eulerian, components = 1 AND odd IN (0, 2) AS eulerian_path, loops, dag FROM ts", TESTS)
+BRIDGE = "br AS (SELECT u, v, u AS id FROM links UNION SELECT br.u, br.v, a.v FROM br JOIN adj a ON br.id = a.u AND NOT (a.u = br.u AND a.v = br.v) AND NOT (a.u = br.v AND a.v = br.u)), bb AS MATERIALIZED (SELECT u, v FROM links l WHERE NOT EXISTS (SELECT 1 FROM br WHERE br.u = l.u AND br.v = l.v AND br.id = l.v))"
+also("bridges", "lanes", "SELECT u, v FROM bb", BRIDGE)
+STRONG = BRIDGE + ", sa AS MATERIALIZED (SELECT u, v FROM adj x WHERE NOT EXISTS (SELECT 1 FROM bb WHERE (bb.u = x.u AND bb.v = x.v) OR (bb.u = x.v AND bb.v = x.u))), sc AS (SELECT id, id AS o FROM nodes UNION SELECT sc.id, sa.v FROM sc JOIN sa ON o = u)"
+also("two_edge_components", "lanes", "SELECT id, min(o) AS component FROM sc GROUP BY id", STRONG)
+VOTES = "vo0 AS (SELECT id, 1::DOUBLE AS vote, NULL::BIGINT AS rank FROM nodes)" + "".join(f", vt{k} AS MATERIALIZED (SELECT u AS id FROM adj JOIN vo{k - 1} v ON v = v.id AND v.vote > 0 JOIN vo{k - 1} w ON u = w.id AND w.rank IS NULL GROUP BY u ORDER BY round(sum(v.vote), 9) DESC, u LIMIT 1), vo{k} AS MATERIALIZED (SELECT id, CASE WHEN id IN (SELECT id FROM vt{k}) THEN 0 WHEN id IN (SELECT v FROM adj WHERE u IN (SELECT id FROM vt{k})) THEN greatest(vote - 1 / (SELECT avg(k) FROM nbr), 0) ELSE vote END::DOUBLE AS vote, CASE WHEN id IN (SELECT id FROM vt{k}) THEN {k} ELSE rank END AS rank FROM vo{k - 1})" for k in range(1, 6))
+also("voterank", "lanes", "SELECT rank, id FROM vo5 WHERE rank IS NOT NULL", VOTES)
+ONION = NBR + ", on_ AS (SELECT 0 AS layer, 0 AS core, []::VARCHAR[] AS gone, (SELECT list(id) FROM nodes) AS l UNION ALL SELECT layer + 1, greatest(core, low), list_filter(l, lambda x: len(list_intersect(m[x], l)) <= greatest(core, low)), list_filter(l, lambda x: len(list_intersect(m[x], l)) > greatest(core, low)) FROM (SELECT layer, core, l, m, list_min(list_transform(l, lambda x: len(list_intersect(m[x], l)))) AS low FROM on_, mp WHERE len(l) > 0))"
+also("onion_layers", "lanes", "SELECT unnest(gone) AS id, layer::BIGINT AS layer, core::BIGINT AS core FROM on_", ONION)
+CHORD = NBR + ", uc AS (SELECT 0 AS k, (SELECT list(id) FROM nodes) AS l UNION ALL SELECT k + 1, list_filter(l, lambda x: NOT coalesce(list_bool_and(list_transform(list_intersect(m[x], l), lambda a: len(list_intersect(m[a], list_intersect(m[x], l))) = len(list_intersect(m[x], l)) - 1)), true)) FROM uc, mp WHERE k < 25)"
+also("unchordal", "lanes", "SELECT unnest(l) AS id FROM uc WHERE k = 25", CHORD)
+
+
+def hashed(*values: str) -> str:
+    return CHANCE.format("concat_ws(':', " + ", ".join(values) + ")")
+
+
+WALK = "rw0 AS (SELECT id AS source, 0 AS step, id FROM nodes WHERE id IN ('N0', 'N1', 'N2'))" + "".join(f", rw{t} AS MATERIALIZED (SELECT source, {t} AS step, v AS id FROM (SELECT source, v, row_number() OVER (PARTITION BY source ORDER BY -ln(greatest({hashed(repr('0'), str(t), 'source', 'v')}, 1e-300)) / shared, v) AS k FROM rw{t - 1} JOIN adj ON id = u) WHERE k = 1)" for t in range(1, 6))
+also("random_walks", "lanes", " UNION ALL ".join(f"SELECT source, step::BIGINT AS step, id FROM rw{t}" for t in range(6)), WALK)
+PULL = "fd AS MATERIALIZED (SELECT id, coalesce(sum(shared), 0)::DOUBLE AS d FROM nodes LEFT JOIN adj ON id = u GROUP BY id), fv0 AS (SELECT id, d, 2 * " + hashed("'0'", "id") + " - 1 AS x FROM fd)" + "".join(f", fr{k} AS MATERIALIZED (SELECT a.id, a.d, (2 * (SELECT max(d) FROM fd) - a.d) * a.x + coalesce(s, 0) AS x FROM fv{k - 1} a LEFT JOIN (SELECT u, sum(shared * x) AS s FROM adj JOIN fv{k - 1} b ON v = b.id GROUP BY u) p ON a.id = p.u), fv{k} AS MATERIALIZED (SELECT id, d, (x - (SELECT avg(x) FROM fr{k})) / ((SELECT stddev_pop(x) FROM fr{k}) * sqrt((SELECT count(*) FROM fr{k}))) AS x FROM fr{k})" for k in range(1, 13))
+also("fiedler_sides", "trade", "SELECT id, x * CASE WHEN (SELECT arg_min(x, id) FROM fv12) < 0 THEN -1 ELSE 1 END < 0 AS other_side FROM fv12", PULL)
+ORACLES["uniform_graph"] = f"WITH d AS (SELECT i, floor({hashed(repr('1'), '0', 'i')} * 30)::BIGINT AS a, floor({hashed(repr('1'), '1', 'i')} * 29)::BIGINT AS b, floor({hashed(repr('1'), '2', 'i')} * 28)::BIGINT AS c FROM range(50) t(i)), e AS (SELECT i, a, b + (a <= b)::INT AS b, c FROM d), f AS (SELECT i, a, b, c + (least(a, b) <= c)::INT AS c FROM e), g AS (SELECT i, list_sort([a, b, c + (greatest(a, b) <= c)::INT]) AS l FROM f) SELECT 'e' || i AS edge_id, 'n' || l[1] || ',' || array_to_string(list_sort(['n' || l[2], 'n' || l[3]]), ',') AS ids FROM g"
+ORACLES["small_world"] = f"WITH r AS (SELECT i, j, floor({hashed(repr('1'), repr('to'), 'i', 'j')} * 38)::BIGINT + 1 AS s, {hashed(repr('1'), repr('re'), 'i', 'j')} < 0.2 AS moved FROM range(40) x(i), range(1, 3) y(j)) SELECT 'n' || i || '-' || j AS edge_id, 'n' || CASE WHEN moved THEN (i + CASE WHEN s >= j THEN s + 1 ELSE s END) % 40 ELSE (i + j) % 40 END AS \"to\" FROM r"

@@ -51,10 +51,21 @@ def _gathered(g: Graph, links: DataFrame, now: DataFrame) -> DataFrame:
     return g.nodes.select("id").join(got, "id", "left").select("id", F.coalesce("got", F.lit(0.0)).alias("got"))
 
 
+def _around(members: DataFrame, now: DataFrame) -> DataFrame:
+    """id, got: the sum over a node's edges of the scores of their other members, so of each neighbour's score times the edges shared; 0 for nodes without edges.
+
+    From nodes to edges and back, less the own part: work grows with the members, not with their pairs.
+    """
+    of = members.join(now.withColumnRenamed("id", "node_id"), "node_id")
+    edge = of.groupBy("edge_id").agg(F.sum("score").alias("all"))
+    got = of.join(edge, "edge_id").groupBy(F.col("node_id").alias("id")).agg(F.sum(F.col("all") - F.col("score")).alias("got"))
+    return now.select("id").join(got, "id", "left").select("id", F.coalesce("got", F.lit(0.0)).alias("got"))
+
+
 def eigenvector(g: Graph, n: int = 10) -> DataFrame:
     """id, score: n rounds of summing neighbours' scores by shared edges, to unit length each time, from equal scores."""
-    links = checkpoint(g.adj.select("u", "v", F.col("shared").cast("double").alias("w")))
-    return _power(g, _uniform(g), lambda now: _gathered(g, links, now).withColumnRenamed("got", "score"), "l2", n)
+    members = checkpoint(g.members.where("size > 1").select("edge_id", "node_id"))
+    return _power(g, _uniform(g), lambda now: _around(members, now).withColumnRenamed("got", "score"), "l2", n)
 
 
 def tensor_eigenvector(g: Graph, root: bool = True, n: int = 5) -> DataFrame:
@@ -80,8 +91,8 @@ def tensor_eigenvector(g: Graph, root: bool = True, n: int = 5) -> DataFrame:
 
 def katz(g: Graph, alpha: float = 0.1, beta: float = 1.0, n: int = 10) -> DataFrame:
     """id, score: n rounds of alpha times the neighbours' scores plus beta, to unit length after each round."""
-    links = checkpoint(g.adj.select("u", "v", F.col("shared").cast("double").alias("w")))
-    return _power(g, _uniform(g), lambda now: _gathered(g, links, now).select("id", (alpha * F.col("got") + beta).alias("score")), "l2", n)
+    members = checkpoint(g.members.where("size > 1").select("edge_id", "node_id"))
+    return _power(g, _uniform(g), lambda now: _around(members, now).select("id", (alpha * F.col("got") + beta).alias("score")), "l2", n)
 
 
 def pagerank(g: Graph, alpha: float = 0.85, n: int = 10) -> DataFrame:
@@ -161,15 +172,10 @@ def betweenness(g: Graph) -> DataFrame:
 
 def katz_solved(g: Graph, alpha: float = 0.1, beta: float = 1.0, n: int = 40) -> DataFrame:
     """id, score: (I - alpha A)^-1 beta 1 over its length, by n terms of its series; alpha has to be under 1 over the greatest eigenvalue of A (shared edges)."""
-    a = checkpoint(g.adj)
-    start = g.nodes.select("id", F.lit(beta).alias("s"))
-
-    def step(now: DataFrame) -> DataFrame:
-        got = a.join(now, F.col("v") == F.col("id")).groupBy(F.col("u").alias("x")).agg(F.sum(F.col("shared") * F.col("s")).alias("g"))
-        return start.select("id").join(got, F.col("id") == F.col("x"), "left").select("id", (alpha * F.coalesce("g", F.lit(0.0)) + beta).alias("s"))
-
-    found = checkpoint(rounds(start, step, n))
-    return found.withColumn("size", F.sqrt(found.agg(F.sum(F.col("s") * F.col("s"))).scalar())).select("id", (F.col("s") / F.col("size")).alias("score"))
+    members = checkpoint(g.members.where("size > 1").select("edge_id", "node_id"))
+    start = g.nodes.select("id", F.lit(beta).alias("score"))
+    found = checkpoint(rounds(start, lambda now: _around(members, now).select("id", (alpha * F.col("got") + beta).alias("score")), n))
+    return found.withColumn("size", F.sqrt(found.agg(F.sum(F.col("score") * F.col("score"))).scalar())).select("id", (F.col("score") / F.col("size")).alias("score"))
 
 
 def s_walk_closeness(g: Graph, s: int = 1) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.functions.columns import chance
 from weft.plans.graph import Graph
 from weft.plans.iterate import checkpoint
 
@@ -58,7 +59,7 @@ def fiedler(g: Graph, rounds: int = 20) -> DataFrame:
     """
     adj = checkpoint(g.adj)
     deg = adj.groupBy(F.col("u").alias("id")).agg(F.sum("shared").cast("double").alias("d"))
-    start = F.xxhash64("id") / float(2**63)
+    start = 2 * chance(0, "id") - 1
     now = checkpoint(g.nodes.select("id").join(deg, "id", "left").select("id", F.coalesce("d", F.lit(0.0)).alias("d"), start.alias("x")))
     c = 2 * (now.agg(F.max("d")).first()[0] or 1.0)
     for _ in range(rounds):

@@ -146,11 +146,31 @@ def s_persistence(g: Graph) -> DataFrame:
 
 
 def strong_components(g: Graph) -> DataFrame:
-    """id, component: the smallest id of the nodes that reach each other."""
-    reach = closure(g)
-    mutual = reach.join(reach.select(F.col("src").alias("tgt"), F.col("tgt").alias("src")), ["src", "tgt"])
-    found = mutual.groupBy(F.col("src").alias("id")).agg(F.min("tgt").alias("m"))
-    return g.nodes.select("id").join(found, "id", "left").select("id", F.least("id", F.coalesce("m", "id")).alias("component"))
+    """id, component: the smallest id of the nodes that reach each other.
+
+    In each round all nodes take the smallest id that reaches them; those that reach back to it, over nodes with the same one, are its
+    component and go. Only nodes and arcs are kept, never the pairs that reach each other. Nodes without an arc in or out go first.
+    """
+    arcs, left, out = checkpoint(g.arcs), checkpoint(g.nodes.select("id")), None
+    while True:
+        ends = arcs.select(F.col("src").alias("id")).distinct().join(arcs.select(F.col("tgt").alias("id")).distinct(), "id")
+        alone = checkpoint(left.join(ends, "id", "left_anti").select("id", F.col("id").alias("component")))
+        if alone.isEmpty():
+            if left.isEmpty():
+                break
+            color = changed = checkpoint(left.select("id", F.col("id").alias("color")))
+            while not changed.isEmpty():
+                found = changed.join(arcs, F.col("id") == F.col("src")).groupBy(F.col("tgt").alias("id")).agg(F.min("color").alias("less"))
+                new = checkpoint(color.join(found, "id", "left").select("id", F.least("color", "less").alias("color"), (F.col("less") < F.col("color")).alias("moved")))
+                color, changed = new.select("id", "color"), new.where("moved").select("id", "color")
+            side = lambda c: color.select(F.col("id").alias(c), F.col("color").alias(f"c{c}"))  # noqa: E731, B023
+            back = checkpoint(arcs.join(side("src"), "src").join(side("tgt"), "tgt").where("csrc = ctgt").select("src", "tgt"))
+            start = color.where("id = color").select("id", "color")
+            alone = fixpoint(start, lambda new: new.join(back, F.col("id") == F.col("tgt")).select(F.col("src").alias("id"), "color"), ["id"]).withColumnRenamed("color", "component")  # noqa: B023
+        out = checkpoint(alone if out is None else out.unionByName(alone))
+        left = checkpoint(left.join(alone.select("id"), "id", "left_anti"))
+        arcs = checkpoint(arcs.join(left.withColumnRenamed("id", "src"), "src", "left_semi").join(left.withColumnRenamed("id", "tgt"), "tgt", "left_semi"))
+    return g.nodes.select("id", F.col("id").alias("component")).limit(0) if out is None else out
 
 
 def onion_layers(g: Graph) -> DataFrame:
@@ -188,15 +208,27 @@ def minimum_spanning_edges(g: Graph) -> DataFrame:
 
 
 def label_propagation(g: Graph, rounds_: int = 5) -> DataFrame:
-    """id, community: in each round all nodes take the most frequent community around them, weighted by shared edges; ties go to the smallest."""
-    now, adj = checkpoint(g.nodes.select("id", F.col("id").alias("community"))), checkpoint(g.adj)
-    for _ in range(rounds_):
-        votes = adj.join(now.select(F.col("id").alias("v"), "community"), "v").groupBy("u", "community").agg(F.sum("shared").alias("n"))
-        best = votes.groupBy("u").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("m")).select(F.col("u").alias("id"), F.col("m.community").alias("next"))
-        now = checkpoint(now.join(best, "id", "left").select("id", F.coalesce("next", "community").alias("community")))
+    """id, community: in each round all nodes take the most frequent community around them, weighted by shared edges; ties go to the smallest.
+
+    Edges count their members by community, and each member takes the counts of its edges less its own vote. Where members agree, an edge has
+    few counts; the first round, in which they all differ, takes the pairs instead.
+    """
+    members = checkpoint(g.members.where("size > 1").select("edge_id", "node_id"))
+    first = g.links.selectExpr("inline(array(struct(u as id, v as c, shared as n), struct(v as id, u as c, shared as n)))")
+    now = checkpoint(_voted(g.nodes.select("id", F.col("id").alias("community")), first.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "c")).alias("m"))))
+    for _ in range(rounds_ - 1):
+        of = members.join(now.withColumnRenamed("id", "node_id"), "node_id")
+        counts = of.groupBy("edge_id", "community").agg(F.count("*").alias("n")).groupBy("edge_id").agg(F.collect_list(F.struct("community", "n")).alias("counts"))
+        votes = of.join(counts, "edge_id").select(F.col("node_id").alias("id"), F.col("community").alias("own"), F.explode("counts").alias("x"))
+        sums = votes.groupBy("id", F.col("x.community").alias("c")).agg(F.sum(F.col("x.n") - (F.col("own") == F.col("x.community")).cast("int")).alias("n")).where("n > 0")
+        now = checkpoint(_voted(now, sums.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "c")).alias("m"))))
     return now
 
 
+def _voted(now: DataFrame, best: DataFrame) -> DataFrame:
+    return now.join(best.select("id", F.col("m.c").alias("next")), "id", "left").select("id", F.coalesce("next", "community").alias("community"))
+
+
 def wiener(g: Graph) -> DataFrame:
     """One row, pairs and value: the hops between all pairs of nodes that are connected over common edges, each pair once."""
     step = checkpoint(g.adj.select(F.col("u").alias("src"), F.col("v").alias("tgt")))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from weft.operators import dynamics, monitor, structure
 from weft.operators.degrees import rounded
 from weft.plans.graph import Graph
+from weft.plans.iterate import shared_folder
 from weft.queries import OVER, add, add_table, forward, names, r
 from weft.sources import files, generators
 from weft.sources.graphs import read
@@ -19,7 +19,7 @@ from weft.streaming import events
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder under the session's checkpoint folder, which all executors share."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp('-weft')}/{name}-{uuid.uuid4()}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4()}"
 
 
 def members_of(df: DataFrame, column: str) -> DataFrame:
