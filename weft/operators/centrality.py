@@ -141,8 +141,8 @@ def node_edge(g: Graph, n: int = 5) -> tuple[DataFrame, DataFrame]:
     return x, y
 
 
-def betweenness(g: Graph) -> DataFrame:
-    """id, score: the share of shortest directed paths between two others that pass a node, over (n - 1)(n - 2); parallel edges are paths of their own.
+def _dependencies(g: Graph) -> DataFrame | None:
+    """s, id, dep: of the shortest directed paths from s to each other node the shares that pass id, added up; none if there are no arcs.
 
     Breadth-first from all nodes at once, with path counts; then dependencies are added up from the farthest level back.
     """
@@ -164,12 +164,29 @@ def betweenness(g: Graph) -> DataFrame:
         up = seen.where(F.col("d") == d - 1).select("s", F.col("id").alias("src"), F.col("paths").alias("above"))
         back = own.join(arcs, F.col("id") == F.col("tgt")).join(up, ["s", "src"])
         below = checkpoint(back.groupBy("s", F.col("src").alias("id")).agg(F.sum(F.col("above") * F.col("m") / F.col("paths") * (1 + F.col("dep"))).alias("dep")))
-        total = own.select("id", "dep") if total is None else total.unionByName(own.select("id", "dep"))
+        total = own.select("s", "id", "dep") if total is None else total.unionByName(own.select("s", "id", "dep"))
+    return total
+
+
+def betweenness(g: Graph) -> DataFrame:
+    """id, score: the share of shortest directed paths between two others that pass a node, over (n - 1)(n - 2); parallel edges are paths of their own."""
+    total = _dependencies(g)
     n = g.nodes.agg(F.count("*").alias("n"))
-    sums = g.nodes.select("id", F.lit(0.0).alias("dep")) if total is None else g.nodes.select("id", F.lit(0.0).alias("dep")).unionByName(total)
+    sums = g.nodes.select("id", F.lit(0.0).alias("dep")) if total is None else g.nodes.select("id", F.lit(0.0).alias("dep")).unionByName(total.select("id", "dep"))
     return sums.groupBy("id").agg(F.sum("dep").alias("dep")).join(F.broadcast(n)).select("id", F.when(F.col("n") > 2, F.col("dep") / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(0.0).alias("score"))
 
 
+def percolation(g: Graph, states: DataFrame) -> DataFrame:
+    """id, score: betweenness in which a path counts by the state of its source, states(id, x), as a share of the states of all but the node itself, over n - 2."""
+    total = _dependencies(g)
+    if total is None:
+        return g.nodes.select("id", F.lit(0.0).alias("score"))
+    x = checkpoint(g.nodes.select("id").join(states.select("id", "x"), "id", "left").select("id", F.coalesce("x", F.lit(0.0)).alias("x")))
+    sums = total.join(x.withColumnRenamed("id", "s"), "s").groupBy("id").agg(F.sum(F.col("dep") * F.col("x")).alias("dep"))
+    rows = x.join(sums, "id", "left").withColumn("all", x.agg(F.sum("x")).scalar()).withColumn("n", x.agg(F.count("*")).scalar())
+    return rows.select("id", F.when((F.col("all") > F.col("x")) & (F.col("n") > 2), F.coalesce("dep", F.lit(0.0)) / (F.col("all") - F.col("x")) / (F.col("n") - 2)).otherwise(0.0).alias("score"))
+
+
 def katz_solved(g: Graph, alpha: float = 0.1, beta: float = 1.0, n: int = 40) -> DataFrame:
     """id, score: (I - alpha A)^-1 beta 1 over its length, by n terms of its series; alpha has to be under 1 over the greatest eigenvalue of A (shared edges)."""
     members = checkpoint(g.members.where("size > 1").select("edge_id", "node_id"))

@@ -170,3 +170,16 @@ def robust_reach(g: Graph, seeds: DataFrame, depths: list[int]) -> DataFrame:
     for r in runs[1:]:
         out = out.join(r.select("id"), "id", "left_semi")
     return out
+
+
+def perspectives(g: Graph, seeds: DataFrame, frames: dict[str, tuple[int, bool]]) -> DataFrame:
+    """frame, reach, far, density: what is within reach of the seeds in each frame (depth, directed): nodes, the greatest depth, and links among them over their possible number."""
+    out = None
+    for name, (depth, directed) in frames.items():
+        found = checkpoint(breadth_first(g, seeds, depth, directed))
+        size = found.agg(F.count("*").alias("reach"), F.max("depth").alias("far"))
+        inside = g.links.join(found.select(F.col("id").alias("u")), "u", "left_semi").join(found.select(F.col("id").alias("v")), "v", "left_semi").agg(F.count("*").alias("m"))
+        density = F.when(F.col("reach") > 1, 2 * F.col("m") / (F.col("reach") * (F.col("reach") - 1))).otherwise(0.0)
+        row = size.withColumn("m", inside.scalar()).select(F.lit(name).alias("frame"), "reach", "far", density.alias("density"))
+        out = row if out is None else out.unionByName(row)
+    return out

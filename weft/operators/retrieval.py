@@ -165,3 +165,61 @@ def recency(touches: DataFrame, decay: float = 0.9, most: float = 100.0) -> Data
     w = Window.partitionBy("id").orderBy(F.desc("ts"))
     rows = touches.withColumn("age", F.row_number().over(w) - 1)
     return rows.groupBy("id").agg(F.least(F.sum(F.pow(F.lit(decay), F.col("age"))), F.lit(most)).alias("score"))
+
+
+def hash_vectors(texts: DataFrame, size: int = 16, seed: int = 0, column: str = "text") -> DataFrame:
+    """texts with embedding: a vector of length 1 that only the seed and the text decide."""
+    from weft.functions.columns import chance
+
+    raw = F.array(*[2 * chance(seed, F.lit(k), F.col(column)) - 1 for k in range(size)])
+    return unit(texts.withColumn("embedding", raw))
+
+
+def similar_pairs(vectors: DataFrame, least: float, id_col: str = "vec_id", column: str = "embedding", block: int = 256) -> DataFrame:
+    """a < b, cosine of all pairs of vectors with a cosine of ``least`` or more.
+
+    Vectors are dealt into blocks of about ``block`` by a hash. Each two blocks meet once, in one task and in that only, so that all pairs are
+    compared and no more than two blocks are in memory: work grows with the square of the table, as no order prunes vectors of any direction.
+    """
+    n = max(1, -(-vectors.count() // block))
+    u = unit(vectors, column).select(F.col(id_col).alias("id"), F.col(column).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("own"))
+    blocks = u.groupBy("own").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+    left = blocks.select(F.col("own").alias("p"), F.explode(F.sequence(F.col("own"), F.lit(n - 1))).alias("q"), F.col("rows").alias("left"))
+    right = blocks.select(F.explode(F.sequence(F.lit(0), F.col("own"))).alias("p"), F.col("own").alias("q"), F.col("rows").alias("right"))
+    both = left.join(right, ["p", "q"]).select("p", "q", F.explode("left").alias("x"), "right").select("x", F.explode("right").alias("y"), (F.col("p") == F.col("q")).alias("same"))
+    rows = both.where("not same or x.id < y.id").select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), dot(F.col("x.v"), F.col("y.v")).alias("cosine"))
+    return rows.where(F.col("cosine") >= least)
+
+
+def semantic_edges(vectors: DataFrame, top_k: int = 10, least: float = 0.7, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """src, tgt, weight: from each vector to its top_k nearest with a cosine of ``least`` or more."""
+    found = similar(vectors, vectors, top_k, id_col, column).where(F.col("cosine") >= least)
+    return found.select(F.col("query").alias("src"), F.col("id").alias("tgt"), F.col("cosine").alias("weight"))
+
+
+def modality_profile(g: Graph, field: str) -> DataFrame:
+    """id, tag, n, weight: the edges that lead from a node to nodes with a tag (a word of their field): how many, and their weights together."""
+    tags = g.nodes.select(F.col("id").alias("tgt"), F.explode(F.array_distinct(F.split(F.col("data")[field], r"[\s,]+"))).alias("tag"))
+    return g.pairs.join(tags, "tgt").groupBy(F.col("src").alias("id"), "tag").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+
+
+def modality_gaps(g: Graph, ids: DataFrame, field: str, expected: list[str]) -> DataFrame:
+    """id, tag: the expected tags that no edge of a node leads to."""
+    want = ids.select("id", F.explode(F.array(*[F.lit(t) for t in expected])).alias("tag"))
+    return want.join(modality_profile(g, field).select("id", "tag"), ["id", "tag"], "left_anti")
+
+
+def cross_modality_edges(g: Graph, field: str) -> DataFrame:
+    """id, n: how many edges lead from a node to a node that has no tag in common with it."""
+    tags = g.nodes.select("id", F.split(F.col("data")[field], r"[\s,]+").alias("tags"))
+    side = lambda c: tags.select(F.col("id").alias(c), F.col("tags").alias(f"t{c}"))
+    rows = g.pairs.join(side("src"), "src").join(side("tgt"), "tgt").where(~F.arrays_overlap("tsrc", "ttgt"))
+    return rows.groupBy(F.col("src").alias("id")).agg(F.countDistinct("edge_id").alias("n"))
+
+
+def fuse_modalities(g: Graph, candidates: DataFrame, field: str, weights: dict[str, float], k: int = 60) -> DataFrame:
+    """id, score: candidates.id by weighted reciprocal ranks, a list for each tag by the weight of a node's edges to it; ties by id."""
+    rows = modality_profile(g, field).where(F.col("tag").isin(*weights)).join(candidates.select("id"), "id", "left_semi")
+    rank = F.row_number().over(Window.partitionBy("tag").orderBy(F.desc(F.round("weight", 9)), "id"))
+    w = F.create_map(*[F.lit(x) for t, v in weights.items() for x in (t, float(v))])
+    return rows.withColumn("r", rank).groupBy("id").agg(F.sum(w[F.col("tag")] / (k + F.col("r"))).alias("score"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from functools import reduce
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weft.operators import inference, maintenance, rules, temporal
 from weft.plans.graph import Graph
+from weft.plans.iterate import checkpoint
 
 
 def edges_of(rows: DataFrame, rule: str, label: str) -> DataFrame:
@@ -247,3 +249,44 @@ def resolve(g: Graph, negations: list[tuple[str, str]], by: str = "weight") -> G
     rows = found.join(rank.select(F.col("edge_id").alias("first"), F.col("k").alias("k1")), "first").join(rank.select(F.col("edge_id").alias("second"), F.col("k").alias("k2")), "second")
     first_stays = F.col("k1") < F.col("k2") if by == "weight" else F.col("k1") > F.col("k2")
     return maintenance.remove_edges(g, rows.select(F.when(first_stays, F.col("second")).otherwise(F.col("first")).alias("edge_id")).distinct())
+
+
+#: What a rule's specification may name: its function and parameters.
+RULES = {
+    "transitive": (apply_transitive, ("label", "confidence", "new_label")),
+    "inverse": (apply_inverse, ("label", "inverse_label")),
+    "hub": (apply_hub, ("support", "confidence", "label")),
+    "property": (apply_property, ("key",)),
+    "abduction": (apply_abduction, ("effect", "explained", "confidence")),
+    "induction": (apply_induction, ("least", "confidence")),
+    "generalization": (apply_generalization, ("least",)),
+    "substitution": (apply_substitution, ("least", "label")),
+    "analogy": (apply_analogy, ("least", "labels")),
+    "decomposition": (apply_decomposition, ("degree", "least", "confidence")),
+    "complexity": (apply_complexity, ("frames", "field")),
+}
+
+
+def serialize_rules(rules_: list[dict]) -> str:
+    """Specifications of rules (kind and parameters) as JSON; unknown kinds and parameters are an error."""
+    for spec in rules_:
+        known = RULES[spec["kind"]][1]
+        if wrong := set(spec) - {"kind", *known}:
+            raise ValueError(f"{spec['kind']} has no {sorted(wrong)}")
+    return json.dumps(rules_, sort_keys=True)
+
+
+def deserialize_rules(text: str) -> list[dict]:
+    rules_ = json.loads(text)
+    serialize_rules(rules_)
+    return rules_
+
+
+def apply_rules(g: Graph, rules_: list[dict], rounds: int = 1) -> Graph:
+    """g after each of the rules in order, and all of them again in each further round, over what the round before added."""
+    for _ in range(rounds):
+        for spec in rules_:
+            function, _ = RULES[spec["kind"]]
+            g = function(g, **{k: v for k, v in spec.items() if k != "kind"})
+        g = Graph(checkpoint(g.nodes), checkpoint(g.edges))
+    return g

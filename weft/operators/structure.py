@@ -343,3 +343,19 @@ def could_be_isomorphic(g: Graph, other: Graph) -> DataFrame:
     """One row, possible: whether the signatures of both graphs are the same."""
     both = signature(g).select("k", "triangles", F.col("n").alias("a")).join(signature(other).select("k", "triangles", F.col("n").alias("b")), ["k", "triangles"], "full_outer")
     return both.agg(F.coalesce(F.bool_and(F.coalesce(F.col("a") == F.col("b"), F.lit(False))), F.lit(True)).alias("possible"))
+
+
+def directed_motifs(g: Graph) -> DataFrame:
+    """motif, n: how many connected sets of three nodes have which arcs among them. A motif is named by the sorted (out, in) arcs of its three nodes.
+
+    The sets are found over pairs of neighbours; their arcs by three lookups.
+    """
+    arcs = checkpoint(g.arcs)
+    near = arcs.unionByName(arcs.select(F.col("tgt").alias("src"), F.col("src").alias("tgt"))).distinct()
+    side = lambda c: near.select(F.col("src").alias("m"), F.col("tgt").alias(c))
+    sets = side("a").join(side("b"), "m").where("a < b").select(F.array_sort(F.array("m", "a", "b")).alias("ids")).distinct()
+    pairs = sets.select("ids", F.explode(F.expr("array(struct(0 as i, 1 as j), struct(1 as i, 0 as j), struct(0 as i, 2 as j), struct(2 as i, 0 as j), struct(1 as i, 2 as j), struct(2 as i, 1 as j))")).alias("x"))
+    hit = pairs.select("ids", "x.i", "x.j", F.get("ids", F.col("x.i")).alias("src"), F.get("ids", F.col("x.j")).alias("tgt")).join(arcs, ["src", "tgt"], "left_semi")
+    degree = lambda k: F.concat_ws("/", F.count_if(F.col("i") == k).cast("string"), F.count_if(F.col("j") == k).cast("string"))
+    named = hit.groupBy("ids").agg(F.array_join(F.array_sort(F.array(*[degree(k) for k in range(3)])), " ").alias("motif"))
+    return named.groupBy("motif").agg(F.count("*").alias("n"))

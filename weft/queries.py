@@ -130,7 +130,7 @@ for k in range(3):
     MUTUAL += f", a{k} AS (SELECT id, sqrt(any_value(x.s) * sqrt(coalesce(sum(y.s * y.s), 0))) AS s FROM x{k} x LEFT JOIN members m ON id = node_id LEFT JOIN y{k} y ON m.edge_id = y.edge_id GROUP BY id), b{k} AS (SELECT y.edge_id, sqrt(any_value(y.s) * sqrt(coalesce(sum(x.s * x.s), 0))) AS s FROM y{k} y LEFT JOIN members m ON y.edge_id = m.edge_id LEFT JOIN x{k} x ON id = node_id GROUP BY y.edge_id), x{k + 1} AS (SELECT id, s / (SELECT sum(s) FROM a{k}) AS s FROM a{k}), y{k + 1} AS (SELECT edge_id, s / (SELECT sum(s) FROM b{k}) AS s FROM b{k})"
 add("node_edge_centrality", "trade", lambda g: (lambda x, y: rounded(x.select("id", "score").unionByName(y.select(F.col("edge_id").alias("id"), "score")), "score"))(*centrality.node_edge(g, 3)), f"SELECT id, {r('s')} AS score FROM x3 UNION ALL SELECT edge_id, {r('s')} FROM y3", MUTUAL)
 add("betweenness", "lanes", lambda g: rounded(centrality.betweenness(g), "score"), f"SELECT n.id, {r('coalesce(sum(x), 0) / (((SELECT count(*) FROM nodes) - 1) * ((SELECT count(*) FROM nodes) - 2))')} AS score FROM nodes n LEFT JOIN (SELECT a.id, a.p * b.p / t.p AS x FROM sp a JOIN sp b ON b.source = a.id AND a.source <> a.id AND b.id <> a.id AND b.id <> a.source JOIN sp t ON t.source = a.source AND t.id = b.id AND t.d = a.d + b.d) y ON n.id = y.id GROUP BY n.id",
-    f"{HOPS}, mult AS (SELECT src, tgt, count(*) AS m FROM pairs WHERE src <> tgt GROUP BY ALL), sp0 AS (SELECT source, id, d, 1::DOUBLE AS p FROM h WHERE d = 0)" + "".join(f", sp{k} AS (SELECT h.source, h.id, h.d, sum(p * m) AS p FROM h JOIN mult ON tgt = h.id JOIN sp{k - 1} q ON q.source = h.source AND q.id = src WHERE h.d = {k} GROUP BY ALL)" for k in range(1, 7)) + ", sp AS (" + " UNION ALL ".join(f"SELECT * FROM sp{k}" for k in range(25)) + ")")
+    f"{HOPS}, mult AS (SELECT src, tgt, count(*) AS m FROM pairs WHERE src <> tgt GROUP BY ALL), sp0 AS (SELECT source, id, d, 1::DOUBLE AS p FROM h WHERE d = 0)" + "".join(f", sp{k} AS (SELECT h.source, h.id, h.d, sum(p * m) AS p FROM h JOIN mult ON tgt = h.id JOIN sp{k - 1} q ON q.source = h.source AND q.id = src WHERE h.d = {k} GROUP BY ALL)" for k in range(1, 25)) + ", sp AS (" + " UNION ALL ".join(f"SELECT * FROM sp{k}" for k in range(25)) + ")")
 
 # matrices and transforms
 add("incidence_matrix", "orders", matrices.incidence, "SELECT edge_id, node_id AS id, min(CASE WHEN role = 'source' THEN 1 ELSE -1 END)::BIGINT AS value FROM inc GROUP BY ALL")

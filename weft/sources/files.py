@@ -81,3 +81,46 @@ def fingerprint(g: Graph) -> DataFrame:
     edges = part(g.edges, F.concat_ws("|", "edge_id", F.array_join("source_ids", ","), F.array_join("target_ids", ","), "label"))
     one = nodes.select(F.col("n").alias("nodes"), F.col("h").alias("hn")).join(F.broadcast(edges.select(F.col("n").alias("edges"), F.col("h").alias("he"))))
     return one.select("nodes", "edges", F.concat_ws("-", F.col("hn").cast("string"), F.col("he").cast("string")).alias("digest"))
+
+
+def write_sqlite(g: Graph, path: str) -> None:
+    """nodes and edges as tables of a new SQLite file on the driver, which is a format of one machine: rows come partition by partition and are never held together. Lists and maps are JSON."""
+    import sqlite3
+    from contextlib import closing
+
+    tables = {
+        "nodes": g.nodes.select("id", "label", F.to_json("data").alias("data"), "weight"),
+        "edges": g.edges.select("edge_id", F.to_json("source_ids").alias("source_ids"), F.to_json("target_ids").alias("target_ids"), "label", "weight"),
+    }
+    with closing(sqlite3.connect(path)) as con:
+        for name, rows in tables.items():
+            con.execute(f"CREATE TABLE {name} ({', '.join(rows.columns)})")
+            con.executemany(f"INSERT INTO {name} VALUES ({', '.join('?' * len(rows.columns))})", map(tuple, rows.toLocalIterator()))
+        con.commit()
+
+
+def read_sqlite(spark: SparkSession, path: str, parts: int = 8) -> Graph:
+    """The graph of such a file, which all executors must reach; each task reads a range of rows."""
+    import sqlite3
+    from contextlib import closing
+
+    def table(name: str, columns: list[str], schema: str) -> DataFrame:
+        with closing(sqlite3.connect(path)) as con:
+            last = con.execute(f"SELECT coalesce(max(rowid), 0) FROM {name}").fetchone()[0]
+        step = max(1, -(-last // parts))
+
+        def run(batches):
+            import pandas as pd
+
+            for batch in batches:
+                for start in batch["id"]:
+                    with closing(sqlite3.connect(path)) as con:
+                        rows = con.execute(f"SELECT {', '.join(columns)} FROM {name} WHERE rowid > ? AND rowid <= ?", (int(start), int(start) + step)).fetchall()
+                    yield pd.DataFrame(rows, columns=columns)
+
+        return spark.range(0, last, step, parts).mapInPandas(run, schema)
+
+    nodes = table("nodes", ["id", "label", "data", "weight"], "id string, label string, data string, weight double")
+    edges = table("edges", ["edge_id", "source_ids", "target_ids", "label", "weight"], "edge_id string, source_ids string, target_ids string, label string, weight double")
+    ids = lambda c: F.from_json(c, "array<string>").alias(c)
+    return Graph(nodes.withColumn("data", F.from_json("data", "map<string,string>")), edges.select("edge_id", ids("source_ids"), ids("target_ids"), "label", "weight"))
