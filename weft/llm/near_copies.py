@@ -4,11 +4,15 @@ Two sets of shingles with an index of 0.8 share at least four fifths of each. So
 the first fifth of one set, and one more, has a shingle in common with that of the other: texts are compared only where
 these prefixes meet, and no pair is missed. The order is by how often a shingle occurs, the rarest first, so a text of which
 more than a fifth occurs nowhere else is compared with none.
+
+Each set has a bitmap, in which every shingle turns one bit over. Bits in which two bitmaps differ come from shingles that only one
+of the two has, so their number is at most that of these shingles: pairs with too many are apart for certain, and are dropped where the prefixes meet.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +26,8 @@ from weft.llm.simhash import LOWER
 
 #: Rounds in which a text is compared with a few others only, and with how many, before all that are still apart are compared. Results do not depend on them.
 TURNS, PICKS = 1, 16
+#: 64-bit words of a bitmap. Results do not depend on it.
+WORDS = 16
 
 
 def joined_words(text: str | None) -> bytes:
@@ -50,6 +56,22 @@ def _alike(a: Column, b: Column) -> Column:
     return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
 
 
+def with_bitmaps(sets: DataFrame) -> DataFrame:
+    """sets with columns b0, b1, ..: the words of the bitmap of hs."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hs = batch.column(batch.schema.get_field_index("hs"))
+            sizes = np.diff(hs.offsets.to_numpy())
+            flat = hs.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            bits = np.zeros((len(sizes), WORDS), np.uint64)
+            np.bitwise_xor.at(bits, (np.repeat(np.arange(len(sizes)), sizes), (flat % np.uint64(WORDS)).astype(np.int64)), np.uint64(1) << (flat // np.uint64(WORDS) % np.uint64(64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(bits[:, k]).view(np.int64)) for k in range(WORDS))], [*batch.schema.names, *(f"b{k}" for k in range(WORDS))])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sets.schema.fields)
+    return sets.mapInArrow(run, kinds + "".join(f", b{k} bigint" for k in range(WORDS)))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) with an index of 0.8 or more. Shingles that occur in one text only are missing in hs, but not in n."""
     side = lambda c: sets.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("hs").alias(f"h{c}"))
@@ -60,8 +82,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def similar_links(texts: DataFrame, shingle: int = 5) -> DataFrame:
     """Links (a, b) between keys of texts, enough to connect any two with an index of 0.8 or more; each is of two such texts.
 
-    texts: one column text. In the first rounds a text is compared with at most PICKS others, which connects most of a large group of near
-    copies; then all whose prefixes meet and that are not connected yet are compared.
+    texts: one column text. In the first rounds a text is compared with at most PICKS others, those whose shingles are the most frequent, which connects
+    most of a large group of near copies; then all whose prefixes meet, whose bitmaps allow it and that are not connected yet are compared.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,23 +100,27 @@ def similar_links(texts: DataFrame, shingle: int = 5) -> DataFrame:
     # repeated texts have one key, so their shingles are counted once
     sets = shared.groupBy("key").agg(F.first("n").alias("n"), F.sort_array(F.collect_set(F.struct("df", "h"))).alias("s"))
     least = F.floor((4 * F.col("n") + 4) / 5).cast("int")
-    sets = sets.where(F.size("s") >= least).select("key", "n", F.col("s.h").alias("hs"), F.slice(F.col("s.h"), F.lit(1), F.size("s") - least + 1).alias("prefix"))
-    sets = checkpoint(sets)
-    meets = sets.select("key", "n", F.explode("prefix").alias("h"))
+    central = F.aggregate("s", F.lit(0.0), lambda x, e: x + e["df"]) / F.col("n")
+    sets = sets.where(F.size("s") >= least).select("key", "n", (F.col("n") - F.size("s")).alias("alone"), central.alias("central"), F.col("s.h").alias("hs"), F.slice(F.col("s.h"), F.lit(1), F.size("s") - least + 1).alias("prefix"))
+    sets = checkpoint(with_bitmaps(sets))
+    bits = [f"b{k}" for k in range(WORDS)]
+    meets = sets.select("key", "n", "alone", "central", *bits, F.explode("prefix").alias("h"))
 
     links, roots = None, None
     for turn in range(TURNS + 1):
         live = meets.withColumn("root", F.col("key")) if roots is None else meets.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         live = live.select("*", F.min("root").over(of_h).alias("lo"), F.max("root").over(of_h).alias("hi")).where("lo < hi")
         if turn < TURNS:
-            lead = F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("x"), "key", "n", "root")).over(of_h)
+            lead = F.min(F.struct((-F.col("central")).alias("x"), F.xxhash64("key", F.lit(turn)).alias("y"), "key", "n", "root")).over(of_h)
             near = live.select("key", "n", "root", lead.alias("l")).where(F.col("root") != F.col("l.root")).where(_alike(F.col("n"), F.col("l.n")))
-            picks = near.groupBy("key").agg(F.slice(F.sort_array(F.collect_set(F.struct("l.x", "l.key"))), 1, PICKS).alias("picks"))
+            picks = near.groupBy("key").agg(F.slice(F.sort_array(F.collect_set(F.struct("l.x", "l.y", "l.key"))), 1, PICKS).alias("picks"))
             pairs = picks.select(F.col("key").alias("b"), F.explode("picks.key").alias("a"))
         else:
-            live = checkpoint(live.select("h", "key", "n", "root"))
-            side = lambda c: live.select("h", F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("root").alias(f"r{c}"))
-            pairs = side("a").join(side("b"), "h").where("a < b and ra <> rb").where(_alike(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+            live = checkpoint(live.select("h", "key", "n", "alone", "root", *bits))
+            side = lambda c: live.select("h", *[F.col(x).alias(f"{c}_{x}") for x in ("key", "n", "alone", "root", *bits)])
+            apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a_{b}").bitwiseXOR(F.col(f"b_{b}"))) for b in bits], F.col("a_alone") + F.col("b_alone"))
+            close = (F.col("a_key") < F.col("b_key")) & (F.col("a_root") != F.col("b_root")) & _alike(F.col("a_n"), F.col("b_n")) & (9 * apart <= F.col("a_n") + F.col("b_n"))
+            pairs = side("a").join(side("b"), "h").where(close).select(F.col("a_key").alias("a"), F.col("b_key").alias("b")).distinct()
         found = checkpoint(_confirmed(pairs, sets))
         links = found if links is None else links.unionByName(found)
         if turn < TURNS and (turn == 0 or not found.isEmpty()):
