@@ -63,7 +63,8 @@ add("tree_center", "lanes", lambda g: paths.tree_center(Graph(g.nodes.where("id
 
 # structure
 SQ = "cm AS (SELECT a.v AS a, b.v AS b, count(*) - 1 AS q FROM adj a JOIN adj b ON a.u = b.u AND a.v < b.v GROUP BY a.v, b.v), po AS (SELECT a, b, q, x.k - (1 + q + t) + y.k - (1 + q + t) + q AS p FROM (SELECT cm.*, (l.u IS NOT NULL)::INT AS t FROM cm LEFT JOIN links l ON l.u = a AND l.v = b) JOIN nbr x ON x.id = a JOIN nbr y ON y.id = b)"
-add("square_clustering", "lanes", lambda g: rounded(structure.square_clustering(g), "value"), f"SELECT n.id, {r('CASE WHEN sum(p) > 0 THEN sum(q) / sum(p) ELSE 0 END')} AS value FROM nodes n LEFT JOIN (SELECT a.u AS id, q, p FROM adj a JOIN adj b ON a.u = b.u AND a.v < b.v JOIN po ON po.a = a.v AND po.b = b.v) x ON n.id = x.id GROUP BY n.id", SQ)
+SQUARES = f"SELECT n.id, {r('CASE WHEN sum(p) > 0 THEN sum(q) / sum(p) ELSE 0 END')} AS value FROM nodes n LEFT JOIN (SELECT a.u AS id, q, p FROM adj a JOIN adj b ON a.u = b.u AND a.v < b.v JOIN po ON po.a = a.v AND po.b = b.v) x ON n.id = x.id GROUP BY n.id"
+add("square_clustering", "lanes", lambda g: rounded(structure.square_clustering(g), "value"), SQUARES, SQ)
 CYC = "cy AS (SELECT [src, tgt] AS p, tgt AS e FROM arcs WHERE src < tgt UNION ALL SELECT list_append(p, tgt), tgt FROM cy JOIN arcs ON e = src WHERE len(p) < 5 AND tgt > p[1] AND NOT list_contains(p, tgt)), cl AS (SELECT p FROM cy JOIN arcs ON e = src AND tgt = p[1]), ch AS (SELECT DISTINCT p FROM (SELECT p, i, j FROM cl, range(1, 6) x(i), range(1, 6) y(j) WHERE len(p) > 3 AND i + 1 < j AND j <= len(p) AND NOT (i = 1 AND j = len(p))) JOIN arcs ON (src = p[i] AND tgt = p[j]) OR (src = p[j] AND tgt = p[i]))"
 add("chordless_cycles", "lanes", lambda g: structure.chordless_cycles(g).select(F.array_join("path", ",").alias("path"), "hops"), "SELECT array_to_string(p, ',') AS path, len(p)::BIGINT AS hops FROM cl WHERE p NOT IN (SELECT p FROM ch)", CYC)
 COLORS = FOLD.format("k DESC, id") + ", ff AS (SELECT 0 AS k, []::BIGINT[] AS s UNION ALL SELECT ff.k + 1, list_append(s, list_min(list_filter(range(0, 1000), lambda x: NOT list_contains(list_transform(coalesce(e, []), lambda i: s[i]), x)))) FROM ff JOIN fe ON fe.k = ff.k + 1)"

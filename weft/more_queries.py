@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.operators import blocks, centrality, extraction, flows, monitor, retrieval, rewriting, structure, temporal
+from weft.operators import blocks, centrality, concepts, extraction, flows, matrices, monitor, paths, retrieval, rewriting, structure, temporal
 from weft.operators.degrees import rounded
 from weft.plans.graph import Graph
-from weft.queries import HOPS, IV, NEAR, PARTS, add, add_table, intervals, names, r
-from weft.algebra_queries import PULL
+from weft.algebra_queries import PART, PULL, REACH, SQ, SQUARES
+from weft.queries import HOPS, IV, LINKS, NEAR, PARTS, VOTE, add, add_table, intervals, names, r
 from weft.sources import files
 from weft.sources.graphs import read
 from weft.state_queries import VECS
@@ -98,3 +98,20 @@ def stored(g: Graph) -> DataFrame:
 
 
 add("sqlite_round_trip", "lanes", stored, "SELECT edge_id, node_id, n.label AS name FROM members m JOIN nodes n ON node_id = id")
+
+
+# a sparse graph that grows with the data
+FROM = "hop AS (SELECT id AS source, id, 0 AS d FROM nodes WHERE id IN ('C1', 'C2', 'C4') UNION SELECT source, tgt, d + 1 FROM hop JOIN arcs ON id = src WHERE d < 40), h AS MATERIALIZED (SELECT source, id, min(d)::BIGINT AS d FROM hop GROUP BY source, id)"
+THREE = ("C1", "C2", "C4")
+add("handover_hops", "handover", lambda g: paths.hops(g, names(g, *THREE)), "SELECT * FROM h", FROM)
+add("handover_recall", "handover", lambda g: concepts.recall(g, names(g, *THREE), 3, 200, directed=True), "SELECT id, min(d)::BIGINT AS depth FROM h WHERE d <= 3 GROUP BY id ORDER BY 2, 1 LIMIT 200", FROM)
+COST = "co AS MATERIALIZED (SELECT src, tgt, min(1 / greatest(weight, 1e-9)) AS cost FROM pairs WHERE src <> tgt GROUP BY ALL), g0 AS (SELECT id, 0::DOUBLE AS d FROM nodes WHERE id = 'C1')" + "".join(f", g{k + 1} AS MATERIALIZED (SELECT id, min(d) AS d FROM (SELECT * FROM g{k} UNION ALL SELECT tgt, d + cost FROM g{k} JOIN co ON id = src) GROUP BY id)" for k in range(40))
+add("handover_distances", "handover", lambda g: rounded(paths.distances(g, names(g, "C1")), "d").select("id", "d"), f"SELECT id, {r('d')} AS d FROM g40", COST)
+add("handover_strong_components", "handover", paths.strong_components, "SELECT id, least(id, coalesce(min(a.tgt), id)) AS component FROM nodes LEFT JOIN (rc a JOIN rc b ON a.src = b.tgt AND a.tgt = b.src) ON a.src = id GROUP BY id", REACH)
+add("handover_components", "handover", paths.connected_components, "SELECT id, c AS component FROM cp25", PART)
+add("handover_communities", "handover", paths.label_propagation, "SELECT id, c AS community FROM lp5", VOTE)
+add("handover_links", "handover", lambda g: rounded(matrices.link_prediction(g), "jaccard", "adamic_adar", "resource_allocation"), LINKS)
+add("handover_squares", "handover", lambda g: rounded(structure.square_clustering(g), "value"), SQUARES, SQ)
+add("handover_blocks", "handover", lambda g: blocks.biconnected(g).groupBy("block").agg(F.countDistinct("id").alias("n")).agg(F.sum(F.col("n") - 1).alias("links"), F.count("*").alias("blocks")).select("links"), "SELECT (SELECT count(*) FROM nodes) - count(DISTINCT c) AS links FROM cp25", PART)
+add("handover_layers", "handover", lambda g: paths.levels(Graph(g.nodes, g.edges.where("source_ids[0] < target_ids[0]"))).groupBy("level").agg(F.count("*").alias("n")), "SELECT d AS level, count(*) AS n FROM (SELECT id, max(d)::BIGINT AS d FROM lv GROUP BY id) GROUP BY d", "fw AS MATERIALIZED (SELECT * FROM arcs WHERE src < tgt), lv AS (SELECT id, 0 AS d FROM nodes UNION SELECT tgt, d + 1 FROM lv JOIN fw ON id = src)")
+add("handover_path", "handover", lambda g: rounded(paths.shortest_path(g, "C1", "C2").where("id = 'C2'"), "d").select("id", "d"), f"SELECT id, {r('d')} AS d FROM g40 WHERE id = 'C2'", COST)

@@ -75,7 +75,7 @@ add("degree_connectivity", "orders", lambda g: rounded(degrees.degree_connectivi
 add("s_metric", "orders", degrees.s_metric, "SELECT sum(a.k * b.k)::DOUBLE AS s FROM links JOIN nbr a ON u = a.id JOIN nbr b ON v = b.id")
 add("rich_club", "lanes", lambda g: rounded(degrees.rich_club(g), "phi"), f"SELECT k, {r('2 * m / (n * (n - 1))')} AS phi FROM (SELECT l.k, (SELECT count(*) FROM nbr WHERE nbr.k > l.k) AS n, (SELECT count(*) FROM links JOIN nbr a ON u = a.id JOIN nbr b ON v = b.id WHERE least(a.k, b.k) > l.k) AS m FROM (SELECT DISTINCT k FROM nbr WHERE k > 0) l) WHERE n > 1")
 TRI = "tri AS (SELECT id, count(*) AS t FROM (SELECT a.u AS id FROM adj a JOIN adj b ON a.v = b.u JOIN adj c ON b.v = c.u AND c.v = a.u WHERE a.v < b.v) GROUP BY id), cc AS (SELECT nbr.id, k, coalesce(t, 0) AS t FROM nbr LEFT JOIN tri ON nbr.id = tri.id)"
-for kind in ("lanes", "orders"):
+for kind in ("lanes", "orders", "handover"):
     add(f"triangles_{kind}", kind, lambda g: rounded(degrees.triangles(g), "clustering"), f"SELECT id, k, t AS triangles, {r('CASE WHEN k > 1 THEN 2 * t / (k * (k - 1)) ELSE 0 END')} AS clustering FROM cc", TRI)
 add("average_clustering", "lanes", lambda g: rounded(degrees.average_clustering(g), "value"), f"SELECT {r('avg(CASE WHEN k > 1 THEN 2 * t / (k * (k - 1)) ELSE 0 END)')} AS value FROM cc JOIN degree d ON cc.id = d.id WHERE degree >= 2", TRI)
 add("transitivity", "lanes", lambda g: rounded(degrees.transitivity(g), "value"), f"SELECT {r('sum(t) / (sum(k * (k - 1)) / 2)')} AS value FROM cc", TRI)
@@ -119,7 +119,7 @@ def _rounds(n: int, got: str, norm: str, links: str) -> str:
 
 
 SHARED = "SELECT u, v, shared::DOUBLE AS w FROM adj"
-for kind in ("trade", "orders"):
+for kind in ("trade", "orders", "handover"):
     add(f"eigenvector_{kind}", kind, lambda g: rounded(centrality.eigenvector(g, 5), "score"), f"SELECT id, {r('s')} AS score FROM p5", _rounds(5, "g", "sqrt(sum(s * s))", SHARED))
     add(f"katz_{kind}", kind, lambda g: rounded(centrality.katz(g, n=5), "score"), f"SELECT id, {r('s')} AS score FROM p5", _rounds(5, "0.1 * g + 1", "sqrt(sum(s * s))", SHARED))
     add(f"pagerank_{kind}", kind, lambda g: rounded(centrality.pagerank(g, n=5), "score", digits=8), f"SELECT id, {r('s', 8)} AS score FROM p5", _rounds(5, "0.85 / (SELECT count(*) FROM nodes) + 0.15::DOUBLE * g", "sum(s)", "SELECT src AS v, tgt AS u, sum(weight / size / total) AS w FROM pairs JOIN (SELECT edge_id, count(*) AS size FROM inc GROUP BY edge_id) z ON pairs.edge_id = z.edge_id JOIN (SELECT node_id, sum(weight) AS total FROM inc WHERE role = 'source' GROUP BY node_id) o ON src = o.node_id GROUP BY src, tgt"))
@@ -151,7 +151,8 @@ add("digraph", "orders", matrices.digraph, "SELECT src, tgt, max(edge_id) AS edg
 add("clique_projection", "orders", lambda g: g.cliq.select("u", "v", "edge_id", "weight"), "SELECT u, v, edge_id, weight FROM cliq")
 add("bipartite_projection", "trade", lambda g: rounded(matrices.projection(g), "jaccard"), f"SELECT a.src AS u, b.src AS v, count(*) AS shared, {r('count(*) / (any_value(p.n) + any_value(q.n) - count(*))')} AS jaccard FROM pp a JOIN pp b ON a.tgt = b.tgt AND a.src < b.src JOIN dn p ON a.src = p.src JOIN dn q ON b.src = q.src GROUP BY a.src, b.src", "pp AS (SELECT DISTINCT src, tgt FROM pairs), dn AS (SELECT src, count(*) AS n FROM pp GROUP BY src)")
 add("hyperedge_similarity", "orders", lambda g: rounded(matrices.hyperedge_similarity(g, "O7"), "jaccard", "dice", "overlap"), f"SELECT edge_id, s AS shared, {r('s / (m + n - s)')} AS jaccard, {r('2 * s / (m + n)')} AS dice, {r('s / least(m, n)')} AS overlap FROM (SELECT b.edge_id, count(*) AS s, (SELECT count(*) FROM members c WHERE c.edge_id = b.edge_id) AS m, (SELECT count(*) FROM members WHERE edge_id = 'O7') AS n FROM members a JOIN members b ON a.node_id = b.node_id WHERE a.edge_id = 'O7' AND b.edge_id <> 'O7' GROUP BY b.edge_id)")
-add("link_prediction", "lanes", lambda g: rounded(matrices.link_prediction(g), "jaccard", "adamic_adar", "resource_allocation"), f"SELECT a.u, b.u AS v, count(*) AS common, {r('count(*) / (any_value(p.k) + any_value(q.k) - count(*))')} AS jaccard, {r('sum(CASE WHEN w.k > 1 THEN 1 / ln(w.k) END)')} AS adamic_adar, {r('sum(1 / w.k)')} AS resource_allocation, any_value(p.k) * any_value(q.k) AS preferential FROM adj a JOIN adj b ON a.v = b.v AND a.u < b.u JOIN nbr w ON a.v = w.id JOIN nbr p ON a.u = p.id JOIN nbr q ON b.u = q.id WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.u = a.u AND l.v = b.u) GROUP BY a.u, b.u")
+LINKS = f"SELECT a.u, b.u AS v, count(*) AS common, {r('count(*) / (any_value(p.k) + any_value(q.k) - count(*))')} AS jaccard, {r('sum(CASE WHEN w.k > 1 THEN 1 / ln(w.k) END)')} AS adamic_adar, {r('sum(1 / w.k)')} AS resource_allocation, any_value(p.k) * any_value(q.k) AS preferential FROM adj a JOIN adj b ON a.v = b.v AND a.u < b.u JOIN nbr w ON a.v = w.id JOIN nbr p ON a.u = p.id JOIN nbr q ON b.u = q.id WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.u = a.u AND l.v = b.u) GROUP BY a.u, b.u"
+add("link_prediction", "lanes", lambda g: rounded(matrices.link_prediction(g), "jaccard", "adamic_adar", "resource_allocation"), LINKS)
 
 # rules
 add("rule_transitive", "lanes", lambda g: rounded(rules.transitive(g, "inter"), "score"), f"SELECT p.src AS a, p.tgt AS b, q.tgt AS c, {r('least(p.w * q.w * 0.9::DOUBLE * 0.9::DOUBLE, 1)')} AS score FROM own p JOIN own q ON p.tgt = q.src WHERE p.src <> q.tgt AND NOT EXISTS (SELECT 1 FROM arcs WHERE src = p.src AND tgt = q.tgt)", "own AS (SELECT src, tgt, max(weight) AS w FROM pairs WHERE label = 'inter' AND src <> tgt GROUP BY ALL)")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.plans.graph import Graph
@@ -73,6 +73,21 @@ ORDERS = """edges AS (SELECT 'O' || o_orderkey AS edge_id, o_orderpriority AS la
 inc AS (SELECT edge_id, 'C' || o_custkey AS node_id, 'source' AS role, label, weight FROM edges UNION ALL SELECT DISTINCT edge_id, 'P' || l_partkey, 'target', label, weight FROM edges JOIN lineitem ON o_orderkey = l_orderkey),
 nodes AS (SELECT 'C' || c_custkey AS id, c_name AS label FROM customer UNION ALL SELECT 'P' || p_partkey, p_name FROM part)"""
 
+def handover(spark: SparkSession, sf_dir: str) -> Graph:
+    """Customers, and an edge for each order that is not the last of its day, from its customer to that of the next order of the day. It grows with the data, and its nodes keep about as many edges."""
+    own = Window.partitionBy("o_orderdate").orderBy("o_orderkey")
+    rows = read(spark, sf_dir, "orders").withColumn("next", F.lead("o_custkey").over(own)).where("next is not null")
+    name = lambda c: F.concat(F.lit("C"), F.col(c).cast("string"))
+    edges = rows.select(F.concat(F.lit("H"), F.col("o_orderkey").cast("string")).alias("edge_id"), F.array(name("o_custkey")).alias("source_ids"), F.array(name("next")).alias("target_ids"), F.col("o_orderpriority").alias("label"), (F.floor("o_totalprice") / 100000).alias("weight"))
+    nodes = read(spark, sf_dir, "customer").select(name("c_custkey").alias("id"), F.col("c_name").alias("label"), F.create_map(F.lit("segment"), F.col("c_mktsegment")).alias("data"), F.lit(1.0).alias("weight"))
+    return Graph(nodes, edges)
+
+
+HANDOVER = """ho AS MATERIALIZED (SELECT o_orderkey, o_custkey, lead(o_custkey) OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS nxt, o_orderpriority, floor(o_totalprice) / 100000 AS weight FROM orders),
+edges AS MATERIALIZED (SELECT 'H' || o_orderkey AS edge_id, o_orderpriority AS label, weight, 'C' || o_custkey AS s, 'C' || nxt AS c FROM ho WHERE nxt IS NOT NULL),
+inc AS MATERIALIZED (SELECT edge_id, s AS node_id, 'source' AS role, label, weight FROM edges UNION ALL SELECT edge_id, c, 'target', label, weight FROM edges),
+nodes AS (SELECT 'C' || c_custkey AS id, c_name AS label FROM customer)"""
+
 #: The views of a Graph, over nodes, edges and inc.
 VIEWS = """members AS (SELECT DISTINCT edge_id, node_id, label, weight FROM inc),
 pairs AS (SELECT a.node_id AS src, b.node_id AS tgt, a.edge_id, a.label, a.weight FROM inc a JOIN inc b ON a.edge_id = b.edge_id AND a.role = 'source' AND b.role = 'target'),
@@ -86,4 +101,4 @@ nbr AS (SELECT id, count(v) AS k FROM nodes LEFT JOIN adj ON id = u GROUP BY id)
 
 def sql(kind: str, body: str, more: str = "") -> str:
     """body over the views of a graph; more: further common table expressions."""
-    return f"WITH RECURSIVE {dict(trade=TRADE, lanes=LANES, orders=ORDERS)[kind]},\n{VIEWS}{',' + more if more else ''}\n{body}"
+    return f"WITH RECURSIVE {dict(trade=TRADE, lanes=LANES, orders=ORDERS, handover=HANDOVER)[kind]},\n{VIEWS}{',' + more if more else ''}\n{body}"
