@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.plans.graph import Graph
+from weft.plans.iterate import checkpoint
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +47,8 @@ def _nations(spark: SparkSession, sf_dir: str, flows: DataFrame) -> Graph:
     name = lambda c: F.concat(F.lit("N"), F.col(c).cast("string"))
     edges = flows.select(F.concat(name("s"), F.lit("-"), name("c")).alias("edge_id"), F.array(name("s")).alias("source_ids"), F.array(name("c")).alias("target_ids"), F.when(F.col("sr") == F.col("cr"), "intra").otherwise("inter").alias("label"), F.round(F.col("n") / F.col("mean"), 4).alias("weight"))
     nodes = nation.select(name("n_nationkey").alias("id"), F.col("n_name").alias("label"), F.create_map(F.lit("region"), F.col("n_regionkey").cast("string")).alias("data"), F.lit(1.0).alias("weight"))
-    return Graph(nodes, edges)
+    # a few hundred rows at most, out of joins of all lines: written once, not computed again by each step of a loop
+    return Graph(nodes, checkpoint(edges))
 
 
 _TRADE = """flows AS MATERIALIZED (SELECT s_nationkey AS s, c_nationkey AS c, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
