@@ -95,9 +95,9 @@ also("s_persistence", "lanes", "SELECT s, count(*) AS components, max(n) AS larg
 TESTS = f"{PART}, {REACH}, pc AS (SELECT c, count(*) AS n, (SELECT count(*) FROM links JOIN cp25 y ON u = y.id WHERE y.c = x.c) AS m FROM cp25 x GROUP BY c), ts AS (SELECT (SELECT count(*) FROM pc) AS components, (SELECT bool_and(m = n - 1) FROM pc) AS forest, (SELECT sum(k % 2) FROM nbr) AS odd, EXISTS (SELECT 1 FROM pairs WHERE src = tgt) AS loops, NOT EXISTS (SELECT 1 FROM rc WHERE src = tgt) AS dag)"
 also("structure_tests", "lanes", "SELECT components, components = 1 AS connected, components = 1 AND forest AS tree, forest, components = 1 AND odd = 0 AS eulerian, components = 1 AND odd IN (0, 2) AS eulerian_path, loops, dag FROM ts", TESTS)
 BRIDGE = "br AS (SELECT u, v, u AS id FROM links UNION SELECT br.u, br.v, a.v FROM br JOIN adj a ON br.id = a.u AND NOT (a.u = br.u AND a.v = br.v) AND NOT (a.u = br.v AND a.v = br.u)), bb AS MATERIALIZED (SELECT u, v FROM links l WHERE NOT EXISTS (SELECT 1 FROM br WHERE br.u = l.u AND br.v = l.v AND br.id = l.v))"
-also("bridges", "lanes", "SELECT u, v FROM bb", BRIDGE)
+also("bridges", "trade", "SELECT u, v FROM bb", BRIDGE)
 STRONG = BRIDGE + ", sa AS MATERIALIZED (SELECT u, v FROM adj x WHERE NOT EXISTS (SELECT 1 FROM bb WHERE (bb.u = x.u AND bb.v = x.v) OR (bb.u = x.v AND bb.v = x.u))), sc AS (SELECT id, id AS o FROM nodes UNION SELECT sc.id, sa.v FROM sc JOIN sa ON o = u)"
-also("two_edge_components", "lanes", "SELECT id, min(o) AS component FROM sc GROUP BY id", STRONG)
+also("two_edge_components", "trade", "SELECT id, min(o) AS component FROM sc GROUP BY id", STRONG)
 VOTES = "vo0 AS (SELECT id, 1::DOUBLE AS vote, NULL::BIGINT AS rank FROM nodes)" + "".join(f", vt{k} AS MATERIALIZED (SELECT u AS id FROM adj JOIN vo{k - 1} v ON v = v.id AND v.vote > 0 JOIN vo{k - 1} w ON u = w.id AND w.rank IS NULL GROUP BY u ORDER BY round(sum(v.vote), 9) DESC, u LIMIT 1), vo{k} AS MATERIALIZED (SELECT id, CASE WHEN id IN (SELECT id FROM vt{k}) THEN 0 WHEN id IN (SELECT v FROM adj WHERE u IN (SELECT id FROM vt{k})) THEN greatest(vote - 1 / (SELECT avg(k) FROM nbr), 0) ELSE vote END::DOUBLE AS vote, CASE WHEN id IN (SELECT id FROM vt{k}) THEN {k} ELSE rank END AS rank FROM vo{k - 1})" for k in range(1, 6))
 also("voterank", "lanes", "SELECT rank, id FROM vo5 WHERE rank IS NOT NULL", VOTES)
 ONION = NBR + ", on_ AS (SELECT 0 AS layer, 0 AS core, []::VARCHAR[] AS gone, (SELECT list(id) FROM nodes) AS l UNION ALL SELECT layer + 1, greatest(core, low), list_filter(l, lambda x: len(list_intersect(m[x], l)) <= greatest(core, low)), list_filter(l, lambda x: len(list_intersect(m[x], l)) > greatest(core, low)) FROM (SELECT layer, core, l, m, list_min(list_transform(l, lambda x: len(list_intersect(m[x], l)))) AS low FROM on_, mp WHERE len(l) > 0))"
