@@ -95,3 +95,12 @@ def test_pieces_of_a_class_meet_once(spark):
     pairs = kinds.select("c").crossJoin(kinds.select("c").withColumnRenamed("c", "d")).where("c <= d").toDF("ca", "cb")
     got = [(r.a, r.b) for r in classes.spread(pairs, members).collect()]
     assert sorted(got) == list(itertools.combinations(sorted(["m", *[f"n{k:02d}" for k in range(23)]]), 2))
+
+
+def test_merge_reads_the_edges_once(spark):
+    data = {f"n{k}": {"a": "x"} for k in range(4)} | {"z": {"a": "y"}}
+    g = graph(spark, data, [{"n0", "n1", "z"}, {"n1", "n3"}, {"z"}, set()])
+    merged = maintenance.merge_equivalences(g, 1.0, ("a",)).edges
+    assert merged._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+    got = {r.edge_id: (r.source_ids, r.target_ids, r.label, r.weight) for r in merged.collect()}
+    assert got == {"e0": (["n0"], ["n0", "z"], "x", 1.0), "e1": (["n0"], ["n2"], "x", 1.0), "e2": (["z"], [], "x", 1.0), "e3": ([], [], "x", 1.0)}
