@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from weft.operators import paths
+from weft.operators import degrees, paths
 from weft.plans import packed
 from weft.plans.graph import Graph
 
@@ -51,3 +51,18 @@ def test_communities_without_pairs(spark, monkeypatch, seed):
         now = {i: min(votes[i], key=lambda c: (-votes[i][c], c)) if votes[i] else now[i] for i in ids}
     got = paths.label_propagation(g).collect()
     assert {r.id: r.community for r in got} == now and len(got) == len(ids)
+
+
+@pytest.mark.parametrize("cut", [(7, 3, 2, 5), (1000, 128, 15, 2_000_000)])
+def test_triangles_without_wedges(spark, monkeypatch, cut):
+    monkeypatch.setattr(packed.packed, "__defaults__", (None, 50, 30))
+    monkeypatch.setattr(packed.triangles, "__defaults__", cut)
+    g, ids, sets = some(spark, 3)
+    near = {i: set() for i in [*ids, "gone"]}
+    for s in sets:
+        for a, b in itertools.permutations(s, 2):
+            near[a].add(b)
+    want = {i: (len(near[i]), sum(b in near[a] for a, b in itertools.combinations(near[i], 2))) for i in ids}
+    got = degrees.triangles(g).collect()
+    assert {r.id: (r.k, r.triangles) for r in got} == want and len(got) == len(ids)
+    assert all(abs(r.clustering - (2 * r.triangles / (r.k * (r.k - 1)) if r.k > 1 else 0)) < 1e-12 for r in got)
