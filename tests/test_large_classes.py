@@ -104,3 +104,41 @@ def test_merge_reads_the_edges_once(spark):
     assert merged._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
     got = {r.edge_id: (r.source_ids, r.target_ids, r.label, r.weight) for r in merged.collect()}
     assert got == {"e0": (["n0"], ["n0", "z"], "x", 1.0), "e1": (["n0"], ["n2"], "x", 1.0), "e2": (["z"], [], "x", 1.0), "e3": ([], [], "x", 1.0)}
+
+
+def test_pairs_left_out_of_their_lists(spark):
+    ids = [f"n{k:02d}" for k in range(23)] + ["m", "o"]
+    rows = spark.createDataFrame([(i, i[0]) for i in ids], "id string, by string")
+    kinds, members = classes.classes(rows, "by", piece=5)
+    pairs = kinds.select("c").crossJoin(kinds.select("c").withColumnRenamed("c", "d")).where("c >= d").toDF("ca", "cb")
+    every = list(itertools.combinations(sorted(ids), 2))
+    out = random.Random(12).sample(every, 90)
+    but = spark.createDataFrame([*out, out[0], ("n00", "unknown")], "a string, b string")
+    got = classes.spread(pairs, members, but)
+    assert sorted((r.a, r.b) for r in got.collect()) == [p for p in every if p not in set(out)]
+
+
+def test_rules_on_like_data_shuffle_no_pairs(spark):
+    data = {f"n{k:02d}": {"a": str(k % 2), "b": "x"} for k in range(9)}
+    g = graph(spark, data, [{"n00", "n02"}])
+    for apply in (rewriting.apply_generalization, rewriting.apply_substitution):
+        plan = apply(g).edges._jdf.queryExecution().optimizedPlan().toString()
+        above = plan[: plan.index("Generate explode")]
+        assert "Join" not in above and "Aggregate" not in above
+
+
+def test_rules_on_like_data_add_once(spark):
+    data = {f"n{k:02d}": {"a": str(k % 2), "b": "x"} for k in range(9)}
+    g = graph(spark, data, [{"n00", "n02"}])
+    have = [("g", ["z"], ["n02", "n04", "n99"], "generalizes", 1.0), ("s", ["n03"], ["n01"], "substitutes", 1.0), ("substitution:n01:n05", ["n00"], ["n08"], "old", 1.0), ("generalizes:abstract:n01:n07", [], [], "old", 1.0)]
+    g = Graph(g.nodes, g.edges.unionByName(spark.createDataFrame(have, EDGES)))
+    pairs = {(a, b) for a, b in itertools.combinations(sorted(data), 2) if data[a] == data[b]}
+    assert {(r.a, r.b) for r in rewriting.generalizations(g, 0.8).collect()} == pairs - {("n02", "n04")}
+    assert {(r.a, r.b) for r in rewriting.substitutions(g, 0.8).collect()} == pairs - {("n01", "n03")}
+    once = rewriting.apply_substitution(g)
+    got = [r.edge_id for r in once.edges.where("label = 'substitutes' and edge_id <> 's'").collect()]
+    want = {f"substitution:{a}:{b}" for p in pairs - {("n01", "n03")} for a, b in (p, p[::-1])} - {"substitution:n01:n05"}
+    assert set(got) == want and len(got) == len(want)
+    assert rewriting.substitutions(once).collect() == []
+    once = rewriting.apply_generalization(g).edges
+    assert {r.edge_id for r in once.where("label = 'generalizes' and edge_id <> 'g'").collect()} == {f"generalizes:abstract:{a}:{b}" for a, b in pairs - {("n02", "n04")}} - {"generalizes:abstract:n01:n07"}
