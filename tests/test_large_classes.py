@@ -142,3 +142,35 @@ def test_rules_on_like_data_add_once(spark):
     assert rewriting.substitutions(once).collect() == []
     once = rewriting.apply_generalization(g).edges
     assert {r.edge_id for r in once.where("label = 'generalizes' and edge_id <> 'g'").collect()} == {f"generalizes:abstract:{a}:{b}" for a, b in pairs - {("n02", "n04")}} - {"generalizes:abstract:n01:n07"}
+
+
+def test_links_known_as_lists_make_no_pairs(spark):
+    data = {f"n{k:02d}": {"a": str(k % 3), "b": "x"} for k in range(20)}
+    have = spark.createDataFrame([("s", ["n03"], ["n00"], "substitutes", 1.0)], EDGES)
+    g = graph(spark, data)
+    once = rewriting.apply_substitution(Graph(g.nodes, have))
+    left = rewriting.substitutions(once)
+    assert left.collect() == []
+    # the edges that were added are not made to be looked up
+    assert "substitution" not in left._jdf.queryExecution().optimizedPlan().toString()
+    assert rewriting.substitutions(Graph(once.nodes, once.edges)).collect() == []
+    # nodes that came later are not in the lists
+    more = spark.createDataFrame([("m0", "m0", {"a": "0", "b": "x"}, 1.0), ("m1", "m1", {"a": "2", "b": "x"}, 1.0)], NODES)
+    grown = rewriting.Substituted(once.nodes.unionByName(more), once.edges, once.before, once.label, once.lists)
+    got = [(r.a, r.b) for r in rewriting.substitutions(grown).collect()]
+    want = {(m, i) for m, a in (("m0", "0"), ("m1", "2")) for i, d in data.items() if d["a"] == a}
+    assert set(got) == want and len(got) == len(want)
+    assert {(r.a, r.b) for r in rewriting.substitutions(once, label="other").collect()} == {(a, b) for a, b in itertools.combinations(sorted(data), 2) if data[a] == data[b]}
+
+
+def test_known_lists_across_pieces(spark):
+    ids = [f"n{k:02d}" for k in range(23)] + ["m", "o"]
+    rows = spark.createDataFrame([(i, i[0]) for i in ids], "id string, by string")
+    kinds, members = classes.classes(rows, "by", piece=5)
+    pairs = kinds.select("c").crossJoin(kinds.select("c").withColumnRenamed("c", "d")).where("c >= d").toDF("ca", "cb")
+    known = [(ids[3:14], ids[3:14], True), (ids[1:3], ids[12:20] + ["m", "z"], False), (["n20", "n22"], ["n21"], False)]
+    gone = {tuple(sorted((x, y))) for xs, ys, _ in known for x in xs for y in ys}
+    but = spark.createDataFrame([("n00", "n22"), ("n04", "n05")], "a string, b string")
+    got = classes.spread(pairs, members, but, spark.createDataFrame(known, "xs array<string>, ys array<string>, own boolean"))
+    want = [p for p in itertools.combinations(sorted(ids), 2) if p not in gone and p not in {("n00", "n22")}]
+    assert sorted((r.a, r.b) for r in got.collect()) == want
